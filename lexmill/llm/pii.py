@@ -156,7 +156,7 @@ def fit(found: DataFrame) -> SpanClassifier:
     soft: list[tuple[list[float], float, float]] = []
     for kind in KINDS:  # a labeler is not as good on each kind
         own = [(v, n) for k, v, n in rows if k == kind]
-        model = weak_labels.fit(own, prior=0.6, accuracy=0.8)
+        model = weak_labels.fit(own, prior=0.6, hit=0.8, miss=0.2)
         soft += [(SpanClassifier.features(kind, v), model.posterior(v), n) for v, n in own]
     return SpanClassifier(weak_labels.fit_logistic(soft))
 

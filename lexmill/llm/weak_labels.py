@@ -39,12 +39,13 @@ class VoteModel:
         return z
 
 
-def fit(patterns: Sequence[tuple[Sequence[int], float]], *, prior: float = 0.8, accuracy: float = 0.85, strength: float = 0.02, rounds: int = 60) -> VoteModel:
-    """patterns: (votes, rows). The start, and a Beta prior worth `strength` of all rows, say that a voter is
-    right with probability `accuracy`; that also fixes which class is the positive one. No rows: the prior itself."""
+def fit(patterns: Sequence[tuple[Sequence[int], float]], *, prior: float = 0.8, hit: float = 0.85, miss: float = 0.15, strength: float = 0.02, rounds: int = 60) -> VoteModel:
+    """patterns: (votes, rows). The start, and a Beta prior worth `strength` of all rows, say that a vote is 1 with
+    probability `hit` for a positive and `miss` for a negative; that also fixes which class is the positive one.
+    No rows: the prior itself."""
     total = sum(n for _, n in patterns)
     width = len(patterns[0][0]) if patterns else 0
-    model = VoteModel(prior, (accuracy,) * width, (1 - accuracy,) * width)
+    model = VoteModel(prior, (hit,) * width, (miss,) * width)
     weight = max(1.0, strength * total)
     for _ in range(rounds):
         good, yes_good, of_good, yes_bad, of_bad = 0.0, [0.0] * width, [0.0] * width, [0.0] * width, [0.0] * width
@@ -60,8 +61,8 @@ def fit(patterns: Sequence[tuple[Sequence[int], float]], *, prior: float = 0.8,
                         yes_bad[j] += (1 - p) * n
         model = VoteModel(
             (good + weight * prior) / (total + weight),
-            tuple((y + weight * accuracy) / (o + weight) for y, o in zip(yes_good, of_good, strict=True)),
-            tuple((y + weight * (1 - accuracy)) / (o + weight) for y, o in zip(yes_bad, of_bad, strict=True)),
+            tuple((y + weight * hit) / (o + weight) for y, o in zip(yes_good, of_good, strict=True)),
+            tuple((y + weight * miss) / (o + weight) for y, o in zip(yes_bad, of_bad, strict=True)),
         )
     return model
 
