@@ -70,7 +70,9 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(f[f < len(self.weight)]), -500, 500)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, *, features: int = 2048, factors: int = 8, rounds: int = 12, rate: float = 0.05, l2: float = 3e-3, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], y: np.ndarray, *, features: int = 2048, factors: int = 8, steps: int = 2500, rate: float = 0.1, l2: float = 3e-3, heed: float = 2.0, seed: int = 7) -> FactorizationMachine:
+    """At least `steps` batches of 256 and 20 rounds. A toxic row counts `heed` times: they are few, and half of what marks
+    them is rare."""
     share = float(y.mean()) if len(y) else 0.5
     place = np.full(BUCKETS, 0, np.int64)
     if not 0 < share < 1:
@@ -90,7 +92,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, features: int = 2048, factors:
     bias, w, v = np.log(share / (1 - share)), np.zeros(m), rng.normal(0, 0.01, (m, factors))
     gb, gw, gv = 1e-2, np.full(m, 1e-2), np.full((m, factors), 1e-2)
     own = [(f := place[r])[f < m] for r in rows]
-    for _ in range(rounds):
+    for _ in range(max(20, steps * 256 // len(own))):
         order = rng.permutation(len(own))
         for at in range(0, len(order), 256):
             batch = order[at : at + 256]
@@ -101,7 +103,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, features: int = 2048, factors:
             sq = np.bincount(doc, (x * x).sum(1), len(batch))
             out = bias + np.bincount(doc, w[idx], len(batch)) + 0.5 * ((s * s).sum(1) - sq)
             e = 1 / (1 + np.exp(-np.clip(out, -500, 500))) - y[batch]
-            e /= len(batch)
+            e *= np.where(y[batch] > 0, heed, 1.0) / len(batch)
             d = e.sum()
             gb += d * d
             bias -= rate * d / np.sqrt(gb)
