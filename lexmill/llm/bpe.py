@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.llm import workers
+
 #: White space of the vocabulary's patterns; str.split() would also part at \x1c to \x1f.
 _SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 _ODD = re.compile("[\\x1c-\\x1f]")
@@ -183,6 +185,7 @@ def load(path: str | None = None) -> str:
 
 
 def _mapped(df: DataFrame, columns: list[str], schema: str, spec: str, row) -> DataFrame:
+    workers.ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +222,7 @@ _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sh
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, without ids of every document in the plan."""
+    workers.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
 

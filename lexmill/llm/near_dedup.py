@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm import graph, staging
+from lexmill.llm import graph, staging, workers
 from lexmill.llm.text import U64, mix, shingles, texts
 
 TREES, DEPTH, FIRST = 20, 6, 3
@@ -146,6 +146,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int = 80) -> DataFrame
 
 def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    workers.ship(docs.sparkSession)
     signed = staging.stage(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, head array<long>, tail array<long>"), "signatures")
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staging.stage(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import labelled
+from lexmill.llm import labelled, workers
 from lexmill.llm.text import texts
 
 WORDS, LOOKS = 2048, 512
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4096) -> NearestNeighb
 
 def scored(docs: DataFrame, model: NearestNeighbours, columns: list[str]) -> DataFrame:
     """The columns asked for, and __score; texts needn't be among them to be read."""
+    workers.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*columns).schema.add("__score", "double")
 

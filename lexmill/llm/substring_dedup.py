@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import staging
+from lexmill.llm import staging, workers
 from lexmill.llm.text import U64, grams, mix, texts, word_hashes
 
 GRAM = 5
@@ -180,6 +180,7 @@ def _cleaned(size: int):
 
 def remove_repeats(docs: DataFrame, size: int = 35, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and kept_text where a part was removed (null: all words, or none, stay)."""
+    workers.ship(docs.sparkSession)
     read = staging.stage(docs.select("doc_id", "text").mapInArrow(_signed(size), _READ), "windows")
     able = read.filter("d1 IS NOT NULL AND doc_id IS NOT NULL")
     classes = staging.stage(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")

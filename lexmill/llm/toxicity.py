@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import labelled
+from lexmill.llm import labelled, workers
 from lexmill.llm.text import texts
 
 BUCKETS = 1 << 15
@@ -129,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Factorizati
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    workers.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

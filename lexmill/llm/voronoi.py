@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm import staging
+from lexmill.llm import staging, workers
 
 BLOCK = 4096
 
@@ -54,6 +54,7 @@ def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int = 256) ->
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`, against all other rows.
     pivots: most pivots; a bounded sample of distinct vectors, by hash."""
     spark = rows.sparkSession
+    workers.ship(spark)
     base = staging.stage(integers(rows), "vectors")
     ids = Window.partitionBy("v").orderBy("vec_id")
     few = base.distinct().withColumn("r", F.row_number().over(ids)).filter(F.col("r") <= k + 1)

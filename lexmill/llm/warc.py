@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import staging
+from lexmill.llm import staging, workers
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -114,6 +114,7 @@ def _open(path: str):
 def write(pages: DataFrame, folder: str, *, least: int = 0, archive_mb: int = 16) -> DataFrame:
     """Writes archives under folder and returns the manifest: path, records, bytes. Only ids and digests are
     grouped, hot payloads pre-aggregated in each task; pages then meet their verdict by page_id, not by payload."""
+    workers.ship(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     known = pages.select("page_id", F.octet_length(html).alias("n"), F.sha1(html).alias("digest")).filter((F.col("n") >= least) & F.col("page_id").isNotNull())
     ids = staging.stage(known.select("page_id", "digest"), "payload-digests")
@@ -166,6 +167,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, _ROW)
 
+    workers.ship(manifest.sparkSession)
     spread = manifest.repartition(max(1, min(10_000, manifest.count())))
     return spread.select("path").mapInArrow(records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
