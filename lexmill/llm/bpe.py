@@ -41,10 +41,28 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(more)) for b in range(256)]
 
 
+class _Recent:
+    """A mapping of bounded size: what wasn't asked for while `most` others came is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> list[int] | None:
+        out = self.young.get(key)
+        if out is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
+
+    def put(self, key: str, value: list[int]) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Codec(dict):
     """Maps a piece of text without white space to (number of ids, ids as text, decoded text)."""
 
-    most = 400_000
+    most = 300_000
 
     def __init__(self, spec: str):
         super().__init__()
@@ -69,7 +87,8 @@ class Codec(dict):
             pair = (vocab[a], vocab[b])
             self._rank[pair] = rank
             self._parts.setdefault(vocab[a + b], (*pair, rank))
-        self._ok: dict[tuple[int, int], bool] = {}
+        self._ok: dict[int, bool] = {}
+        self._words = _Recent(300_000)
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._tokens = ahocorasick.Automaton()
@@ -105,21 +124,28 @@ class Codec(dict):
             else:
                 j += 1
 
-    def _compatible(self, a: int, b: int) -> bool:
-        if (ok := self._ok.get((a, b))) is None:
-            if len(self._ok) >= 2_000_000:
-                self._ok.clear()
-            ok = self._ok[a, b] = self._meet(a, b)
-        return ok
-
     def word(self, letters: str) -> list[int]:
         """ids of a word given by its letters."""
         n = len(letters)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
+        last, back, known = [-1] * (n + 1), [0] * (n + 1), self._ok
         for at, (size, token) in self._tokens.iter(letters):
-            start = at + 1 - size
-            if last[at + 1] < 0 and (start == 0 or last[start] >= 0 and self._compatible(last[start], token)):
-                last[at + 1], back[at + 1] = token, start
+            at += 1
+            if last[at] >= 0:
+                continue
+            start = at - size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                pair = before << 32 | token
+                ok = known.get(pair)
+                if ok is None:
+                    if len(known) >= 2_000_000:
+                        known.clear()
+                    ok = known[pair] = self._meet(before, token)
+                if not ok:
+                    continue
+            last[at], back[at] = token, start
         out, at = [], n
         while at:
             out.append(last[at])
@@ -130,12 +156,22 @@ class Codec(dict):
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # letter by letter, so no final sigma
 
+    def _word_ids(self, word: str) -> list[int]:
+        """ids of one word of the split pattern, normalised; words that differ only in what stands around them share it."""
+        if (out := self._words.get(word)) is None:
+            letters = word if word.isascii() and word.isalpha() else "".join([self._bytes[b] for b in word.encode()])
+            out = self.word(letters[:-1] + chr(_END + ord(letters[-1])))
+            if len(word) <= 64:
+                self._words.put(word, out)
+        return out
+
     def ids(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isalpha():
+            return self._word_ids(piece.lower())
         out, at = [], 0
         for m in [*(self._special.finditer(piece) if self._special else ()), None]:
             for w in self._word.findall(self._normal(piece[at : m.start() if m else None])):
-                letters = "".join([self._bytes[b] for b in w.encode()])
-                out += self.word(letters[:-1] + chr(_END + ord(letters[-1])))
+                out += self._word_ids(w)
             if m:
                 out.append(self.special[m.group()])
                 at = m.end()
@@ -146,11 +182,11 @@ class Codec(dict):
         return " ".join([self.names[i] for i in ids])
 
     def __missing__(self, piece: str) -> tuple[int, str, str]:
-        if len(self) >= self.most:
-            self.clear()
         ids = self.ids(piece)
         out = (len(ids), " ".join(map(str, ids)), self.text(ids))
         if len(piece) <= 64:
+            if len(self) >= self.most:  # pieces that are frequent come back at once, from the words they share
+                self.clear()
             self[piece] = out
         return out
 
