@@ -27,7 +27,6 @@ def count_by(df: DataFrame, field: str) -> DataFrame:
 def balance(df: DataFrame, dimensions: Sequence[str], measures: dict[str, Column]) -> DataFrame:
     """dimension, key and the measures for each value of each dimension and, as dimension `all`, over everything."""
     keyed = df.select("*", *[rendered(df, d).alias(f"__{d}") for d in dimensions])
-    keyed = keyed.withColumns({f"__m{i}": m for i, m in enumerate([])})
     names = [f"__{d}" for d in dimensions]
     sets = [[n] for n in names] + [[]]
     out = keyed.groupingSets([[F.col(n) for n in s] for s in sets], *names).agg(F.grouping_id().alias("__id"), *[m.alias(k) for k, m in measures.items()])

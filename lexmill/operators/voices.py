@@ -81,5 +81,5 @@ def rate_limited(requests: DataFrame, per_minute: float, characters_per_minute:
                 out.append(buckets.check(state, t, int(cost)))
             yield pd.DataFrame({"key": pdf["key"], "request_id": pdf["request_id"], **{n: [x[i] for x in out] for i, n in enumerate(("allowed", "retry_after_seconds", "remaining", "reason"))}})
 
-    rows = requests.select("key", "request_id", F.unix_micros("ts").cast("double").__truediv__(1e6).alias("at"), "cost")
+    rows = requests.select("key", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").__truediv__(1e6).alias("at"), "cost")
     return rows.repartition("key").sortWithinPartitions("key", "at", "request_id").mapInPandas(fold, "key long, request_id long, allowed boolean, retry_after_seconds double, remaining double, reason string")

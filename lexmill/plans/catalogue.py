@@ -1,29 +1,38 @@
-"""Queries over the driver's tables, each with its equivalent SQL."""
+"""Queries over the driver's tables, each with its equivalent SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import columns as C
+from lexmill.functions import numerals, unicode_text
+from lexmill.operators import reports, signal, voices
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
+AS_OF = "2024-06-01 00:00:00"
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        _queries[name] = f
+        _queries[f.__name__] = f
         if oracle is not None:
-            _oracles[name] = oracle
+            _oracles[f.__name__] = oracle
         return f
 
     return add
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _queries["corpus_balance"](spark, sf_dir)
+    return corpus_balance(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
@@ -34,6 +43,281 @@ def oracles() -> dict[str, str]:
     return dict(_oracles)
 
 
-@query("corpus_balance", "SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
+_POSITION = "CAST(CAST(concat('0x', substr(sha256('corpus-v1:' || {0}), 1, 16)) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0"
+_SPLIT = "CASE WHEN {0} < 0.05 THEN 'test' WHEN {0} < 0.1 THEN 'validation' ELSE 'train' END".format(_POSITION)
+
+
+@query(f"""
+WITH d AS (SELECT d.*, quality, {_SPLIT.format("CAST(source AS VARCHAR)")} AS split FROM documents d LEFT JOIN labels USING (doc_id)),
+m AS (SELECT split, lang, source, GROUPING_ID(split, lang, source) AS g, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars,
+      count(quality) AS n_labelled, coalesce(CAST(count(*) FILTER (quality = 1) AS DOUBLE) / nullif(count(quality), 0), 1.0) AS pass_rate
+      FROM d GROUP BY GROUPING SETS ((split), (lang), (source), ()))
+SELECT CASE g WHEN 3 THEN 'split' WHEN 5 THEN 'lang' WHEN 6 THEN 'source' ELSE 'all' END AS dimension,
+       CASE g WHEN 3 THEN split WHEN 5 THEN lang WHEN 6 THEN source END AS key, n_docs, n_chars, n_labelled, round(pass_rate, 9) AS pass_rate FROM m
+""")
 def corpus_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    measures = {"n_docs": F.count(F.lit(1)), "n_chars": F.sum("n_chars"), "n_labelled": F.count("quality"), "pass_rate": F.round(reports.pass_rate(F.col("quality") == 1), 9)}
+    return reports.balance(docs.withColumn("split", C.assigned_split(F.col("source"))), ["split", "lang", "source"], measures)
+
+
+@query("SELECT coalesce(lang, 'None') AS key, count(*) AS n FROM documents GROUP BY 1")
+def manifest_count_by(spark, sf_dir):
+    return reports.count_by(table(spark, sf_dir, "documents"), "lang")
+
+
+@query("SELECT round(coalesce(sum(value), 0) / 3600, 6) AS hours, count(DISTINCT user_id) AS speakers FROM events")
+def total_hours(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg(F.round(reports.hours(F.col("value")), 6).alias("hours"), F.countDistinct("user_id").alias("speakers"))
+
+
+@query(f"SELECT o_orderkey, o_custkey, {_SPLIT.format('CAST(o_custkey AS VARCHAR)')} AS split FROM orders")
+def assign_split(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", C.assigned_split(F.col("o_custkey")).alias("split"))
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT o_custkey FROM (SELECT o_custkey, {_SPLIT.format('CAST(o_custkey AS VARCHAR)')} AS split FROM orders) GROUP BY 1 HAVING count(DISTINCT split) > 1)")
+def split_disjointness(spark, sf_dir):
+    split = table(spark, sf_dir, "orders").select("o_custkey", C.assigned_split(F.col("o_custkey")).alias("split"))
+    return split.groupBy("o_custkey").agg(F.countDistinct("split").alias("k")).filter("k > 1").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT conv_id, turn, CAST(CAST(concat('0x', substr(sha256(CAST(conv_id AS VARCHAR) || '|' || role), 1, 8)) AS UBIGINT) AS BIGINT) AS payload,
+          substr(sha256('owner:' || CAST(conv_id AS VARCHAR)), 1, 24) AS owner FROM conversations""")
+def payload_and_owner(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.payload_for(F.col("conv_id").cast("string"), F.col("role")).alias("payload"), C.owner_id(F.col("conv_id")).alias("owner"))
+
+
+_PAIRS = """p AS (SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+a AS (SELECT * FROM p WHERE r IS NOT NULL AND regexp_full_match(r || h, '[\\x00-\\x7F]*')),
+s AS (SELECT conv_id, turn, regexp_replace(r, '[\\p{Po}\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\s]', '', 'g') AS r, regexp_replace(h, '[\\p{Po}\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\s]', '', 'g') AS h FROM a)"""
+
+
+def _pairs(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("h"), F.lag("text").over(w).alias("r"))
+    return df.filter(F.col("r").isNotNull() & F.concat("r", "h").rlike(r"^[\x00-\x7F]*$"))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) END, 9) AS cer FROM s")
+def cer_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.character_error_rate(F.col("r"), F.col("h")), 9).alias("cer"))
+
+
+@query()
+def wer_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.word_error_rate(F.col("r"), F.col("h")), 9).alias("wer"))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn FROM s WHERE length(r) > 0 AND levenshtein(r, h) / length(r) > 0.85")
+def asr_mismatch(spark, sf_dir):
+    return _pairs(spark, sf_dir).filter(C.character_error_rate(F.col("r"), F.col("h")) > 0.85).select("conv_id", "turn")
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT doc_id, x, i - row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS g FROM e),
+r AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, x, g) GROUP BY doc_id)
+SELECT w.doc_id, CASE WHEN len(w) = 0 THEN 'empty' WHEN run > 4 THEN 'repeats' WHEN len(w) >= 8 AND CAST(len(list_distinct(w)) AS DOUBLE) / len(w) < 0.35 THEN 'low_variety' ELSE '' END AS problems
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id""")
+def transcript_sanity(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(C.transcript_problems(F.col("text"), expect_malayalam=False), ",").alias("problems"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN text IS NULL OR regexp_replace(text, '\s', '', 'g') = '' THEN 'validation_error' WHEN length(text) > 5000 THEN 'text_too_long' END AS error_code FROM documents""")
+def text_guard(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.text_error(F.col("text")).alias("error_code"))
+
+
+_STATS = "s AS (SELECT user_id, sum(value) / 60 AS duration, avg(value) AS snr, CAST(count(*) FILTER (value < 20) AS DOUBLE) / count(*) AS silence FROM events GROUP BY user_id)"
+
+
+@query(f"""WITH {_STATS} SELECT user_id, concat_ws(',', CASE WHEN duration < 0.5 THEN 'too_short' END, CASE WHEN duration > 30 THEN 'too_long' END,
+           CASE WHEN snr < 20 THEN 'noisy' END, CASE WHEN silence > 0.6 THEN 'mostly_silence' END) AS reasons FROM s""")
+def quality_gate_reasons(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg((F.sum("value") / 60).alias("duration"), F.avg("value").alias("snr"), (F.count_if(F.col("value") < 20) / F.count(F.lit(1))).alias("silence"))
+    return s.select("user_id", F.array_join(signal.quality_reasons(F.col("duration"), F.col("snr"), F.col("silence")), ",").alias("reasons"))
+
+
+@query(f"""WITH {_STATS}, g AS (SELECT CASE WHEN duration < 0.5 THEN 'too_short' WHEN duration > 30 THEN 'too_long' WHEN snr < 20 OR silence > 0.6 THEN 'quality' ELSE 'accepted' END AS stage, duration FROM s)
+           SELECT stage, count(*) AS n, round(sum(duration) / 3600, 6) AS hours FROM g GROUP BY stage""")
+def rejection_summary(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg((F.sum("value") / 60).alias("duration"), F.avg("value").alias("snr"), (F.count_if(F.col("value") < 20) / F.count(F.lit(1))).alias("silence"))
+    stage = F.when(F.col("duration") < 0.5, "too_short").when(F.col("duration") > 30, "too_long").when((F.col("snr") < 20) | (F.col("silence") > 0.6), "quality").otherwise("accepted")
+    return s.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.round(reports.hours(F.col("duration")), 6).alias("hours"))
+
+
+_FRAMES = """x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+f AS (SELECT user_id, CASE WHEN n < 4 THEN 0 ELSE pos // 4 END AS frame, value FROM x WHERE n < 4 OR (pos // 4 + 1) * 4 <= n),
+e AS (SELECT user_id, CAST(frame AS INTEGER) AS frame, 20 * log10(sqrt(avg(value * value)) + 1e-12) AS energy FROM f GROUP BY user_id, frame)"""
+
+
+def _frames(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return signal.frame_energy(table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(w) - 1).alias("pos")), "user_id", "pos", "value", 4)
+
+
+@query(f"WITH {_FRAMES} SELECT user_id, frame, round(energy, 6) AS energy FROM e")
+def frame_energy(spark, sf_dir):
+    return _frames(spark, sf_dir).select("user_id", "frame", F.round("energy", 6).alias("energy"))
+
+
+@query(f"""WITH {_FRAMES}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+l AS (SELECT user_id, min(energy) AS least FROM c WHERE n >= 50 GROUP BY user_id, frame // 25 HAVING count(*) = 25),
+fl AS (SELECT user_id, quantile_cont(least, 0.1) AS lo FROM l GROUP BY user_id UNION ALL SELECT user_id, quantile_cont(energy, 0.05) FROM c WHERE n < 50 GROUP BY user_id)
+SELECT e.user_id, round(lo, 6) AS floor_db, round(quantile_cont(energy, 0.9) - lo, 6) AS snr, round(avg(CASE WHEN energy < lo + 6 THEN 1.0 ELSE 0.0 END), 6) AS silence_ratio
+FROM e JOIN fl ON e.user_id = fl.user_id GROUP BY e.user_id, lo""")
+def quality_report(spark, sf_dir):
+    return signal.quality_report(_frames(spark, sf_dir), "user_id").select("user_id", F.round("floor", 6).alias("floor_db"), F.round("snr", 6).alias("snr"), F.round("silence_ratio", 6).alias("silence_ratio"))
+
+
+@query(f"""WITH {_FRAMES}, t AS (SELECT user_id, quantile_cont(energy, 0.1) + 6 AS th, max(frame) AS fin FROM e GROUP BY user_id),
+a AS (SELECT e.user_id, frame, fin, frame - lag(frame) OVER (PARTITION BY e.user_id ORDER BY frame) AS gap FROM e JOIN t ON e.user_id = t.user_id WHERE energy > th),
+i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap - 1 > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY frame) AS segment FROM a),
+r AS (SELECT user_id, segment, min(frame) AS start_frame, CASE WHEN fin - max(frame) <= 1 THEN fin + 1 ELSE max(frame) END AS end_frame FROM i GROUP BY user_id, segment, fin)
+SELECT user_id, CAST(segment AS BIGINT) AS segment, start_frame, end_frame FROM r WHERE end_frame - start_frame >= 1""")
+def vad_segments(spark, sf_dir):
+    s = signal.speech_segments(_frames(spark, sf_dir), "user_id", margin=6.0, idle=1, least=1)
+    return s.select("user_id", F.col("segment").cast("long"), F.col("start").alias("start_frame"), F.col("end").alias("end_frame"))
+
+
+@query("""WITH x AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events)
+          SELECT user_id, CAST(max(n) AS INTEGER) AS longest FROM (SELECT user_id, count(*) AS n FROM x GROUP BY user_id, event_type, g) GROUP BY user_id""")
+def longest_run(spark, sf_dir):
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x.event_type)
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(ordered.alias("a")).select("user_id", C.longest_run(F.col("a")).alias("longest"))
+
+
+@query("""SELECT lang AS category, count(*) AS cases, count(quality) AS asserted, count(*) FILTER (quality = 1) AS passed,
+          round(coalesce(CAST(count(*) FILTER (quality = 1) AS DOUBLE) / nullif(count(quality), 0), 1.0), 9) AS pass_rate
+          FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
+def eval_by_category(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return reports.by_category(df, "lang", F.col("quality") == 1).withColumn("pass_rate", F.round("pass_rate", 9))
+
+
+@query("SELECT lang, round(avg(CASE WHEN toxic = 0 THEN n_chars END), 6) AS mean_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def mean_without_errors(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return df.groupBy("lang").agg(F.round(reports.mean_without_errors(F.col("n_chars"), F.when(F.coalesce(F.col("toxic") != 0, F.lit(True)), "error")), 6).alias("mean_chars"))
+
+
+_RULES = (("pressed_thing", "block", C.proximity("thing", "that", 30)), ("names_ation", "flag", r"\bation"), ("tion", "flag", "tion"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM conversations),
+r AS (SELECT conv_id, turn, regexp_matches(t, '(?s)(?:thing.{0,30}that|that.{0,30}thing)') AS a, regexp_matches(t, '\bation') AS b, regexp_matches(t, 'tion') AS c FROM t)
+SELECT conv_id, turn, CASE WHEN a THEN 'block' WHEN b OR c THEN 'flag' ELSE 'allow' END AS severity,
+       concat_ws(',', CASE WHEN a THEN 'pressed_thing' END, CASE WHEN b THEN 'names_ation' END, CASE WHEN c THEN 'tion' END) AS rules FROM r""")
+def moderate(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.moderation(F.col("text"), _RULES).alias("m"))
+    return df.select("conv_id", "turn", "m.severity", F.array_join("m.rules", ",").alias("rules"))
+
+
+_NAMES = ["Supplier#000000001", "000000042", "000000007 and company supplier000000007"]
+
+
+@query("""WITH b AS (SELECT unnest(['supplier000000001', '000000042', '000000007andcompanysupplier000000007']) AS e), n AS (SELECT s_suppkey, s_name, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS f FROM supplier)
+          SELECT s_suppkey, s_name FROM n WHERE EXISTS (SELECT 1 FROM b WHERE contains(f, e) OR contains(e, f))""")
+def name_blocklist(spark, sf_dir):
+    return voices.blocked_names(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", _NAMES)
+
+
+@query("SELECT o_custkey, o_orderkey, position FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS position FROM orders) WHERE position BETWEEN 2 AND 4")
+def voice_list_topk(spark, sf_dir):
+    return voices.latest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 3, skip=1).select("o_custkey", "o_orderkey", "position")
+
+
+def _consents(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("consent_id"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("pending").alias("status"),
+                    (F.col("o_orderdate") + F.expr("INTERVAL 365 DAYS")).alias("expires_at"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate")).alias("revoked_at"))
+
+
+_CONSENTS = "c AS (SELECT o_orderkey AS consent_id, CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'pending' END AS status, o_orderdate + INTERVAL 365 DAY AS expires_at, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate END AS revoked_at FROM orders)"
+
+
+@query(f"WITH {_CONSENTS} SELECT consent_id, CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN status = 'verified' AND TIMESTAMP '1997-06-01' >= expires_at THEN 'expired' ELSE status END AS effective FROM c")
+def consent_status(spark, sf_dir):
+    as_of = F.lit("1997-06-01 00:00:00").cast("timestamp")
+    return _consents(spark, sf_dir).select("consent_id", C.consent_status(F.col("status"), F.col("revoked_at"), F.col("expires_at"), as_of).alias("effective"))
+
+
+def _voices(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("consent_id"), "l_linenumber", F.when(F.col("l_linestatus") == "O", "enabled").otherwise("disabled").alias("status"))
+
+
+@query(f"""WITH {_CONSENTS} SELECT l_orderkey AS consent_id, l_linenumber, coalesce(c.status = 'verified' AND revoked_at IS NULL AND TIMESTAMP '1997-06-01' < expires_at, FALSE) AS consent_active,
+           coalesce(c.status = 'verified' AND revoked_at IS NULL AND TIMESTAMP '1997-06-01' < expires_at, FALSE) AND l_linestatus = 'O' AS usable FROM lineitem LEFT JOIN c ON l_orderkey = consent_id""")
+def usable_voices(spark, sf_dir):
+    df = voices.with_consent(_voices(spark, sf_dir), _consents(spark, sf_dir), F.lit("1997-06-01 00:00:00").cast("timestamp"))
+    return df.select("consent_id", "l_linenumber", "consent_active", "usable")
+
+
+@query("SELECT l_orderkey AS consent_id, l_linenumber, CASE WHEN l_orderkey % 11 = 0 THEN 'disabled' WHEN l_linestatus = 'O' THEN 'enabled' ELSE 'disabled' END AS status FROM lineitem")
+def consent_revoke_cascade(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").filter("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("consent_id"))
+    return voices.revoked(_voices(spark, sf_dir), gone).select("consent_id", "l_linenumber", "status")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 13 = 0)")
+def delete_cascade(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").filter("o_custkey % 13 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(gone, "l_orderkey", "left_anti")
+
+
+@query("""SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))
+          / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS similarity
+          FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def speaker_similarity(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(b, "vec_id").select("vec_id", F.round(C.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?m)(?:^|[ \\n])((?:[A-Z]\\.?){2,6})(?:[ \\n]|$)')) > 0 AS any_acronym FROM documents")
+def acronyms(spark, sf_dir):
+    words = F.split("text", "[ \n]")
+    return table(spark, sf_dir, "documents").select("doc_id", F.exists(words, C.is_acronym).alias("any_acronym"))
+
+
+@query("""SELECT user_id, round(20 * log10(max(abs(value / 1000))), 6) AS peak_dbfs, round(10 * log10(avg(value / 1000 * (value / 1000))), 6) AS rms_dbfs,
+          round(least(-23 - 10 * log10(avg(value / 1000 * (value / 1000))), 30, -1 - 20 * log10(max(abs(value / 1000)))), 6) AS gain_db FROM events GROUP BY user_id""")
+def loudness_gain(spark, sf_dir):
+    df = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.col("value") / 1000).alias("x"))
+    peak, rms = C.peak_dbfs(F.col("x")), C.rms_dbfs(F.col("x"))
+    return df.select("user_id", F.round(peak, 6).alias("peak_dbfs"), F.round(rms, 6).alias("rms_dbfs"), F.round(C.loudness_gain_db(rms, peak, target=-23.0), 6).alias("gain_db"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type = 'click' THEN least(greatest(length(props), 1), 5000) ELSE 1 END AS cost FROM events")
+def request_cost(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").k.alias("k"), C.request_cost(F.col("event_type") == "click", F.length("props")).cast("long").alias("cost"))
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "ts", F.length("props").alias("cost"))
+    return voices.rate_limited(e, per_minute=0.002, characters_per_minute=0.02)
+
+
+@query("SELECT l_orderkey, l_linenumber, array_to_string(list_transform(string_split(CAST(l_partkey AS VARCHAR), ''), lambda c: c), ' ') AS spaced FROM lineitem")
+def digit_by_digit(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.spoken_digits(F.col("l_partkey").cast("string"), {str(d): str(d) for d in range(10)}).alias("spaced"))
+
+
+@query()
+def cardinal(spark, sf_dir):
+    q = F.col("l_quantity").cast("long")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numerals.cardinal_column(q).alias("words"), numerals.ordinal_column(q).alias("ordinal"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS normalized FROM documents WHERE lang = 'en'")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", unicode_text.normalized(F.col("text"))["text"].alias("normalized"))
+
+
+@query()
+def normalization_by_source(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("source", unicode_text.normalized(F.col("text")).alias("n"))
+    return df.groupBy("source").agg(*[F.sum(f"n.{c}").alias(c) for c in unicode_text.COUNTERS], F.count_if("n.changed").alias("changed"))
