@@ -220,7 +220,7 @@ def load(path: str | None = None) -> str:
         return f.read()
 
 
-def _mapped(df: DataFrame, columns: list[str], schema: str, spec: str, row) -> DataFrame:
+def _mapped(df: DataFrame, columns: list[str], schema: str, kinds: pa.Schema, spec: str, row) -> DataFrame:
     workers.ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
@@ -230,7 +230,7 @@ def _mapped(df: DataFrame, columns: list[str], schema: str, spec: str, row) -> D
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out = [row(coder, *x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                yield pa.RecordBatch.from_pylist(out)
+                yield pa.RecordBatch.from_pylist(out, kinds)
 
     return df.select(*columns).mapInArrow(batches, schema)
 
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def row(coder: Codec, doc_id: int | None, text: str | None) -> dict:
         return {"doc_id": doc_id, "ids": coder.encode(text or "")}
 
-    return _mapped(docs, ["doc_id", "text"], "doc_id long, ids array<int>", load(path), row)
+    return _mapped(docs, ["doc_id", "text"], "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), load(path), row)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -250,7 +250,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def row(coder: Codec, doc_id: int | None, ids: list[int] | None) -> dict:
         return {"doc_id": doc_id, "text": coder.text(ids or [])}
 
-    return _mapped(encoded, ["doc_id", "ids"], "doc_id long, text string", load(path), row)
+    return _mapped(encoded, ["doc_id", "ids"], "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), load(path), row)
 
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -77,12 +77,11 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself, with the columns of docs: a document as often as its source's epochs ask, and where the
     budget cuts a document, its text up to the cut. Ids must be unique, as ids of documents are."""
-    taken = mix(docs, weights, most).select(F.col("doc_id").alias("__id"), "size", "taken")
-    size = F.greatest(F.col("size"), F.lit(1))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / size).cast("int"))
-    df = docs.join(taken.filter("taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(copies))
-    left = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
-    df = df.withColumn("text", F.when(left < F.col("size"), first_words(F.col("text"), left)).otherwise(F.col("text")))
+    taken = mix(docs, weights, most).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1))).cast("int"))
+    df = docs.join(taken.filter("__taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(copies))
+    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    df = df.withColumn("text", F.when(left < F.col("__size"), first_words(F.col("text"), left)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast("long"))
     return df.select(*docs.columns)
