@@ -219,9 +219,10 @@ ORACLE = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w),
 x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i+34], ' ')) AS n FROM s),
-g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM x WHERE n > 1 GROUP BY doc_id),
-k AS (SELECT w.doc_id, len(w.w) AS n_words, coalesce(len(g.gone), 0) AS n_removed,
-      CASE WHEN g.gone IS NULL THEN w.w ELSE list_filter(w.w, lambda y, j: NOT list_contains(g.gone, j)) END AS kept
-      FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM x WHERE n > 1),
+e AS (SELECT doc_id, unnest(w) AS y, unnest(range(1, len(w) + 1)) AS j FROM w),
+k AS (SELECT e.doc_id, string_agg(e.y, ' ' ORDER BY e.j) AS kept FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.j = g.j WHERE g.j IS NULL GROUP BY e.doc_id),
+r AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id LEFT JOIN r ON w.doc_id = r.doc_id
 """
