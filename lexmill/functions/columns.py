@@ -117,15 +117,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def peak_dbfs(samples: Column) -> Column:
+def dbfs(level: Column) -> Column:
     """Minus infinity for silence."""
-    peak = F.array_max(F.transform(samples, lambda x: F.abs(x)))
-    return F.when(peak > 0, 20 * F.log10(peak)).otherwise(float("-inf"))
+    return F.when(level > 0, 20 * F.log10(level)).otherwise(float("-inf"))
+
+
+def peak_dbfs(samples: Column) -> Column:
+    return dbfs(F.array_max(F.transform(samples, lambda x: F.abs(x))))
 
 
 def rms_dbfs(samples: Column) -> Column:
     power = F.aggregate(samples, F.lit(0.0), lambda s, x: s + x.cast("double") * x) / F.size(samples)
-    return F.when(power > 0, 10 * F.log10(power)).otherwise(float("-inf"))
+    return dbfs(F.sqrt(power))
 
 
 def loudness_gain_db(loudness: Column, peak: Column, *, target: float, most: float = 30.0, ceiling: float = -1.0) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import columns as C
-from lexmill.functions import numerals, unicode_text
+from lexmill.functions import chunking, codemix, frontend, numerals, phonemes, romanised, spoken, unicode_text
 from lexmill.operators import reports, signal, voices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,18 +88,20 @@ def payload_and_owner(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.payload_for(F.col("conv_id").cast("string"), F.col("role")).alias("payload"), C.owner_id(F.col("conv_id")).alias("owner"))
 
 
+#: Each pair's characters become one-byte ones, for DuckDB's edit distance counts bytes.
 _PAIRS = """p AS (SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
-a AS (SELECT * FROM p WHERE r IS NOT NULL AND regexp_full_match(r || h, '[\\x00-\\x7F]*')),
-s AS (SELECT conv_id, turn, regexp_replace(r, '[\\p{Po}\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\s]', '', 'g') AS r, regexp_replace(h, '[\\p{Po}\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\s]', '', 'g') AS h FROM a)"""
+a AS (SELECT conv_id, turn, regexp_replace(r, '[\\p{Po}\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\s]', '', 'g') AS r, regexp_replace(h, '[\\p{Po}\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\s]', '', 'g') AS h FROM p WHERE r IS NOT NULL),
+f AS (SELECT *, array_to_string(list_distinct(string_split(r || h, '')), '') AS c, array_to_string(list_transform(range(1, 128), lambda i: chr(CAST(i AS INT))), '') AS t FROM a),
+s AS (SELECT conv_id, turn, translate(r, c, t[1:length(c)]) AS r, translate(h, c, t[1:length(c)]) AS h FROM f)"""
 
 
 def _pairs(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("h"), F.lag("text").over(w).alias("r"))
-    return df.filter(F.col("r").isNotNull() & F.concat("r", "h").rlike(r"^[\x00-\x7F]*$"))
+    return df.filter(F.col("r").isNotNull())
 
 
-@query(f"WITH {_PAIRS} SELECT conv_id, turn, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) END, 9) AS cer FROM s")
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, round(CASE WHEN length(r) > 0 THEN CAST(levenshtein(r, h) AS DOUBLE) / length(r) END, 9) AS cer FROM s")
 def cer_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.character_error_rate(F.col("r"), F.col("h")), 9).alias("cer"))
 
@@ -285,9 +287,10 @@ def acronyms(spark, sf_dir):
 @query("""SELECT user_id, round(20 * log10(max(abs(value / 1000))), 6) AS peak_dbfs, round(10 * log10(avg(value / 1000 * (value / 1000))), 6) AS rms_dbfs,
           round(least(-23 - 10 * log10(avg(value / 1000 * (value / 1000))), 30, -1 - 20 * log10(max(abs(value / 1000)))), 6) AS gain_db FROM events GROUP BY user_id""")
 def loudness_gain(spark, sf_dir):
-    df = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.col("value") / 1000).alias("x"))
-    peak, rms = C.peak_dbfs(F.col("x")), C.rms_dbfs(F.col("x"))
-    return df.select("user_id", F.round(peak, 6).alias("peak_dbfs"), F.round(rms, 6).alias("rms_dbfs"), F.round(C.loudness_gain_db(rms, peak, target=-23.0), 6).alias("gain_db"))
+    x = F.col("value") / 1000
+    df = table(spark, sf_dir, "events").groupBy("user_id").agg(C.dbfs(F.max(F.abs(x))).alias("peak"), C.dbfs(F.sqrt(F.avg(x * x))).alias("rms"))
+    gain = C.loudness_gain_db(F.col("rms"), F.col("peak"), target=-23.0)
+    return df.select("user_id", F.round("peak", 6).alias("peak_dbfs"), F.round("rms", 6).alias("rms_dbfs"), F.round(gain, 6).alias("gain_db"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type = 'click' THEN least(greatest(length(props), 1), 5000) ELSE 1 END AS cost FROM events")
@@ -312,12 +315,75 @@ def cardinal(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numerals.cardinal_column(q).alias("words"), numerals.ordinal_column(q).alias("ordinal"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS normalized FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS normalized FROM documents")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", unicode_text.normalized(F.col("text"))["text"].alias("normalized"))
+    return table(spark, sf_dir, "documents").select("doc_id", unicode_text.normalized(F.col("text"))["text"].alias("normalized"))
 
 
 @query()
 def normalization_by_source(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("source", unicode_text.normalized(F.col("text")).alias("n"))
     return df.groupBy("source").agg(*[F.sum(f"n.{c}").alias(c) for c in unicode_text.COUNTERS], F.count_if("n.changed").alias("changed"))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+')) AS BIGINT) AS latin, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS digit,
+           CAST(len(regexp_extract_all(text, '[^A-Za-z0-9]+')) AS BIGINT) AS other FROM documents""")
+def segment_scripts(spark, sf_dir):
+    runs = codemix.segmented(F.col("text"))["value"]
+    df = table(spark, sf_dir, "documents").select("doc_id", F.transform(runs, lambda r: r["script"]).alias("s"))
+    return df.select("doc_id", *[F.size(F.filter("s", lambda x: x == F.lit(k))).cast("long").alias(k) for k in ("latin", "digit", "other")])
+
+
+@query(rf"""
+WITH w AS (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)
+SELECT lang, w AS word, count(*) AS n FROM w
+WHERE NOT lower(w) IN ({", ".join(f"'{e}'" for e in sorted(romanised.ENGLISH))}) AND NOT regexp_matches(w, '(?i){"|".join(romanised.ENGLISH_PARTS)}')
+AND regexp_matches(w, '[aeiouAEIOU]') AND NOT (w = upper(w) AND length(w) <= 5)
+AND (lower(w) IN ({", ".join(f"'{e}'" for e in romanised.LEXICON)}) OR regexp_matches(w, '(?i)({"|".join(romanised.SIGNALS)})|({"|".join(romanised.ENDINGS)})$'))
+GROUP BY lang, w""")
+def romanised_words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).filter(romanised.romanised(F.col("word"))).select("lang", "word", "n")
+
+
+@query()
+def route_codemix(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", codemix.routed(F.col("text"))["value"].alias("routed"))
+
+
+@query()
+def transliterate(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", romanised.transliterated(F.col("text"))["value"].alias("text"))
+
+
+@query()
+def expand_text(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    text = F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("₹"), F.col("o_totalprice").cast("string")), F.concat(F.col("o_custkey").cast("string"), F.lit("km")))
+    return o.select("o_orderkey", spoken.expanded(text).alias("x")).select("o_orderkey", "x.value", "x.error_code")
+
+
+@query()
+def chunk_text(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.chunked(F.col("text"))["value"]).alias("c"))
+    return df.select("doc_id", "c.index", "c.text", "c.break_after", "c.pause_ms")
+
+
+@query()
+def g2p(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numerals.cardinal_column(F.col("l_quantity").cast("long")).alias("words"))
+    said = phonemes.phoneme_lists(F.col("words"))["value"]
+    return rows.select("l_orderkey", "l_linenumber", said.alias("p")).select("l_orderkey", "l_linenumber", phonemes.rendered_column(F.col("p")).alias("ipa"), phonemes.rendered_column(F.col("p"), ascii=True).alias("ascii"))
+
+
+@query()
+def text_frontend(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", frontend.processed(F.col("text")).alias("d"))
+    return df.select("doc_id", "d.error_code", "d.value.routed", frontend.summary(F.col("text"), F.col("d")).alias("s")).select("doc_id", "error_code", "routed", "s.*")
+
+
+@query()
+def frontend_eval(spark, sf_dir):
+    """Pass rate by role; a turn passes if its Latin words that are no romanised Malayalam come through unchanged."""
+    df = table(spark, sf_dir, "conversations").select("role", "text", frontend.processed(F.col("text")).alias("d"))
+    return reports.by_category(df.withColumn("passed", F.col("d.value.routed") == F.col("d.value.expanded")), "role", F.col("passed"))
