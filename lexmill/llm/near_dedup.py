@@ -2,15 +2,18 @@
 
 Documents with equal sets are one class from the start. Each class has 20 signature orders of 6 minhashes.
 In each order, classes that share the first 3 values lie in one region; a region of more than `crowd` classes
-is entered deeper, to all 6 values. Candidates of a class are its next neighbours in the order (their common
-prefix is the longest) and the first class of its region, as long as 120-bit sketches don't rule a similarity
-of 0.8 out (6 standard deviations). A pair at 0.8 shares no region of 20 with probability (1 - 0.8^3)^20 = 6e-7.
-
-Confirmation goes in two turns. First each class is held against its most alike candidate of smaller id; that
-unites nearly all of what belongs together, one comparison a class. Then every candidate pair whose ends still
-lie in different components is held against each other. So the texts compared grow with the classes, not with
-the pairs in a group, and no candidate that could join two components is left out. A class with very many
-partners is dealt out in parts of 128.
+is entered deeper, by one value at a time, to at most 6. Candidates of a class are its next neighbours in the
+order (their common prefix is the longest) and the first class of its regions, as long as 120-bit sketches don't
+rule a similarity of 0.8 out (6 standard deviations). A pair at 0.8 shares no region of 20 with probability
+(1 - 0.8^3)^20 = 6e-7, or (1 - 0.8^6)^20 = 2e-3 if all of its regions are crowded to the last depth.
+
+Confirmation goes in three turns. First each class is held against its most alike candidate of smaller id; that
+unites nearly all of what belongs together, one comparison a class. Then every candidate pair and every two
+classes of a region of at most `crowd` that still lie in different components are held against each other. Last,
+in regions crowded at the greatest depth, every class outside the largest component is held against all classes of
+other components. So any two classes that share a last region end in one component or are compared, and the
+texts compared grow with the classes, not with the pairs in a group. A class with very many partners is dealt
+out in parts of 128.
 
 Null or empty text, or without words: n_shingles 0, linked with nothing, kept. A null doc_id: linked with
 nothing, component null, kept. Repeated rows of an id: one component. Empty table: empty result.
@@ -84,34 +87,88 @@ def _unequal(x: str, y: str) -> F.Column:
     return F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) + F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
 
 
-def candidates(reps: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """reps: rep, s1, s2, head, tail. Returns a < b and how many bits of their sketches differ, once for each pair."""
-    rows = reps.select("rep", "s1", "s2", F.explode(F.arrays_zip("head", "tail")).alias("x")).select("rep", "s1", "s2", F.col("x.head").alias("head"), F.col("x.tail").alias("tail"))
-    lead = F.min(F.struct("rep", "s1", "s2")).alias("l")
+def forest(reps: DataFrame, crowd: int = CROWD) -> list[DataFrame]:
+    """reps: rep, s1, s2, head, tail. Returns the regions of several classes, a table for each depth, with n and the
+    first class (lrep, ls1, ls2) of each. What lies in a region of more than `crowd` classes is in the next table too."""
+    rows = reps.select("rep", "s1", "s2", F.explode(F.arrays_zip("head", "tail")).alias("x"))
+    rows = rows.select("rep", "s1", "s2", F.col("x.head").alias("head"), F.col("x.tail").alias("tail"), F.lit(0).cast("long").alias("key"))
+    out = []
+    for depth in range(FIRST, DEPTH + 1):
+        own = rows.groupBy("head", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "s1", "s2")).alias("l")).filter("n > 1")
+        own = own.select("head", "key", "n", *[F.col(f"l.{c}").alias(f"l{c}") for c in ("rep", "s1", "s2")])
+        out.append(staging.stage(rows.join(own, ["head", "key"]).withColumn("depth", F.lit(depth)), "regions"))
+        if depth < DEPTH:
+            rows = out[-1].filter(F.col("n") > crowd).select("rep", "s1", "s2", "head", "tail").withColumn("key", F.shiftrightunsigned("tail", 21 * (DEPTH - depth - 1)))
+    return out
+
+
+_REGION = ["head", "depth", "key"]
+
+
+def leaves(trees: list[DataFrame], crowd: int = CROWD) -> DataFrame:
+    """The regions that aren't entered deeper: of at most `crowd` classes, or of the greatest depth."""
+    out = trees[-1]
+    for df in trees[:-1]:
+        out = out.unionByName(df.filter(F.col("n") <= crowd))
+    return out.select("rep", "s1", "s2", "tail", "n", *_REGION)
 
-    def regions(df: DataFrame, *key: str) -> DataFrame:
-        """Adds n and the first class (lrep, ls1, ls2) of each region of several classes."""
-        own = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), lead).filter("n > 1")
-        return df.join(own.select(*key, "n", *[F.col(f"l.{c}").alias(f"l{c}") for c in ("rep", "s1", "s2")]), list(key))
 
-    wide = staging.stage(regions(rows, "head"), "regions")
-    deep = staging.stage(regions(wide.filter(F.col("n") > crowd).select(*rows.columns), "head", "tail"), "regions")
-    stars = [df.filter("rep <> lrep").select(F.col("lrep").alias("x"), F.col("rep").alias("y"), _unequal("l", "").alias("unequal")) for df in (wide, deep)]
-    near = wide.filter(F.col("n") <= crowd).select(*rows.columns, F.lit(0).cast("long").alias("deep"), F.lit(0).cast("long").alias("part"))
-    parts = F.ceil(F.col("n") / crowd)
-    near = near.unionByName(deep.select(*rows.columns, F.col("tail").alias("deep"), F.pmod(F.xxhash64("rep"), parts).alias("part")))
-    order = Window.partitionBy("head", "deep", "part").orderBy("tail", "rep")
+def candidates(trees: list[DataFrame], crowd: int = CROWD) -> DataFrame:
+    """Returns a < b and how many bits of their sketches differ, once for each pair."""
+    near = leaves(trees, crowd).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / crowd)))
+    order = Window.partitionBy(*_REGION, "part").orderBy("tail", "rep")
     for j in (1, 2, 3):
         near = near.withColumn(f"p{j}", F.lag(F.struct("rep", "s1", "s2"), j).over(order))
     near = near.select("rep", "s1", "s2", F.explode(F.filter(F.array("p1", "p2", "p3"), lambda p: p.isNotNull())).alias("p"))
     near = near.select("rep", "s1", "s2", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("rep", "s1", "s2")])
     pairs = near.select(F.col("prep").alias("x"), F.col("rep").alias("y"), _unequal("p", "").alias("unequal"))
-    for s in stars:
-        pairs = pairs.unionByName(s)
+    for df in trees:
+        pairs = pairs.unionByName(df.filter("rep <> lrep").select(F.col("lrep").alias("x"), F.col("rep").alias("y"), _unequal("l", "").alias("unequal")))
     pairs = pairs.filter((F.col("unequal") <= MOST_UNEQUAL) & (F.col("x") != F.col("y")))
-    out = staging.stage(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("unequal").alias("unequal")), "pairs")
-    staging.drop(wide, deep)
-    return out
+    return staging.stage(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("unequal").alias("unequal")), "pairs")
+
+
+def unsettled(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """Those rows of leaves() whose region holds classes of several components; c is the component."""
+    at = rows.join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")).select("rep", "s1", "s2", "n", "c", *_REGION)
+    several = at.groupBy(*_REGION).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select(*_REGION)
+    return staging.stage(at.join(several, _REGION), "unsettled")
+
+
+def across(some: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs a < b of some and others, both in one region and of two components, that sketches don't rule out."""
+    x = some.select(*on, *[F.col(c).alias(f"x{c}") for c in ("rep", "s1", "s2", "c")])
+    y = others.select(*on, *[F.col(c).alias(f"y{c}") for c in ("rep", "s1", "s2", "c")])
+    return x.join(y, on).filter((F.col("xc") != F.col("yc")) & (_unequal("x", "y") <= MOST_UNEQUAL)).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
+
+
+def crowded(rows: DataFrame, links: DataFrame, met: DataFrame, known: DataFrame, compare, most: int = CROWD, part: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Settles regions that stay crowded at the greatest depth; rows: those of leaves(). Returns links, components.
+
+    In each round, up to `most` strays (classes outside their region's largest component) of each region are held
+    against all of its classes in other components, until no stray is left untried; `most` grows by 4 each round.
+    Two classes of the largest component need no comparison. Members are dealt out in parts, strays copied to each.
+    """
+    tried = None
+    while True:
+        at = unsettled(rows, met)
+        main = at.groupBy(*_REGION, "c").agg(F.count(F.lit(1)).alias("m")).groupBy(*_REGION).agg(F.max(F.struct("m", "c"))["c"].alias("main"))
+        stray = at.join(main, _REGION).filter("c <> main").drop("main")
+        if tried is not None:
+            stray = stray.join(tried, ["rep", *_REGION], "left_anti")
+        turn = F.row_number().over(Window.partitionBy(*_REGION).orderBy(F.xxhash64("rep"), "rep"))
+        now = staging.stage(stray.withColumn("turn", turn).filter(F.col("turn") <= most).drop("turn"), "strays")
+        if now.isEmpty():
+            return links, met
+        parts = F.ceil(F.col("n") / part).cast("int")
+        copies = now.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        pairs = across(copies, at.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")), [*_REGION, "part"]).distinct()
+        pairs = staging.stage(pairs.join(known, ["a", "b"], "left_anti"), "open")
+        links = links.unionByName(compare(pairs))
+        met = graph.components(links)
+        tried = now.select("rep", *_REGION) if tried is None else tried.unionByName(now.select("rep", *_REGION))
+        staging.drop(at)
+        most *= 4
 
 
 def _compared(percent: int):
@@ -144,24 +201,38 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int = 80) -> DataFrame
     return staging.stage(rows.mapInArrow(_compared(percent), "a long, b long"), "links")
 
 
-def link(docs: DataFrame, percent: int = 80) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     workers.ship(docs.sparkSession)
     signed = staging.stage(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, head array<long>, tail array<long>"), "signatures")
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staging.stage(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = able.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "s1", "s2", "head", "tail")
-    pairs = candidates(reps)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = staging.stage(docs.select("doc_id", "text").join(ends, "doc_id"), "held")
+    trees = forest(reps, crowd)
+    pairs, last = candidates(trees, crowd), leaves(trees, crowd)
+    held = staging.stage(docs.select("doc_id", "text").join(_ends(pairs), "doc_id"), "held")
+
+    def compare(some: DataFrame) -> DataFrame:
+        lacking = staging.stage(_ends(some).join(held, "doc_id", "left_anti"), "lacking")
+        more = held if lacking.isEmpty() else held.unionByName(docs.select("doc_id", "text").join(lacking, "doc_id"))
+        return confirmed(some, more, percent)
+
     best = staging.stage(pairs.groupBy("b").agg(F.min(F.struct("unequal", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "best")
     links = confirmed(best, held, percent)
     met = graph.components(links)
     at = lambda c: met.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    open_ = pairs.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left").filter("tried IS NULL").select("a", "b")
-    open_ = open_.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = confirmed(staging.stage(open_, "open"), held, percent)
-    roots = graph.components(links.unionByName(more)) if not more.isEmpty() else met
+    open_ = pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    small = unsettled(last.filter(F.col("n") <= crowd), met)
+    open_ = open_.unionByName(across(small, small, _REGION)).distinct().join(best, ["a", "b"], "left_anti")
+    more = compare(staging.stage(open_, "open"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        met = graph.components(links)
+    links, roots = crowded(last.filter(F.col("n") > crowd), links, met, pairs.select("a", "b"), compare, crowd)
     ours = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return ours.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

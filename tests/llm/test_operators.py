@@ -223,6 +223,26 @@ def test_near_dedup_crowd(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_dedup_settles_crowded_regions(spark):
+    """Regions that stay crowded at every depth lose no link: many components in each, against brute force."""
+    rng = random.Random(4)
+    base, made = [rng.choice(_words) for _ in range(120)], []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.randint(2, 12)):
+            text[rng.randrange(120)] = f"n{rng.randrange(40)}"
+        made.append((i, " ".join(text)))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for _, t in made)]
+    root = list(range(len(made)))
+    for a, b in itertools.combinations(root[:], 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            r, s = sorted((root[a], root[b]))
+            root = [r if v == s else v for v in root]
+    assert 10 < len(set(root)) < 150
+    got = near_dedup.link(spark.createDataFrame(made, "doc_id long, text string"), crowd=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
