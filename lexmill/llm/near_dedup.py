@@ -142,12 +142,14 @@ def across(some: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
     return x.join(y, on).filter((F.col("xc") != F.col("yc")) & (_unequal("x", "y") <= MOST_UNEQUAL)).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
 
 
-def crowded(rows: DataFrame, links: DataFrame, met: DataFrame, known: DataFrame, compare, most: int = CROWD, part: int = 4096) -> tuple[DataFrame, DataFrame]:
+def crowded(rows: DataFrame, links: DataFrame, met: DataFrame, held, percent: int = 80, most: int = CROWD, part: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Settles regions that stay crowded at the greatest depth; rows: those of leaves(). Returns links, components.
 
     In each round, up to `most` strays (classes outside their region's largest component) of each region are held
     against all of its classes in other components, until no stray is left untried; `most` grows by 4 each round.
-    Two classes of the largest component need no comparison. Members are dealt out in parts, strays copied to each.
+    Two classes of the largest component need no comparison. Members are dealt out in parts and strays in chunks of
+    CROWD: a task keeps the sets of one chunk and streams the members of one part past them, and only links leave it.
+    held(nodes) gives doc_id, text of nodes (doc_id).
     """
     tried = None
     while True:
@@ -157,20 +159,66 @@ def crowded(rows: DataFrame, links: DataFrame, met: DataFrame, known: DataFrame,
         if tried is not None:
             stray = stray.join(tried, ["rep", *_REGION], "left_anti")
         turn = F.row_number().over(Window.partitionBy(*_REGION).orderBy(F.xxhash64("rep"), "rep"))
-        now = staging.stage(stray.withColumn("turn", turn).filter(F.col("turn") <= most).drop("turn"), "strays")
+        now = staging.stage(stray.withColumn("turn", turn).filter(F.col("turn") <= most), "strays")
         if now.isEmpty():
             return links, met
         parts = F.ceil(F.col("n") / part).cast("int")
-        copies = now.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        pairs = across(copies, at.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")), [*_REGION, "part"]).distinct()
-        pairs = staging.stage(pairs.join(known, ["a", "b"], "left_anti"), "open")
-        links = links.unionByName(compare(pairs))
+        chunk = lambda c: F.floor((F.col(c) - 1) / CROWD).cast("int")
+        last = now.groupBy(*_REGION).agg(F.max("turn").alias("last"))
+        members = at.join(last, _REGION).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk("last")))).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        strays = now.withColumn("chunk", chunk("turn")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        block, value = [*_REGION, "chunk", "part"], ["c", "s1", "s2"]
+        both = members.select(*block, F.lit(True).alias("child"), F.col("rep").alias("node"), *value).unionByName(strays.select(*block, F.lit(False).alias("child"), F.col("rep").alias("node"), *value))
+        nodes = staging.stage(members.select(F.col("rep").alias("doc_id")).distinct(), "members")
+        both = both.join(held(nodes).withColumnRenamed("doc_id", "node"), "node").repartition(*block).sortWithinPartitions(*block, "child")
+        found = staging.stage(both.select(*block, "child", "node", *value, "text").mapInArrow(_streamed(percent), "a long, b long").distinct(), "links")
+        links = links.unionByName(found)
         met = graph.components(links)
         tried = now.select("rep", *_REGION) if tried is None else tried.unionByName(now.select("rep", *_REGION))
-        staging.drop(at)
+        staging.drop(at, nodes)
         most *= 4
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    if len(x) < len(y):
+        x, y = y, x
+    at = x.searchsorted(y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
+
+
+def _streamed(percent: int):
+    """Rows of a block, strays first; yields pairs of a stray and a member of two components that are alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own, sets, marks = None, [], [], None
+        for batch in batches:
+            left, right = [], []
+            columns = [batch.column(c).to_pylist() for c in (*_REGION, "chunk", "part", "child", "node", "c", "s1", "s2")]
+            for *key, child, node, c, s1, s2, text in zip(*columns, texts(batch.column("text")), strict=True):
+                h = shingles(text)
+                if key != block:
+                    block, own, sets, marks = key, [], [], None
+                if not child:
+                    own.append((node, c, s1, s2, len(h)))
+                    sets.append(h)
+                    continue
+                if marks is None:
+                    marks = np.array(own, np.int64).reshape(-1, 5)
+                n, m = marks[:, 4], len(h)
+                unequal = np.bitwise_count(marks[:, 2:4].view(np.uint64) ^ np.array([s1, s2], np.int64).view(np.uint64)).sum(axis=1)
+                able = (marks[:, 1] != c) & (unequal <= MOST_UNEQUAL) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                for i in np.flatnonzero(able):
+                    both = _common(sets[i], h)
+                    if 100 * both >= percent * (len(sets[i]) + m - both):
+                        left.append(min(own[i][0], node))
+                        right.append(max(own[i][0], node))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
@@ -181,7 +229,7 @@ def _compared(percent: int):
                 if not child:
                     at, own = (a, part), h
                 elif at == (a, part):
-                    both = len(np.intersect1d(own, h, assume_unique=True))
+                    both = _common(own, h)
                     if 100 * both >= percent * (len(own) + len(h) - both):
                         left.append(a)
                         right.append(node)
@@ -216,10 +264,9 @@ def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     pairs, last = candidates(trees, crowd), leaves(trees, crowd)
     held = staging.stage(docs.select("doc_id", "text").join(_ends(pairs), "doc_id"), "held")
 
-    def compare(some: DataFrame) -> DataFrame:
-        lacking = staging.stage(_ends(some).join(held, "doc_id", "left_anti"), "lacking")
-        more = held if lacking.isEmpty() else held.unionByName(docs.select("doc_id", "text").join(lacking, "doc_id"))
-        return confirmed(some, more, percent)
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        lacking = staging.stage(nodes.join(held, "doc_id", "left_anti"), "lacking")
+        return held if lacking.isEmpty() else held.unionByName(docs.select("doc_id", "text").join(lacking, "doc_id"))
 
     best = staging.stage(pairs.groupBy("b").agg(F.min(F.struct("unequal", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "best")
     links = confirmed(best, held, percent)
@@ -228,11 +275,12 @@ def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     open_ = pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     small = unsettled(last.filter(F.col("n") <= crowd), met)
     open_ = open_.unionByName(across(small, small, _REGION)).distinct().join(best, ["a", "b"], "left_anti")
-    more = compare(staging.stage(open_, "open"))
+    open_ = staging.stage(open_, "open")
+    more = confirmed(open_, texts_of(_ends(open_)), percent)
     if not more.isEmpty():
         links = links.unionByName(more)
         met = graph.components(links)
-    links, roots = crowded(last.filter(F.col("n") > crowd), links, met, pairs.select("a", "b"), compare, crowd)
+    links, roots = crowded(last.filter(F.col("n") > crowd), links, met, texts_of, percent, crowd)
     ours = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return ours.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
