@@ -5,15 +5,15 @@ In each order, classes that share the first 3 values lie in one region; a region
 is entered deeper, by one value at a time, to at most 6. Candidates of a class are its next neighbours in the
 order (their common prefix is the longest) and the first class of its regions, as long as 120-bit sketches don't
 rule a similarity of 0.8 out (6 standard deviations). A pair at 0.8 shares no region of 20 with probability
-(1 - 0.8^3)^20 = 6e-7, or (1 - 0.8^6)^20 = 2e-3 if all of its regions are crowded to the last depth.
+(1 - 0.8^3)^20 = 6e-7, crowded or not.
 
 Confirmation goes in three turns. First each class is held against its most alike candidate of smaller id; that
 unites nearly all of what belongs together, one comparison a class. Then every candidate pair and every two
 classes of a region of at most `crowd` that still lie in different components are held against each other. Last,
-in regions crowded at the greatest depth, every class outside the largest component is held against all classes of
-other components. So any two classes that share a last region end in one component or are compared, and the
-texts compared grow with the classes, not with the pairs in a group. A class with very many partners is dealt
-out in parts of 128.
+in regions of 3 values that are crowded, every class outside the largest component is held against all classes of
+other components, whatever their deeper values. So any two classes that share 3 values end in one component or are
+compared. The texts compared grow with the classes of a group of copies; where a crowded region holds many classes
+that aren't alike, with the pairs of them. A class with very many partners is dealt out in parts of 128.
 
 Null or empty text, or without words: n_shingles 0, linked with nothing, kept. A null doc_id: linked with
 nothing, component null, kept. Repeated rows of an id: one component. Empty table: empty result.
@@ -143,7 +143,7 @@ def across(some: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
 
 
 def crowded(rows: DataFrame, links: DataFrame, met: DataFrame, held, percent: int = 80, most: int = CROWD, part: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Settles regions that stay crowded at the greatest depth; rows: those of leaves(). Returns links, components.
+    """Settles crowded regions; rows: their classes, with the columns of leaves(). Returns links, components.
 
     In each round, up to `most` strays (classes outside their region's largest component) of each region are held
     against all of its classes in other components, until no stray is left untried; `most` grows by 4 each round.
@@ -293,7 +293,8 @@ def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     if not more.isEmpty():
         links = links.unionByName(more)
         met = graph.components(links)
-    links, roots = crowded(last.filter(F.col("n") > crowd), links, met, texts_of, percent, crowd)
+    shallow = trees[0].filter(F.col("n") > crowd).select(*last.columns)
+    links, roots = crowded(shallow, links, met, texts_of, percent, crowd)
     ours = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return ours.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -243,6 +243,41 @@ def test_near_dedup_settles_crowded_regions(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
+def test_near_dedup_settles_shallow_regions(spark):
+    """Two texts that share crowded regions of 3 to 5 values only, each with an unlike third class before them, are linked."""
+    K, D = near_dedup.TREES, near_dedup.DEPTH
+    grams = lambda w: {" ".join(w[i : i + 4]) for i in range(len(w) - 3)}
+    sig = lambda w: near_dedup.signature(near_dedup.shingles(" ".join(w).encode()))
+    depths = lambda x, y: [next((i for i in range(D) if p[i] != q[i]), D) for p, q in zip(x.reshape(K, D), y.reshape(K, D), strict=True)]
+    rng = random.Random(9)
+    for _ in range(20_000):
+        a = [f"w{rng.randrange(10_000)}" for _ in range(115)]
+        b = list(a)
+        for i in (20, 45, 70):
+            b[i] = f"v{rng.randrange(10_000)}"
+        met = depths(sig(a), sig(b))
+        if 100 * len(grams(a) & grams(b)) >= 80 * len(grams(a) | grams(b)) and 3 <= max(met) < D:
+            break
+    else:
+        raise AssertionError("no such pair")
+    want, made = sig(a).reshape(K, D), []
+    alone = {g: sig(g.split()).reshape(K, D) for g in grams(a) & grams(b)}
+    for tree, depth in enumerate(met):
+        if depth < 3:
+            continue
+        least = [next(g for g, s in alone.items() if s[tree, i] == want[tree, i]) for i in range(depth)]
+        for attempt in range(20_000):
+            filler = " ".join(f"{g} f{tree}x{attempt}" for g in least).split()
+            if depths(sig(filler), sig(a))[tree] >= depth:
+                break
+        else:
+            raise AssertionError("no filler")
+        made.append((tree, " ".join(filler)))
+    made += [(100, " ".join(a)), (101, " ".join(b))]
+    got = near_dedup.link(spark.createDataFrame(made, "doc_id long, text string"), crowd=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: min(i, 100) for i, _ in made}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
