@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,14 +31,22 @@ def revoked(voices: DataFrame, consent_ids: DataFrame) -> DataFrame:
     return df.withColumn("status", F.when(F.col("__gone"), "disabled").otherwise(F.col("status"))).drop("__gone")
 
 
+def folded_name(name: str) -> str:
+    """Lower case, then NFKD, letters and digits alone: no diacritics, no compatibility forms."""
+    return "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if c.isalnum())
+
+
 def blocked_names(names: DataFrame, column: str, entries: list[str]) -> DataFrame:
-    """Rows whose name holds an entry or is held by one, letters and digits of both in lower case alone. The
-    entries are an operator's own list, part of the plan."""
-    fold = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    own = F.col("__fold")
-    listed = F.array(*[fold(F.lit(e)) for e in entries]) if entries else F.array().cast("array<string>")
-    hit = (own != "") & F.exists(listed, lambda e: (e != "") & (own.contains(e) | e.contains(own)))
-    return names.withColumn("__fold", fold(F.col(column))).filter(hit).drop("__fold")
+    """Rows whose name holds an entry or is held by one, both folded. The entries are an operator's own list, part of
+    the plan. Python, for Spark has no Unicode normalisation."""
+    listed = [e for e in map(folded_name, entries) if e]
+
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            own = [folded_name(n) if n is not None else "" for n in batch]
+            yield pd.Series([n != "" and any(e in n or n in e for e in listed) for n in own], dtype=bool)
+
+    return names.filter(F.pandas_udf(hit, "boolean")(F.col(column)))
 
 
 class TokenBuckets:

@@ -79,3 +79,10 @@ def test_speech_segments(spark):
     frames = spark.createDataFrame([("a", i, 0.0 if i in loud else -60.0) for i in range(50)], "clip string, frame int, energy double")
     got = sorted((r.start, r.end) for r in signal.speech_segments(frames, "clip").collect())
     assert got == [(10, 19), (40, 50)]
+
+
+def test_blocked_names_fold(spark):
+    """Diacritics, composed or not, and full-width letters don't hide a name."""
+    names = ["Jose\u0301 X", "JOS\u00c9", "jose", "\uff2a\uff4f\uff53\uff45", "Joe", "--", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    assert [sorted(r.i for r in voices.blocked_names(df, "n", e).collect()) for e in (["Jose"], ["Jos\u00e9"], ["", "--"], [])] == [[0, 1, 2, 3], [0, 1, 2, 3], [], []]
