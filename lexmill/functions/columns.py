@@ -1,12 +1,15 @@
-"""Column builders: everything here stays in the JVM."""
+"""Column builders: all stays in the JVM but what needs Unicode normalisation (error rates, moderation)."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions import unicode_text
+
 MALAYALAM = r"[\x{0D00}-\x{0D7F}]"
 #: The Unicode punctuation classes that scoring drops; connector punctuation stays.
 SCORED_AWAY = r"[\p{Po}\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pf}]"
@@ -26,26 +29,43 @@ def stripped(text: Column) -> Column:
 
 
 def for_scoring(text: Column, *, strip_punctuation: bool = True) -> Column:
-    """Without punctuation, white space folded to single spaces, edges trimmed."""
-    t = F.regexp_replace(text, SCORED_AWAY, "") if strip_punctuation else text
+    """Canonical form, without punctuation, white space folded to single spaces, edges trimmed."""
+    t = unicode_text.normalized(text)["text"]
+    t = F.regexp_replace(t, SCORED_AWAY, "") if strip_punctuation else t
     return stripped(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edits over the reference's characters, spaces aside; null where the reference is empty."""
     bare = lambda c: F.regexp_replace(for_scoring(c), " ", "")
-    n = F.length(bare(reference))
-    return F.when(n > 0, F.levenshtein(bare(reference), bare(hypothesis)) / n)
+    r, h = bare(reference), bare(hypothesis)
+    n = F.length(r)
+    return F.when(n > 0, F.levenshtein(r, h) / n)
+
+
+def lettered(reference: str, hypothesis: str) -> tuple[str, str]:
+    """Each distinct word of the pair as one letter of its own; surrogates are no letters."""
+    known: dict[str, str] = {}
+
+    def letter(word: str) -> str:
+        if word not in known:
+            at = len(known) + 1
+            known[word] = chr(at if at < 0xD800 else at + 0x800)
+        return known[word]
+
+    return "".join(map(letter, reference.split())), "".join(map(letter, hypothesis.split()))
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edits over the reference's words. Each word of the pair becomes one letter, so the edit distance of
-    strings is that of word lists; pairs have at most about 20,000 distinct words."""
-    words = lambda c: F.filter(F.split(for_scoring(c), " "), lambda w: w != "")
-    r, h = words(reference), words(hypothesis)
-    known = F.array_distinct(F.concat(r, h))
-    letters = lambda a: F.array_join(F.transform(a, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(r) > 0, F.levenshtein(letters(r), letters(h)) / F.size(r))
+    strings is that of word lists; a pair of more distinct words than Unicode has letters (1,112,063) is an error."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for r, h in batches:
+            yield pd.DataFrame([(None, None) if x is None or y is None else lettered(x, y) for x, y in zip(r, h, strict=True)], columns=["r", "h"])
+
+    pair = F.pandas_udf(run, "r string, h string")(for_scoring(reference), for_scoring(hypothesis))
+    return F.when(F.length(pair["r"]) > 0, F.levenshtein(pair["r"], pair["h"]) / F.length(pair["r"]))
 
 
 def longest_run(items: Column) -> Column:
@@ -81,8 +101,8 @@ def proximity(left: str, right: str, window: int = 40) -> str:
 
 
 def moderation(text: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
-    """struct<severity, rules>; rules: (name, block or flag, pattern), matched on lower case with spaces folded."""
-    folded = F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
+    """struct<severity, rules>; rules: (name, block or flag, pattern), matched on NFC in lower case with spaces folded."""
+    folded = F.regexp_replace(F.lower(unicode_text.composed(text)), r"(?U)\s+", " ")
     hits = {name: folded.rlike(f"(?iu){pattern}") for name, _, pattern in rules}
     hard = [hits[n] for n, severity, _ in rules if severity == "block"]
     blocked = F.exists(F.array(*hard), lambda x: x) if hard else F.lit(False)

@@ -72,3 +72,13 @@ def normalized(text: Column, *, legacy: bool = False, digits: bool = True) -> Co
             yield pd.DataFrame(rows, columns=["text", *COUNTERS, "changed"])
 
     return F.pandas_udf(run, f"text string, {', '.join(f'{c} long' for c in COUNTERS)}, changed boolean")(text)
+
+
+def composed(text: Column) -> Column:
+    """NFC; null text: null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in batch], dtype=object)
+
+    return F.pandas_udf(run, "string")(text)

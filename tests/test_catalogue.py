@@ -86,3 +86,16 @@ def test_blocked_names_fold(spark):
     names = ["Jose\u0301 X", "JOS\u00c9", "jose", "\uff2a\uff4f\uff53\uff45", "Joe", "--", None]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
     assert [sorted(r.i for r in voices.blocked_names(df, "n", e).collect()) for e in (["Jose"], ["Jos\u00e9"], ["", "--"], [])] == [[0, 1, 2, 3], [0, 1, 2, 3], [], []]
+
+
+def test_error_rates_of_one_word_spelled_twice(spark):
+    """A chillu and its older spelling (letter, virama, joiner), and digits of both scripts, are no errors."""
+    df = spark.createDataFrame([("\u0d05\u0d35\u0d7b \u0d67", "\u0d05\u0d35\u0d28\u0d4d\u200d 1"), (None, "x"), ("x", None), (" ", "x")], "r string, h string")
+    for rate in (C.character_error_rate, C.word_error_rate):
+        assert [r.x for r in df.select(rate(F.col("r"), F.col("h")).alias("x")).collect()] == [0.0, None, None, None]
+
+
+def test_moderation_composes(spark):
+    df = spark.createDataFrame([("Cafe\u0301",), ("CAF\u00c9",), ("cafe",), (None,)], "t string")
+    got = df.select(C.moderation(F.col("t"), (("c", "block", "caf\u00e9"), ("d", "flag", "afe$"))).alias("m")).select("m.severity").collect()
+    assert [r.severity for r in got] == ["block", "block", "flag", "allow"]
