@@ -99,3 +99,12 @@ def test_moderation_composes(spark):
     df = spark.createDataFrame([("Cafe\u0301",), ("CAF\u00c9",), ("cafe",), (None,)], "t string")
     got = df.select(C.moderation(F.col("t"), (("c", "block", "caf\u00e9"), ("d", "flag", "afe$"))).alias("m")).select("m.severity").collect()
     assert [r.severity for r in got] == ["block", "block", "flag", "allow"]
+
+
+def test_word_error_rate_of_many_words(spark):
+    """Beyond 35,327 distinct words a pair's letters were surrogates, then cut to four digits."""
+    words = [f"w{i}" for i in range(50_000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[36_000:36_010])), (" ".join(words), " ".join(words[49_990:]))], "r string, h string")
+    assert [r.x for r in df.select((C.word_error_rate(F.col("r"), F.col("h")) * 50_000).alias("x")).collect()] == [49_990.0, 49_990.0]
+    r, h = C.lettered(" ".join(words), " ".join(words))
+    assert r == h and len(set(r)) == 50_000 and r.encode()
