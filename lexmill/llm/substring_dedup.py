@@ -2,8 +2,8 @@
 
 A window of 35 words is known by the least hash among its 5-word grams, its fingerprint; neighbouring windows
 mostly share one, so a text has about one fingerprint every 16 words, and equal windows have equal ones. The
-index is a set of sorted immutable runs (fingerprint, count), one for each batch of documents; a batch is
-merge-joined with them, and runs are compacted into one when there are several. What the index finds is then
+index is a set of sorted immutable runs (fingerprint, count), one for each batch of documents; they are compacted
+into one when there are several, and all fingerprints are joined with that once. What the index finds is then
 verified: where the whole stretch of windows around a fingerprint is found again, all of them repeat; of other
 stretches each window is compared by 128 bits over its words. Only one of several equal stretches, and one of
 several equal documents, is ever expanded.
