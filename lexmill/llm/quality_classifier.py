@@ -37,16 +37,18 @@ _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
 class _Terms(dict):
     """word -> word bucket * LOOKS + look bucket."""
 
-    most = 500_000
+    most, longest = 500_000, 200  # longer words aren't kept
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        look = _SAME.sub(rb"\1", word[:200])
+        look = _SAME.sub(rb"\1", word)
         for pattern, mark in _RUNS:
             look = pattern.sub(mark, look)
         w = xxhash.xxh3_64_intdigest(word.lower().strip(_AROUND)) % WORDS
-        i = self[word] = w * LOOKS + 16 + xxhash.xxh3_64_intdigest(look) % (LOOKS - 16)
+        i = w * LOOKS + 16 + xxhash.xxh3_64_intdigest(look) % (LOOKS - 16)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = i
         return i
 
 

@@ -194,6 +194,13 @@ def test_classifiers(spark, docs, none, label):
     assert all(h == (__import__("zlib").crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
 
 
+def test_quality_looks_of_long_words():
+    """A long word's looks are those of all of it, and it isn't kept."""
+    head = b"a" * 300
+    looks = {quality_classifier._terms[head + tail] % quality_classifier.LOOKS for tail in (b"", b"0", b"A!0", b"-0-A")}
+    assert len(looks) == 4 and not any(len(w) > 200 for w in quality_classifier._terms)
+
+
 def test_near_dedup(docs, none, rows):
     def shingles(text):
         w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
