@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='lexmill-')}")
     return f"{base.rstrip('/')}/lexmill-{app}"
 
@@ -43,15 +45,41 @@ def drop(*frames: DataFrame | None) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in frames:
         if df is not None and (path := getattr(df, "_lexmill_path", None)):
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes everything that this application has staged, once its results are written."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+    delete(spark, *_written.pop(spark.sparkContext.applicationId, []))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        files, at = _at(spark, path)
+        files.delete(at, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    files, at = _at(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file, whole or not at all."""
+    files, at = _at(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    out = files.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(new, at):
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -8,8 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, graph, labelled, mixing, near_dedup, pii, quality_classifier, quality_rules, staging, substring_dedup, toxicity, voronoi, warc
+from lexmill.llm.text import grams, groups
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rep long, mark string, kept boolean"
@@ -128,13 +130,62 @@ def test_substring_dedup(docs, none, rows):
 
 
 def test_fingerprint_index(spark):
-    index = substring_dedup.FingerprintIndex(most_runs=2)
-    batch = lambda *x: spark.createDataFrame([(i,) for i in x], "mark long")
-    for x in ((1, 2), (2, 3), (3, 4, 4)):
-        index.add(batch(*x))
-    assert len(index.runs) == 1
-    assert sorted(r.mark for r in index.seen(batch(1, 2, 9)).collect()) == [1, 2]
-    assert sorted(r.mark for r in index.seen(batch(1, 2, 3, 4, 9), 2).collect()) == [2, 3, 4]
+    path = staging.new_path(spark, "index")
+    batch = lambda *x: spark.createDataFrame([(i, 0, 0, list(m), [0] * len(m)) for i, m in enumerate(x)], substring_dedup._WINDOWS)
+    hits = []
+    for x in (((1, 2), (2, 3)), ((3, 4, 4),), ((1, 9),)):
+        index = substring_dedup.FingerprintIndex(spark, path)  # opened again from its folder each time
+        hits.append({r.mark: r.n for r in index.absorb(batch(*x)).collect()})
+    assert hits == [{2: 2}, {3: 2, 4: 2}, {1: 2}] and len(index.runs) == 1
+    run = index.run(index.runs[0]).collect()
+    assert {r.mark: r.n for r in run} == {1: 2, 2: 2, 3: 2, 4: 2, 9: 1}
+    assert index.documents().count() == 4
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, path, size=20)
+
+
+def test_substring_dedup_of_a_second_batch(spark, rows):
+    """A batch that comes later, in another session, is judged against what the index holds as by a full rebuild."""
+    data = [(i, t) for i, t, *_ in rows if i is not None]
+    extra = [(100, data[7][1]), (101, " ".join(_rng.choice(_words) for _ in range(80))), (102, data[12][1] + " and more"), (103, " ".join([*(_rng.choice(_words) for _ in range(40)), *PASSAGE[5:50]]))]
+    old, new = ([x for x in data if x[0] % 2 == k] + (extra if k else []) for k in (0, 1))
+    path, frame = staging.new_path(spark, "index"), lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    substring_dedup.remove_repeats(frame(old), index=substring_dedup.FingerprintIndex(spark, path)).collect()
+    later = spark.newSession()
+    again = later.createDataFrame(new, "doc_id long, text string")
+    got = substring_dedup.remove_repeats(again, batches=2, index=substring_dedup.FingerprintIndex(later, path), history=later.createDataFrame(old, "doc_id long, text string"))
+    want = substring_dedup.remove_repeats(frame(old + new)).filter(F.col("doc_id").isin([i for i, _ in new]))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_windows_with_repeated_grams():
+    """Stretches are those of each window's leftmost least gram, also where grams repeat inside a window."""
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = [" ".join(rng.choice("ab") if rng.random() < 0.7 else f"w{rng.randrange(50)}" for _ in range(rng.randrange(60))).encode() for _ in range(5)]
+        for group in groups(texts):
+            w = substring_dedup.Windows(group, 7)
+            for d in range(5):
+                h = group.h[group.bounds[d] : group.bounds[d + 1]]
+                g = grams(h, 5)
+                at = [i + min(range(3), key=lambda j: (int(g[i + j]), j)) for i in range(len(h) - 6)]
+                want = [(i, int(g[x])) for i, x in enumerate(at) if i == 0 or at[i - 1] != x]
+                a, b = w.bounds[d], w.bounds[d + 1]
+                assert [(int(f) - group.bounds[d], int(m)) for f, m in zip(w.first[a:b], w.marks[a:b], strict=True)] == want
+                assert [int(x) - group.bounds[d] for x in w.last[a:b]] == [i - 1 for i, _ in want[1:]] + ([len(at) - 1] if at else [])
+
+
+def test_word_hashes():
+    rng = random.Random(1)
+    made = [None, b"", b" \n", b" a b", b"a  b", b"a b"] + [bytes(rng.choice(b"ab \t\n\xc3\xa9") for _ in range(rng.randrange(40))) for _ in range(500)]
+    made += [b"x" * 5_000_000 + b" ab a", b" ".join(b"w%d" % rng.randrange(99) for _ in range(200_000))]
+    known, at = {}, 0
+    for group in groups(made):
+        for d, text in enumerate(group.texts):
+            words_, h = text.split(), group.h[group.bounds[d] : group.bounds[d + 1]].tolist()
+            assert len(words_) == len(h) and all(known.setdefault(w, x) == x for w, x in zip(words_, h, strict=True)) and group.joined(d) == b" ".join(words_)
+            at += 1
+    assert at == len(made) and len(set(known.values())) == len(known)
 
 
 def test_bpe(docs, none):
