@@ -1,8 +1,8 @@
 """Removal of passages that repeat anywhere, by a log-structured index of window fingerprints.
 
-A window of 35 words is known by the least hash among its 5-word grams, its mark; neighbouring windows mostly
-share one, so a text has about one mark every 16 words, and equal windows have equal ones. A stretch is a row of
-neighbouring windows around one mark.
+A window of 35 words is known by the least hash among its 12-word grams, its mark; neighbouring windows
+mostly share one, so a text has about one mark every 12 words, and equal windows have equal ones. A stretch is a row
+of neighbouring windows around one mark.
 
 The index is a folder: immutable runs (mark, n), sorted by mark, one for each batch of documents, the windows of
 the batch's documents, and a manifest that names what is live. Each new batch makes a run of its own, which is
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import skew, staging, workers
 from lexmill.llm.text import U64, Group, grams, groups, mix, powers, texts
 
-GRAM = 5
+GRAM = 12
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -115,7 +115,7 @@ class FingerprintIndex:
     Files are only added; a manifest is a new file that names the runs it holds, and is written last. What a
     compaction replaced is deleted after that. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, size: int = 35, most_runs: int = 2):
+    def __init__(self, spark: SparkSession, path: str, size: int = 35, most_runs: int = 1):
         """Opens the index at path, or begins one."""
         self.spark, self.path, self.most_runs = spark, path.rstrip("/"), most_runs
         self.version, names = 0, staging.listed(spark, self.path)
@@ -268,7 +268,7 @@ def _cleaned(size: int):
 def _classes(read: DataFrame, past: DataFrame) -> DataFrame:
     """Equal documents that have windows: d1, d2, the smallest doc_id, rows n, and whether history has them (old)."""
     own = read.filter("d1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    own = own.join(past.select("d1", "d2", F.lit(True).alias("old")), ["d1", "d2"], "left")
+    own = own.join(past.select("d1", "d2").distinct().withColumn("old", F.lit(True)), ["d1", "d2"], "left")
     return staging.stage(own.withColumn("old", F.coalesce("old", F.lit(False))), "classes")
 
 
@@ -285,10 +285,12 @@ def _asked(documents: DataFrame, hits: DataFrame) -> DataFrame:
     mixed = kinds.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     some = skew.joined(kinds.select("mark", "one", F.least("n", F.lit(2)).cast("int").alias("weight")), mixed, ["mark"], total)
     told = whole.select("doc_id", "i", F.lit(True).alias("whole"), F.lit(0).alias("weight")).unionByName(some.select("one.doc_id", "one.i", F.lit(False).alias("whole"), "weight"))
-    return told.groupBy("doc_id").agg(F.max("weight").alias("most"), F.collect_list(F.struct("i", "whole", "weight")).alias("marks"))
+    asked = staging.stage(told.groupBy("doc_id").agg(F.max("weight").alias("most"), F.collect_list(F.struct("i", "whole", "weight")).alias("marks")), "asked")
+    staging.drop(live, found, kinds)
+    return asked
 
 
-def remove_repeats(docs: DataFrame, size: int = 35, batches: int = 3, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 35, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and kept_text where a part was removed (null: all words, or none, stay).
     index: that of earlier documents, whose rows (doc_id, text) are history; docs are added to it, in batches."""
     spark = docs.sparkSession
@@ -297,12 +299,14 @@ def remove_repeats(docs: DataFrame, size: int = 35, batches: int = 3, index: Fin
     docs = docs.select("doc_id", "text")
     read = staging.stage(docs.mapInArrow(_signed(size), _READ), "windows")
     classes = _classes(read, index.documents())
-    reps = read.select("doc_id", "d1", "d2", "marks", "spans").join(classes.filter("NOT old").select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"])
-    reps = staging.stage(reps, "reps")
+    fresh = classes.filter("NOT old").select("doc_id", "d1", "d2")
     hits = None
     for b in range(batches):
-        found = index.absorb(reps.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b
+        found = index.absorb(read.filter(part).join(fresh.filter(part), ["doc_id", "d1", "d2"]))
         hits = found if hits is None else hits.unionByName(found)
+    wide, read = read, staging.stage(read.select("doc_id", "n_words", "d1", "d2", "sha"), "words")
+    staging.drop(wide)
     asked = _asked(index.documents(), hits).join(classes.filter("n = 1 AND NOT old").select("doc_id", F.lit(True).alias("judged")), "doc_id", "left").filter("judged OR most > 0")
     held = staging.stage((docs if history is None else docs.unionByName(history.select("doc_id", "text"))).join(asked, "doc_id"), "held")
     wins = staging.stage(held.filter("most > 0").select("doc_id", "text", "marks").mapInArrow(_expanded(size), "doc_id long, s int, w1 long, w2 long, weight int"), "expanded")

@@ -158,8 +158,9 @@ def test_substring_dedup_of_a_second_batch(spark, rows):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
-def test_windows_with_repeated_grams():
+def test_windows_with_repeated_grams(monkeypatch):
     """Stretches are those of each window's leftmost least gram, also where grams repeat inside a window."""
+    monkeypatch.setattr(substring_dedup, "GRAM", 5)
     rng = random.Random(3)
     for _ in range(300):
         texts = [" ".join(rng.choice("ab") if rng.random() < 0.7 else f"w{rng.randrange(50)}" for _ in range(rng.randrange(60))).encode() for _ in range(5)]
