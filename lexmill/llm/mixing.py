@@ -44,28 +44,39 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
     return per.select("no_source", "source_key", "n", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: words that the mix takes, repeats counted."""
+_SOURCE = ["no_source", "source_key"]
+
+
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = staging.stage(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")), "sizes"
-    )
-    source = ["no_source", "source_key"]
-    aims = staging.stage(targets(rows, weights, most), "targets")
-    ranges = F.ceil(F.sqrt("n")).cast("long")
-    dealt = rows.join(aims.select(*source, ranges.alias("ranges")), source)
+    return docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"),
+        F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), *more,
+    )
+
+
+def _taken(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """rows with source_size, target and taken; sizes: the same rows, where all that isn't needed for sums may be missing."""
+    aims = staging.stage(targets(sizes, weights, most), "targets")
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(2**32)
-    dealt = staging.stage(dealt.withColumn("range", F.floor(place * F.col("ranges"))).drop("ranges"), "dealt")
-    sums = dealt.groupBy(*source, "range").agg(F.sum("size").alias("range_size")).join(aims, source)
-    offset = F.sum("range_size").over(Window.partitionBy(*source).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
+    ranges = aims.select(*_SOURCE, F.ceil(F.sqrt("n")).cast("long").alias("ranges"))
+    dealt = lambda df: df.join(ranges, _SOURCE).withColumn("range", F.floor(place * F.col("ranges"))).drop("ranges")
+    sums = dealt(sizes).groupBy(*_SOURCE, "range").agg(F.sum("size").alias("range_size")).join(aims, _SOURCE)
+    offset = F.sum("range_size").over(Window.partitionBy(*_SOURCE).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
     sums = sums.withColumn("offset", offset).withColumn("budget", F.floor("target").cast("long"))
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     sums = sums.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
-    inside = Window.partitionBy(*source, "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*_SOURCE, "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     at = F.col("offset") + F.sum("size").over(inside) - F.col("size")
-    df = dealt.join(sums.drop("range_size", "n"), [*source, "range"]).withColumn("at", at)
+    df = dealt(rows).join(sums.drop("range_size", "n"), [*_SOURCE, "range"]).withColumn("at", at)
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("at")))
-    return df.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return df.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken: words that the mix takes, repeats counted."""
+    rows = staging.stage(_rows(docs), "sizes")
+    return _taken(rows, rows, weights, most).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -76,15 +87,15 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself, with the columns of docs: a document as often as its source's epochs ask, and where the
-    budget cuts a document, its text up to the cut. Ids must be unique, as ids of documents are."""
-    taken = mix(docs, weights, most).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1))).cast("int"))
-    df = docs.join(taken.filter("__taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(copies))
-    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    df = df.withColumn("text", F.when(left < F.col("__size"), first_words(F.col("text"), left)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(*docs.columns)
+    budget cuts a document, its text up to the cut. Each row keeps its own place in the mix, whatever its id."""
+    sizes = staging.stage(_rows(docs), "sizes")
+    df = _taken(_rows(docs, F.struct(*docs.columns).alias("doc")), sizes, weights, most).filter("taken > 0")
+    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
+    df = df.select("doc", "size", "taken", F.explode(copies).alias("copy"))
+    left, text = F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("doc").getField("text")
+    df = df.select("doc", F.when(left < F.col("size"), first_words(text, left)).otherwise(text).alias("text"))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return df.select(*[own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

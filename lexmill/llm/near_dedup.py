@@ -2,18 +2,19 @@
 
 Documents with equal sets are one class from the start. Each class has 20 signature orders of 6 minhashes.
 In each order, classes that share the first 3 values lie in one region; a region of more than `crowd` classes
-is entered deeper, by one value at a time, to at most 6. Candidates of a class are its next neighbours in the
-order (their common prefix is the longest) and the first class of its regions, as long as 120-bit sketches don't
-rule a similarity of 0.8 out (6 standard deviations). A pair at 0.8 shares no region of 20 with probability
-(1 - 0.8^3)^20 = 6e-7, crowded or not.
+is entered deeper, by one value at a time, to at most 6. Classes of crowded regions are put into 60 further orders
+of 6, the same 120 values dealt anew. Candidates of a class are its next neighbours in the order (their common prefix
+is the longest) and the first class of its regions, as long as sizes or 120-bit sketches don't rule a similarity of
+0.8 out. What is missed is chance: a pair at exactly 0.8 shares no region of 20 with probability
+(1 - 0.8^3)^20 = 6e-7; where all regions it shares are crowded, none of 80 at depth 6 with about 1e-6.
 
 Confirmation goes in three turns. First each class is held against its most alike candidate of smaller id; that
 unites nearly all of what belongs together, one comparison a class. Then every candidate pair and every two
 classes of a region of at most `crowd` that still lie in different components are held against each other. Last,
-in regions of 3 values that are crowded, every class outside the largest component is held against all classes of
-other components, whatever their deeper values. So any two classes that share 3 values end in one component or are
-compared. The texts compared grow with the classes of a group of copies; where a crowded region holds many classes
-that aren't alike, with the pairs of them. A class with very many partners is dealt out in parts of 128.
+in regions crowded at the greatest depth, every class outside the largest component is held against all classes of
+other components. So any two classes that share a last region end in one component or are compared, and the
+texts compared grow with the classes, not with the pairs in a group. A class with very many partners is dealt
+out in parts of 128, a region with very many classes by broadcast.
 
 Null or empty text, or without words: n_shingles 0, linked with nothing, kept. A null doc_id: linked with
 nothing, component null, kept. Repeated rows of an id: one component. Empty table: empty result.
@@ -29,13 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm import graph, staging, workers
-from lexmill.llm.text import U64, mix, shingles, texts
+from lexmill.llm import graph, skew, staging, workers
+from lexmill.llm.text import U64, mix, shingle_sets, texts
 
 TREES, DEPTH, FIRST = 20, 6, 3
 CROWD = 64
-#: Of 120 one-bit minhashes, at similarity 0.8, 12 differ, with a standard deviation of 3.3.
-MOST_UNEQUAL = 32
+#: Further orders of crowded regions' classes.
+MORE = 60
+#: Of 120 one-bit minhashes, at similarity 0.8, 12 differ; more than 48 with a probability of 6e-17, which is under
+#: that of two 64-bit hashes of shingles being equal by chance.
+MOST_UNEQUAL = 48
+#: Strays whose sets a task holds at once.
+HELD = 256
 _K = TREES * DEPTH
 _FAMILY = 128
 
@@ -58,13 +64,13 @@ def signature(h: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     top = U64(43)
     turn = np.arange(TREES, dtype=U64) * U64(0xD6E8FEB86659FD93)
+    packed = lambda m, at: (((m[:, at] >> top) << U64(42)) | ((m[:, at + 1] >> top) << U64(21)) | (m[:, at + 2] >> top)).view(np.int64)
     for batch in batches:
-        ids, n, d1, d2, s1, s2, head, tail = batch.column("doc_id"), [], [], [], [], [], [], []
-        for text in texts(batch.column("text")):
-            h = shingles(text)
+        ids, n, d1, d2, s1, s2, head, front, tail = batch.column("doc_id"), [], [], [], [], [], [], [], []
+        for h in shingle_sets(texts(batch.column("text"))):
             n.append(len(h))
             if not len(h):
-                for x in (d1, d2, s1, s2, head, tail):
+                for x in (d1, d2, s1, s2, head, front, tail):
                     x.append(None)
                 continue
             digest = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
@@ -72,34 +78,74 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = sig.reshape(TREES, DEPTH)
             sketch = np.frombuffer(np.packbits(np.append(mix(sig) & U64(1), np.zeros(8, U64)).astype(np.uint8)).tobytes(), np.int64)
             first = mix(mix(mix(m[:, 0] + turn) + m[:, 1]) + m[:, 2])
-            rest = ((m[:, 3] >> top) << U64(42)) | ((m[:, 4] >> top) << U64(21)) | (m[:, 5] >> top)
-            for x, v in ((d1, int(digest[0])), (d2, int(digest[1])), (s1, int(sketch[0])), (s2, int(sketch[1])), (head, first.view(np.int64)), (tail, rest.view(np.int64))):
+            for x, v in ((d1, int(digest[0])), (d2, int(digest[1])), (s1, int(sketch[0])), (s2, int(sketch[1])), (head, first.view(np.int64)), (front, packed(m, 0)), (tail, packed(m, 3))):
                 x.append(v)
         long, longs = pa.int64(), pa.list_(pa.int64())
-        arrays = [ids.cast(long)] + [pa.array(x, t) for x, t in ((n, long), (d1, long), (d2, long), (s1, long), (s2, long), (head, longs), (tail, longs))]
+        arrays = [ids.cast(long)] + [pa.array(x, t) for x, t in ((n, long), (d1, long), (d2, long), (s1, long), (s2, long), (head, longs), (front, longs), (tail, longs))]
         yield pa.RecordBatch.from_arrays(arrays, names=_SIGNED)
 
 
-_SIGNED = ["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "head", "tail"]
+_SIGNED = ["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "head", "front", "tail"]
+
+
+def _dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 120 values of each signature, from front and tail, in MORE other orders of 6; and the ids of all its regions
+    of 6 values, 4 bytes each, those of its own orders first."""
+    low = U64((1 << 21) - 1)
+    rng = np.random.default_rng(11)
+    deal = np.concatenate([rng.permutation(_K) for _ in range(MORE * DEPTH // _K)]).reshape(MORE, DEPTH)
+    for batch in batches:
+        head, *lists = [np.asarray(batch.column(c).values.slice(batch.column(c).offsets[0].as_py(), batch.num_rows * TREES)).view(np.uint64).reshape(-1, TREES) for c in ("head", "front", "tail")]
+        values = np.stack([(x >> U64(shift)) & low for x in lists for shift in (42, 21, 0)], axis=2).reshape(-1, _K)
+        out = np.broadcast_to(np.arange(1, MORE + 1, dtype=U64) * U64(0xD6E8FEB86659FD93), (len(values), MORE))
+        for i in range(DEPTH):
+            out = mix(out + values[:, deal[:, i]])
+        orders = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, MORE, dtype=np.int32)), pa.array(out.view(np.int64).ravel()))
+        ids = np.concatenate((_region_id(head, lists[1]), _region_id(out, U64(0))), axis=1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _OF), orders, pa.array([x.tobytes() for x in ids], pa.binary())], names=[*_OF, "heads", "ids"])
+
+
+def _region_id(head: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mix(head * U64(3) + key).astype(np.uint32)
+
+
+_OF = ("rep", "s1", "s2", "m")
 
 
 def _unequal(x: str, y: str) -> F.Column:
     return F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) + F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
 
 
-def forest(reps: DataFrame, crowd: int = CROWD) -> list[DataFrame]:
-    """reps: rep, s1, s2, head, tail. Returns the regions of several classes, a table for each depth, with n and the
-    first class (lrep, ls1, ls2) of each. What lies in a region of more than `crowd` classes is in the next table too."""
-    rows = reps.select("rep", "s1", "s2", F.explode(F.arrays_zip("head", "tail")).alias("x"))
-    rows = rows.select("rep", "s1", "s2", F.col("x.head").alias("head"), F.col("x.tail").alias("tail"), F.lit(0).cast("long").alias("key"))
+def _able(x: str, y: str, percent: int) -> F.Column:
+    """False where sizes m or sketches rule the similarity out."""
+    less, more = F.least(f"{x}m", f"{y}m"), F.greatest(f"{x}m", f"{y}m")
+    return (100 * less >= percent * more) & (_unequal(x, y) <= MOST_UNEQUAL)
+
+
+def forest(reps: DataFrame, crowd: int = CROWD) -> tuple[list[DataFrame], DataFrame]:
+    """reps: rep, s1, s2, head, front, tail. Returns the regions of several classes, a table for each depth, with n and
+    the first class (lrep, ls1, ls2) of each. What lies in a region of more than `crowd` classes is in the next table
+    too. The last table has the further orders, whole, of all classes that lie in such a region of the first one; their
+    ids are returned too."""
+    rows = reps.select(*_OF, F.explode(F.arrays_zip("head", "tail")).alias("x"))
+    rows = rows.select(*_OF, F.col("x.head").alias("head"), F.col("x.tail").alias("tail"), F.lit(0).cast("long").alias("key"))
     out = []
     for depth in range(FIRST, DEPTH + 1):
-        own = rows.groupBy("head", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "s1", "s2")).alias("l")).filter("n > 1")
-        own = own.select("head", "key", "n", *[F.col(f"l.{c}").alias(f"l{c}") for c in ("rep", "s1", "s2")])
-        out.append(staging.stage(rows.join(own, ["head", "key"]).withColumn("depth", F.lit(depth)), "regions"))
+        out.append(_regions(rows, depth))
         if depth < DEPTH:
-            rows = out[-1].filter(F.col("n") > crowd).select("rep", "s1", "s2", "head", "tail").withColumn("key", F.shiftrightunsigned("tail", 21 * (DEPTH - depth - 1)))
-    return out
+            rows = out[-1].filter(F.col("n") > crowd).select(*_OF, "head", "tail").withColumn("key", F.shiftrightunsigned("tail", 21 * (DEPTH - depth - 1)))
+    some = out[0].filter(F.col("n") > crowd).select("rep").distinct()
+    dealt = reps.join(some, "rep").select(*_OF, "head", "front", "tail").mapInArrow(_dealt_again, "rep long, s1 long, s2 long, m long, heads array<long>, ids binary")
+    dealt = staging.stage(dealt, "dealt-again")
+    rows = dealt.select(*_OF, F.explode("heads").alias("head"), F.lit(0).cast("long").alias("tail"), F.lit(0).cast("long").alias("key"))
+    return [*out, _regions(rows, DEPTH + 1)], dealt.select("rep", "ids")
+
+
+def _regions(rows: DataFrame, depth: int) -> DataFrame:
+    own = rows.groupBy("head", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_OF)).alias("l")).filter("n > 1")
+    own = staging.stage(own.select("head", "key", "n", *[F.col(f"l.{c}").alias(f"l{c}") for c in _OF]), "regions-own")
+    found = skew.joined(rows, own, ["head", "key"], _total(own))
+    return staging.stage(found.withColumn("depth", F.lit(depth)), "regions")
 
 
 _REGION = ["head", "depth", "key"]
@@ -107,55 +153,61 @@ _REGION = ["head", "depth", "key"]
 
 def leaves(trees: list[DataFrame], crowd: int = CROWD) -> DataFrame:
     """The regions that aren't entered deeper: of at most `crowd` classes, or of the greatest depth."""
-    out = trees[-1]
-    for df in trees[:-1]:
+    out = trees[-1].unionByName(trees[-2])
+    for df in trees[:-2]:
         out = out.unionByName(df.filter(F.col("n") <= crowd))
-    return out.select("rep", "s1", "s2", "tail", "n", *_REGION)
+    return out.select(*_OF, "tail", "n", *_REGION)
 
 
-def candidates(trees: list[DataFrame], crowd: int = CROWD) -> DataFrame:
+def candidates(trees: list[DataFrame], crowd: int = CROWD, percent: int = 80) -> DataFrame:
     """Returns a < b and how many bits of their sketches differ, once for each pair."""
     near = leaves(trees, crowd).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / crowd)))
     order = Window.partitionBy(*_REGION, "part").orderBy("tail", "rep")
     for j in (1, 2, 3):
-        near = near.withColumn(f"p{j}", F.lag(F.struct("rep", "s1", "s2"), j).over(order))
-    near = near.select("rep", "s1", "s2", F.explode(F.filter(F.array("p1", "p2", "p3"), lambda p: p.isNotNull())).alias("p"))
-    near = near.select("rep", "s1", "s2", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("rep", "s1", "s2")])
+        near = near.withColumn(f"p{j}", F.lag(F.struct(*_OF), j).over(order))
+    near = near.select(*_OF, F.explode(F.filter(F.array("p1", "p2", "p3"), lambda p: p.isNotNull())).alias("p"))
+    near = near.select(*_OF, *[F.col(f"p.{c}").alias(f"p{c}") for c in _OF]).filter(_able("p", "", percent))
     pairs = near.select(F.col("prep").alias("x"), F.col("rep").alias("y"), _unequal("p", "").alias("unequal"))
     for df in trees:
-        pairs = pairs.unionByName(df.filter("rep <> lrep").select(F.col("lrep").alias("x"), F.col("rep").alias("y"), _unequal("l", "").alias("unequal")))
-    pairs = pairs.filter((F.col("unequal") <= MOST_UNEQUAL) & (F.col("x") != F.col("y")))
+        first = df.filter((F.col("rep") != F.col("lrep")) & _able("l", "", percent))
+        pairs = pairs.unionByName(first.select(F.col("lrep").alias("x"), F.col("rep").alias("y"), _unequal("l", "").alias("unequal")))
+    pairs = pairs.filter("x <> y")
     return staging.stage(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("unequal").alias("unequal")), "pairs")
 
 
 def unsettled(rows: DataFrame, met: DataFrame) -> DataFrame:
     """Those rows of leaves() whose region holds classes of several components; c is the component."""
-    at = rows.join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")).select("rep", "s1", "s2", "n", "c", *_REGION)
-    several = at.groupBy(*_REGION).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select(*_REGION)
-    return staging.stage(at.join(several, _REGION), "unsettled")
+    at = rows.join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")).select(*_OF, "n", "c", *_REGION)
+    several = staging.stage(at.groupBy(*_REGION).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n").alias("n")).filter("c0 <> c1").select(*_REGION, "n"), "several")
+    return staging.stage(skew.joined(at.drop("n"), several, _REGION, _total(several)), "unsettled")
+
+
+def _total(facts: DataFrame) -> int:
+    return facts.agg(F.sum("n")).first()[0] or 0
 
 
-def across(some: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs a < b of some and others, both in one region and of two components, that sketches don't rule out."""
-    x = some.select(*on, *[F.col(c).alias(f"x{c}") for c in ("rep", "s1", "s2", "c")])
-    y = others.select(*on, *[F.col(c).alias(f"y{c}") for c in ("rep", "s1", "s2", "c")])
-    return x.join(y, on).filter((F.col("xc") != F.col("yc")) & (_unequal("x", "y") <= MOST_UNEQUAL)).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
+def across(some: DataFrame, others: DataFrame, on: list[str], percent: int = 80) -> DataFrame:
+    """Pairs a < b of some and others, both in one region and of two components, that sizes and sketches don't rule out."""
+    x = some.select(*on, *[F.col(c).alias(f"x{c}") for c in (*_OF, "c")])
+    y = others.select(*on, *[F.col(c).alias(f"y{c}") for c in (*_OF, "c")])
+    return x.join(y, on).filter((F.col("xc") != F.col("yc")) & _able("x", "y", percent)).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
 
 
-def crowded(rows: DataFrame, links: DataFrame, met: DataFrame, held, percent: int = 80, most: int = CROWD, part: int = 4096) -> tuple[DataFrame, DataFrame]:
+def crowded(rows: DataFrame, ids: DataFrame, links: DataFrame, met: DataFrame, held, percent: int = 80, most: int = CROWD, part: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Settles crowded regions; rows: their classes, with the columns of leaves(). Returns links, components.
 
     In each round, up to `most` strays (classes outside their region's largest component) of each region are held
     against all of its classes in other components, until no stray is left untried; `most` grows by 4 each round.
     Two classes of the largest component need no comparison. Members are dealt out in parts and strays in chunks of
-    CROWD: a task keeps the sets of one chunk and streams the members of one part past them, and only links leave it.
-    held(nodes) gives doc_id, text of nodes (doc_id).
+    HELD: a task keeps the sets of one chunk and streams the members of one part past them, and only links leave it.
+    Of the regions that two classes share only the first compares them. held(nodes) gives doc_id, text of nodes (doc_id).
     """
     tried = None
     while True:
         at = unsettled(rows, met)
-        main = at.groupBy(*_REGION, "c").agg(F.count(F.lit(1)).alias("m")).groupBy(*_REGION).agg(F.max(F.struct("m", "c"))["c"].alias("main"))
-        stray = at.join(main, _REGION).filter("c <> main").drop("main")
+        main = at.groupBy(*_REGION, "n", "c").agg(F.count(F.lit(1)).alias("k")).groupBy(*_REGION, "n").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
+        main = staging.stage(main, "main")
+        stray = skew.joined(at.drop("n"), main, _REGION, _total(main)).filter("c <> main").drop("main")
         if tried is not None:
             stray = stray.join(tried, ["rep", *_REGION], "left_anti")
         turn = F.row_number().over(Window.partitionBy(*_REGION).orderBy(F.xxhash64("rep"), "rep"))
@@ -163,19 +215,21 @@ def crowded(rows: DataFrame, links: DataFrame, met: DataFrame, held, percent: in
         if now.isEmpty():
             return links, met
         parts = F.ceil(F.col("n") / part).cast("int")
-        chunk = lambda c: F.floor((F.col(c) - 1) / CROWD).cast("int")
-        last = now.groupBy(*_REGION).agg(F.max("turn").alias("last"))
-        members = at.join(last, _REGION).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk("last")))).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        chunk = lambda c: F.floor((F.col(c) - 1) / HELD).cast("int")
+        last = staging.stage(now.groupBy(*_REGION).agg(F.max("turn").alias("last"), F.max("n").alias("n")), "last")
+        members = skew.joined(at.drop("n"), last, _REGION, _total(last)).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk("last")))).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
         strays = now.withColumn("chunk", chunk("turn")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         block, value = [*_REGION, "chunk", "part"], ["c", "s1", "s2"]
         both = members.select(*block, F.lit(True).alias("child"), F.col("rep").alias("node"), *value).unionByName(strays.select(*block, F.lit(False).alias("child"), F.col("rep").alias("node"), *value))
         nodes = staging.stage(members.select(F.col("rep").alias("doc_id")).distinct(), "members")
-        both = both.join(held(nodes).withColumnRenamed("doc_id", "node"), "node").repartition(*block).sortWithinPartitions(*block, "child")
-        found = staging.stage(both.select(*block, "child", "node", *value, "text").mapInArrow(_streamed(percent), "a long, b long").distinct(), "links")
+        texts_ = held(nodes).join(nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").join(ids.withColumnRenamed("rep", "node"), "node")
+        both = both.join(texts_, "node").repartition(*block).sortWithinPartitions(*block, "child")
+        found = staging.stage(both.select(*block, "child", "node", *value, "ids", "text").mapInArrow(_streamed(percent), "a long, b long").distinct(), "links")
         links = links.unionByName(found)
         met = graph.components(links)
-        tried = now.select("rep", *_REGION) if tried is None else tried.unionByName(now.select("rep", *_REGION))
-        staging.drop(at, nodes)
+        done = staging.stage(now.select("rep", *_REGION), "tried")
+        tried = done if tried is None else tried.unionByName(done)
+        staging.drop(at, nodes, now, main, last)
         most *= 4
 
 
@@ -192,24 +246,27 @@ def _streamed(percent: int):
     """Rows of a block, strays first; yields pairs of a stray and a member of two components that are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own, sets, marks = None, [], [], None
+        block, own, sets, marks, places, at = None, [], [], None, None, 0
         for batch in batches:
             left, right = [], []
-            columns = [batch.column(c).to_pylist() for c in (*_REGION, "chunk", "part", "child", "node", "c", "s1", "s2")]
-            for *key, child, node, c, s1, s2, text in zip(*columns, texts(batch.column("text")), strict=True):
-                h = shingles(text)
+            columns = [batch.column(c).to_pylist() for c in (*_REGION, "chunk", "part", "child", "node", "c", "s1", "s2", "ids")]
+            for *key, child, node, c, s1, s2, ids, h in zip(*columns, shingle_sets(texts(batch.column("text"))), strict=True):
                 if key != block:
-                    block, own, sets, marks = key, [], [], None
+                    block, own, sets, marks, places = key, [], [], None, []
+                place = np.frombuffer(ids, np.uint32)
                 if not child:
                     own.append((node, c, s1, s2, len(h)))
                     sets.append(h)
+                    places.append(place)
                     continue
                 if marks is None:
-                    marks = np.array(own, np.int64).reshape(-1, 5)
+                    marks, places = np.array(own, np.int64).reshape(-1, 5), np.array(places)
+                    here = _region_id(*(np.array([key[i]], np.int64).view(np.uint64) for i in (0, 2)))[0]
+                    at = int((place == here).argmax())
                 n, m = marks[:, 4], len(h)
                 unequal = np.bitwise_count(marks[:, 2:4].view(np.uint64) ^ np.array([s1, s2], np.int64).view(np.uint64)).sum(axis=1)
-                able = (marks[:, 1] != c) & (unequal <= MOST_UNEQUAL) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                for i in np.flatnonzero(able):
+                able = np.flatnonzero((marks[:, 1] != c) & (unequal <= MOST_UNEQUAL) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+                for i in able[(places[able] == place).argmax(axis=1) == at]:
                     both = _common(sets[i], h)
                     if 100 * both >= percent * (len(sets[i]) + m - both):
                         left.append(min(own[i][0], node))
@@ -224,8 +281,7 @@ def _compared(percent: int):
         at, own = None, None
         for batch in batches:
             left, right = [], []
-            for a, part, child, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "child", "node")), texts(batch.column("text")), strict=True):
-                h = shingles(text)
+            for a, part, child, node, h in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "child", "node")), shingle_sets(texts(batch.column("text"))), strict=True):
                 if not child:
                     at, own = (a, part), h
                 elif at == (a, part):
@@ -268,12 +324,12 @@ def _likely(docs: DataFrame, ends: DataFrame) -> DataFrame:
 def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     workers.ship(docs.sparkSession)
-    signed = staging.stage(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, head array<long>, tail array<long>"), "signatures")
+    signed = staging.stage(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, head array<long>, front array<long>, tail array<long>"), "signatures")
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staging.stage(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = able.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "s1", "s2", "head", "tail")
-    trees = forest(reps, crowd)
-    pairs, last = candidates(trees, crowd), leaves(trees, crowd)
+    reps = able.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "s1", "s2", F.col("n_shingles").alias("m"), "head", "front", "tail")
+    trees, ids = forest(reps, crowd)
+    pairs, last = candidates(trees, crowd, percent), leaves(trees, crowd)
     ends = staging.stage(_ends(pairs), "ends")
     held = staging.stage(_likely(docs, ends).join(ends, "doc_id"), "held")
 
@@ -287,14 +343,13 @@ def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     at = lambda c: met.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     open_ = pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     small = unsettled(last.filter(F.col("n") <= crowd), met)
-    open_ = open_.unionByName(across(small, small, _REGION)).distinct().join(best, ["a", "b"], "left_anti")
+    open_ = open_.unionByName(across(small, small, _REGION, percent)).distinct().join(best, ["a", "b"], "left_anti")
     open_ = staging.stage(open_, "open")
     more = confirmed(open_, texts_of(_ends(open_)), percent)
     if not more.isEmpty():
         links = links.unionByName(more)
         met = graph.components(links)
-    shallow = trees[0].filter(F.col("n") > crowd).select(*last.columns)
-    links, roots = crowded(shallow, links, met, texts_of, percent, crowd)
+    links, roots = crowded(last.filter(F.col("n") > crowd), ids, links, met, texts_of, percent, crowd)
     ours = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return ours.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -186,8 +186,9 @@ def find(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """The same columns; every span of text replaced by its kind in brackets, overlapping spans by one; n_chars follows."""
     model = fit(staging.stage(docs.select(candidates(F.col("text")).alias("c")), "pii"))
-    df = docs.withColumn("__c", accepted(candidates(F.col("text")), model))
-    spans = F.sort_array(F.transform("__c", lambda x: F.struct(x.s.alias("s"), (-x.e).alias("e"), F.upper(x.kind).alias("k"))))
+    c = staging.free_name(docs, "spans")
+    df = docs.withColumn(c, accepted(candidates(F.col("text")), model))
+    spans = F.sort_array(F.transform(c, lambda x: F.struct(x.s.alias("s"), (-x.e).alias("e"), F.upper(x.kind).alias("k"))))
     masked = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -196,7 +197,7 @@ def mask(docs: DataFrame) -> DataFrame:
         ).otherwise(F.struct(F.greatest(a.at, -x.e).alias("at"), a.out.alias("out"))),
         lambda a: F.concat(a.out, F.col("text").substr(a.at + 1, F.length("text"))),
     )
-    df = df.withColumn("text", F.when(F.size("__c") == 0, F.col("text")).otherwise(masked)).drop("__c")
+    df = df.withColumn("text", F.when(F.size(c) == 0, F.col("text")).otherwise(masked)).drop(c)
     return df.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else df
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import labelled, workers
+from lexmill.llm import labelled, staging, workers
 from lexmill.llm.text import texts
 
 WORDS, LOOKS = 2048, 512
@@ -130,23 +130,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4096) -> NearestNeighb
     return fit([(np.frombuffer(r.places, np.int32).astype(np.int64), np.frombuffer(r.counts, np.float32).astype(float)) for r in rows], np.array([r.y for r in rows], float))
 
 
-def scored(docs: DataFrame, model: NearestNeighbours, columns: list[str]) -> DataFrame:
-    """The columns asked for, and __score; texts needn't be among them to be read."""
+def scored(docs: DataFrame, model: NearestNeighbours, columns: list[str], name: str = "score") -> DataFrame:
+    """The columns asked for, and the score under a name that none of them has; texts needn't be among them to be read."""
     workers.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*columns).schema.add("__score", "double")
+    schema = docs.select(*columns).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 s = shared.value.scores([counts(t) for t in texts(part.column(part.num_columns - 1))])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*columns, "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*columns, name])
 
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").alias(staging.free_name(docs, "whole_text"))).mapInArrow(run, schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     df = scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"])
-    return df.select("doc_id", labelled.held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+    return df.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -32,6 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df now and returns a frame that reads it back."""
     path = new_path(df.sparkSession, name)

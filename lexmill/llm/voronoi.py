@@ -3,9 +3,10 @@
 Data are grouped by their nearest pivot. Summaries of the groups (radius, greatest norm, members next to the
 pivot) are small and go to every task. From the members in the summaries a query has k real scores at once,
 so its k-th best score is known from below; a group can hold a better vector only if q.p + |q| * radius, and
-|q| * greatest norm, reach that. Only to such groups does a query go (of the two sides the queries are by far
-the smaller one, so it is they that are replicated; data move once), and each group is solved by itself in
-blocks of bounded size. Bounds are rounded outwards; scores are exact integers.
+|q| * greatest norm, reach that. Queries are grouped by pivot too, neighbouring groups packed into shares of bounded
+size and large ones split. Of the two sides the queries are by far the smaller one, so it is they that are
+replicated, to the groups their bounds admit; a block of data goes once to each share that has a query for it, and
+to no other. Each block is solved by itself. Bounds are rounded outwards; scores are exact integers.
 
 Equal vectors are one vector with the k + 1 smallest of its ids: more can't be among anyone's k best. They are
 cut down in each task before they are dealt out, so a hot vector doesn't meet in one task.
@@ -50,9 +51,10 @@ def integers(rows: DataFrame, scale: int = 256) -> DataFrame:
     return df.withColumn("v", F.when(F.size("v") == width, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))))
 
 
-def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int = 256) -> DataFrame:
+def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int = 64, told: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`, against all other rows.
-    pivots: most pivots; a bounded sample of distinct vectors, by hash."""
+    pivots: how many, where there are as many distinct vectors; a sample of them, by hash. told, where given, hears how
+    many cells there are, and how many pairs of a query and a cell were solved."""
     spark = rows.sparkSession
     workers.ship(spark)
     base = staging.stage(integers(rows), "vectors")
@@ -62,7 +64,7 @@ def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int = 256) ->
     n = data.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    count = int(min(pivots, max(1, n // 1024)))
+    count = min(pivots, n)
     centre = np.array([r.v for r in data.orderBy(F.xxhash64("v"), "v").select("v").limit(count).collect()], dtype=np.int64).reshape(count, -1)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,8 +84,16 @@ def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int = 256) ->
     radius, longest = (np.array([b[x] for b in bounds]) * (1 + 1e-9) + 1e-6 for x in ("radius", "norm"))
     blocks = np.array([-(-b.n // BLOCK) for b in bounds])
     asked = base.filter(F.col("vec_id") % every == 0)
-    queries = staging.stage(asked.groupBy("v").agg(F.min("vec_id").alias("asker")), "queries")
-    shares = max(1, -(-queries.count() // (2 * BLOCK)))
+    queries = asked.groupBy("v").agg(F.min("vec_id").alias("asker"))
+    queries = staging.stage(queries.mapInPandas(cells, "v array<long>, asker long, cell int, away double, norm double").select("v", "asker", F.col("cell").alias("home")), "queries")
+    per = {r.home: r["count"] for r in queries.groupBy("home").count().collect()}  # at most one row a pivot
+    share_of, room, share = {}, 2 * BLOCK, 0
+    for home in sorted(per):
+        parts = -(-per[home] // (2 * BLOCK))
+        if parts > 1 or per[home] > room:
+            share, room = share + (room < 2 * BLOCK), 2 * BLOCK
+        share_of[home] = (share, parts)
+        share, room = (share + parts, 2 * BLOCK) if parts > 1 else (share, room - per[home])
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for big in batches:
@@ -101,11 +111,16 @@ def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int = 256) ->
                 times = blocks[col]
                 row, col = row.repeat(times), col.repeat(times)
                 block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.empty(0)
-                yield pd.DataFrame({"cell": cell[col].astype(np.int32), "block": block.astype(np.int32), "asker": pdf.asker.to_numpy()[row], "v": pdf.v.to_numpy()[row]})
+                yield pd.DataFrame({"cell": cell[col].astype(np.int32), "block": block.astype(np.int32), "home": pdf.home.to_numpy()[row], "asker": pdf.asker.to_numpy()[row], "v": pdf.v.to_numpy()[row]})
 
     block_of = F.element_at(F.create_map(*[F.lit(int(x)) for c, b in zip(cell, blocks, strict=True) for x in (c, b)]), F.col("cell"))
-    mine = placed.select("cell", F.pmod(F.xxhash64("v"), block_of).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "v", "ids")
-    sent = queries.mapInPandas(replicate, "cell int, block int, asker long, v array<long>").withColumn("share", F.pmod(F.xxhash64("asker"), F.lit(shares)).cast("int"))
+    first, parts = (F.element_at(F.create_map(*[F.lit(x) for home, y in share_of.items() for x in (home, y[i])]), F.col("home")) if share_of else F.lit(0) for i in (0, 1))
+    sent = queries.mapInPandas(replicate, "cell int, block int, home int, asker long, v array<long>").withColumn("share", (first + F.pmod(F.xxhash64("asker"), parts)).cast("int")).drop("home")
+    sent = staging.stage(sent, "sent")
+    routes = staging.stage(sent.select("cell", "block", "share").distinct(), "routes")
+    if told is not None:
+        told.update(cells=len(cell), pairs=sent.select("asker", "cell").distinct().count())
+    mine = placed.select("cell", F.pmod(F.xxhash64("v"), block_of).cast("int").alias("block"), "v", "ids").join(routes, ["cell", "block"])
     key = ["cell", "block", "share"]
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

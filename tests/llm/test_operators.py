@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, graph, labelled, mixing, near_dedup, pii, quality_classifier, quality_rules, staging, substring_dedup, toxicity, voronoi, warc
-from lexmill.llm.text import grams, groups
+from lexmill.llm.text import grams, groups, shingles
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rep long, mark string, kept boolean"
@@ -221,6 +221,23 @@ def test_voronoi(spark, monkeypatch):
     assert voronoi.top_k(df.limit(0)).count() == 0
 
 
+def test_voronoi_prunes(spark, monkeypatch):
+    """Clusters of unlike norms, many cells and shares: right, and most pairs of a query and a cell are never solved."""
+    monkeypatch.setattr(voronoi, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(12, 6)) * 3
+    made = np.floor(256 * (centre[rng.integers(0, 12, 2000)] + rng.normal(size=(2000, 6)) * 0.02)).astype(np.int64)
+    rows = [(i, [float(x) / 256 for x in v]) for i, v in enumerate(made)]
+    want = set()
+    for q in range(0, 2000, 50):
+        score = made @ made[q]
+        best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:5]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    told = {}
+    assert {tuple(r) for r in voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=24, told=told).collect()} == want
+    assert told["cells"] == 24 and told["pairs"] < 0.5 * 40 * 24
+
+
 @pytest.mark.parametrize("label", ["toxic", "quality"])
 def test_classifiers(spark, docs, none, label):
     rng = random.Random(9)
@@ -238,7 +255,7 @@ def test_classifiers(spark, docs, none, label):
         run = lambda d: toxicity.score(d, model).collect()
     else:
         model = quality_classifier.train(train, labels)
-        run = lambda d: [r.asDict() | {"score": r["__score"], "predicted": int(r["__score"] >= 0.3)} for r in quality_classifier.scored(d, model, ["doc_id"]).collect()]
+        run = lambda d: [r.asDict() | {"predicted": int(r["score"] >= 0.3)} for r in quality_classifier.scored(d, model, ["doc_id"]).collect()]
     got = {r["doc_id"]: r["predicted"] for r in run(train)}
     assert np.mean([got[i] == y for i, _, y in made if __import__("zlib").crc32(str(i).encode()) % 5 == 0]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in run(docs)) and len(run(docs)) == docs.count() and run(none) == []
@@ -306,7 +323,7 @@ def test_near_dedup_settles_shallow_regions(spark):
     """Two texts that share crowded regions of 3 to 5 values only, each with an unlike third class before them, are linked."""
     K, D = near_dedup.TREES, near_dedup.DEPTH
     grams = lambda w: {" ".join(w[i : i + 4]) for i in range(len(w) - 3)}
-    sig = lambda w: near_dedup.signature(near_dedup.shingles(" ".join(w).encode()))
+    sig = lambda w: near_dedup.signature(shingles(" ".join(w).encode()))
     depths = lambda x, y: [next((i for i in range(D) if p[i] != q[i]), D) for p, q in zip(x.reshape(K, D), y.reshape(K, D), strict=True)]
     rng = random.Random(9)
     for _ in range(20_000):

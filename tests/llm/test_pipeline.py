@@ -63,3 +63,32 @@ def test_stages(spark):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in tokens) == want
     assert bpe.load()
     assert Counter(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == Counter(map(tuple, tokens))
+
+
+def test_stages_on_hard_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows, an empty table and columns with the stages' own names."""
+    schema = "doc_id long, text string, source string, n_chars long, score double, size long, doc string, spans string, taken long, copy int, rep long"
+    word = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    tail = (0, 0.5, 1, "d", "s", 2, 3, 4)
+    one = (1, " ".join(word[i % 10] + str(i) for i in range(40)), "a", *tail)
+    rows = [one, one, one, one, (2, None, "a", *tail), (3, "", "a", *tail), (None, "no id here " * 9, "a", *tail), (None, "no id here " * 9, None, *tail), (4, "w " * 20_000, "b", *tail), (5, "mail a.b@c.org now", None, *tail), (6, "x" * 50_000, "b", *tail)]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        assert stage(spark, none, DATA).collect() == [], name
+    kept = corpus_pipeline.near_duplicates(spark, docs, DATA).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([None, None, 1, 2, 3, 4, 5, 6])
+    masked = {r.doc_id: r for r in corpus_pipeline.personal_data(spark, docs, DATA).collect()}
+    assert masked[5].text == "mail [EMAIL] now" and masked[5].spans == "s" and masked[2].text is None
+    mixed = corpus_pipeline.mixture(spark, docs, DATA).collect()
+    took = {}
+    for r in mixing.mix(docs).collect():
+        took[r.doc_id] = took.get(r.doc_id, 0) + r.taken
+    got = Counter()
+    for r in mixed:
+        got[r.doc_id] += len((r.text or "").split())
+        assert (r.doc, r.taken, r.copy, r.n_chars) == ("d", 2, 3, len(r.text))
+    assert got == Counter({i: n for i, n in took.items() if n})
+    assert {(r.doc_id, r.n_tokens) for r in corpus_pipeline.tokens(spark, docs, DATA).collect() if r.doc_id in (2, 3)} == {(2, 0), (3, 0)}
+    assert corpus_pipeline.tokens(spark, none, DATA).collect() == []
