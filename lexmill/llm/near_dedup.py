@@ -11,7 +11,7 @@ is the longest) and the first class of its regions, as long as sizes or 120-bit
 Confirmation goes in three turns. First each class is held against its most alike candidate of smaller id; that
 unites nearly all of what belongs together, one comparison a class. Then every candidate pair and every two
 classes of a region of at most `crowd` that still lie in different components are held against each other. Last,
-in regions crowded at the greatest depth, every class outside the largest component is held against all classes of
+in regions crowded at the greatest depth and in those of the further orders, every class outside the largest component is held against all classes of
 other components. So any two classes that share a last region end in one component or are compared, and the
 texts compared grow with the classes, not with the pairs in a group. A class with very many partners is dealt
 out in parts of 128, a region with very many classes by broadcast.
@@ -37,9 +37,9 @@ TREES, DEPTH, FIRST = 20, 6, 3
 CROWD = 64
 #: Further orders of crowded regions' classes.
 MORE = 60
-#: Of 120 one-bit minhashes, at similarity 0.8, 12 differ; more than 48 with a probability of 6e-17, which is under
-#: that of two 64-bit hashes of shingles being equal by chance.
-MOST_UNEQUAL = 48
+#: Of 120 one-bit minhashes, at similarity 0.8, 12 differ; more than 40 with a probability of 3e-11, far under what the
+#: forest itself leaves to chance.
+MOST_UNEQUAL = 40
 #: Strays whose sets a task holds at once.
 HELD = 256
 _K = TREES * DEPTH
@@ -175,6 +175,15 @@ def candidates(trees: list[DataFrame], crowd: int = CROWD, percent: int = 80) ->
     return staging.stage(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("unequal").alias("unequal")), "pairs")
 
 
+def merged(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Components met (node, root) after the links found: only those that a link joins are worked on."""
+    at = lambda c: met.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    edges = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = graph.components(edges)
+    moved = met.join(more.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    return staging.stage(moved.unionByName(more.join(met.select("node"), "node", "left_anti").select("node", "root")), "components")
+
+
 def unsettled(rows: DataFrame, met: DataFrame) -> DataFrame:
     """Those rows of leaves() whose region holds classes of several components; c is the component."""
     at = rows.join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")).select(*_OF, "n", "c", *_REGION)
@@ -193,8 +202,9 @@ def across(some: DataFrame, others: DataFrame, on: list[str], percent: int = 80)
     return x.join(y, on).filter((F.col("xc") != F.col("yc")) & _able("x", "y", percent)).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
 
 
-def crowded(rows: DataFrame, ids: DataFrame, links: DataFrame, met: DataFrame, held, percent: int = 80, most: int = CROWD, part: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Settles crowded regions; rows: their classes, with the columns of leaves(). Returns links, components.
+def crowded(rows: DataFrame, ids: DataFrame, met: DataFrame, held, percent: int = 80, most: int = HELD, part: int = 4096) -> DataFrame:
+    """Settles crowded regions and those of further orders; rows: their classes, with the columns of leaves(). Returns
+    components.
 
     In each round, up to `most` strays (classes outside their region's largest component) of each region are held
     against all of its classes in other components, until no stray is left untried; `most` grows by 4 each round.
@@ -213,7 +223,7 @@ def crowded(rows: DataFrame, ids: DataFrame, links: DataFrame, met: DataFrame, h
         turn = F.row_number().over(Window.partitionBy(*_REGION).orderBy(F.xxhash64("rep"), "rep"))
         now = staging.stage(stray.withColumn("turn", turn).filter(F.col("turn") <= most), "strays")
         if now.isEmpty():
-            return links, met
+            return met
         parts = F.ceil(F.col("n") / part).cast("int")
         chunk = lambda c: F.floor((F.col(c) - 1) / HELD).cast("int")
         last = staging.stage(now.groupBy(*_REGION).agg(F.max("turn").alias("last"), F.max("n").alias("n")), "last")
@@ -225,8 +235,7 @@ def crowded(rows: DataFrame, ids: DataFrame, links: DataFrame, met: DataFrame, h
         texts_ = held(nodes).join(nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").join(ids.withColumnRenamed("rep", "node"), "node")
         both = both.join(texts_, "node").repartition(*block).sortWithinPartitions(*block, "child")
         found = staging.stage(both.select(*block, "child", "node", *value, "ids", "text").mapInArrow(_streamed(percent), "a long, b long").distinct(), "links")
-        links = links.unionByName(found)
-        met = graph.components(links)
+        met = merged(met, found)
         done = staging.stage(now.select("rep", *_REGION), "tried")
         tried = done if tried is None else tried.unionByName(done)
         staging.drop(at, nodes, now, main, last)
@@ -342,14 +351,13 @@ def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     met = graph.components(links)
     at = lambda c: met.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     open_ = pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    small = unsettled(last.filter(F.col("n") <= crowd), met)
+    small = unsettled(last.filter((F.col("n") <= crowd) & (F.col("depth") <= DEPTH)), met)
     open_ = open_.unionByName(across(small, small, _REGION, percent)).distinct().join(best, ["a", "b"], "left_anti")
     open_ = staging.stage(open_, "open")
     more = confirmed(open_, texts_of(_ends(open_)), percent)
     if not more.isEmpty():
-        links = links.unionByName(more)
-        met = graph.components(links)
-    links, roots = crowded(last.filter(F.col("n") > crowd), ids, links, met, texts_of, percent, crowd)
+        met = merged(met, more)
+    roots = crowded(last.filter((F.col("n") > crowd) | (F.col("depth") > DEPTH)), ids, met, texts_of, percent)
     ours = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return ours.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
