@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from itertools import groupby
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from lexmill.functions.outcomes import outcome
 from lexmill.functions.romanised import is_romanised, transliterate
@@ -93,5 +94,18 @@ def routed(text: Column, how: Mixing = Mixing()) -> Column:
     return outcome(lambda t: route(t, how), "string")(text)
 
 
+#: What str.isdigit() takes for a digit, Malayalam letters aside, as a class of Spark's patterns.
+_DIGIT = (
+    r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}"
+    r"\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}"
+)
+_SCRIPTS = {"malayalam": r"[\x{0D00}-\x{0D7F}]", "latin": "[A-Za-z]", "digit": rf"[{_DIGIT}&&[^\x{{0D00}}-\x{{0D7F}}]]", "other": rf"[^A-Za-z\x{{0D00}}-\x{{0D7F}}{_DIGIT}]"}
+
+
+def script_runs(text: Column, kind: str) -> Column:
+    """How many runs of one script segments() finds; all in the JVM."""
+    return F.regexp_count(text, F.lit(f"{_SCRIPTS[kind]}+")).cast("long")
+
+
 def segmented(text: Column) -> Column:
     return outcome(segments, "array<struct<script:string,text:string,start:int,end:int>>")(text)

@@ -180,3 +180,90 @@ def parsed_keys(text: Column) -> Column:
 
 def consent_status(status: Column, revoked_at: Column, expires_at: Column, as_of: Column) -> Column:
     return F.when(revoked_at.isNotNull(), "revoked").when((status == "verified") & (as_of >= expires_at), "expired").otherwise(status)
+
+
+def script_predicates(char: Column) -> dict[str, Column]:
+    """Whether a character is a consonant, a chillu, a vowel sign or an independent vowel."""
+    classes = {"consonant": r"\x{0D15}-\x{0D3A}", "chillu": r"\x{0D54}-\x{0D56}\x{0D7A}-\x{0D7F}", "vowel_sign": r"\x{0D3E}-\x{0D4C}\x{0D57}\x{0D62}\x{0D63}", "independent_vowel": r"\x{0D05}-\x{0D14}\x{0D60}\x{0D61}"}
+    return {f"is_{name}": char.rlike(f"^[{c}]$") for name, c in classes.items()}
+
+
+def reference_plausibility(text: Column, seconds: Column) -> Column:
+    """struct<error_code, characters_per_second, advisories> of a reference recording and what it says. Errors: no text,
+    under 2 s, over 30 s. Over 25 or under 4 characters a second the transcript is doubtful; over 12 s costs time."""
+    n = F.length(stripped(F.coalesce(text, F.lit(""))))
+    rate = F.when(seconds > 0, n / seconds).otherwise(float("inf"))
+    wrong = (n == 0) | (seconds < 2.0) | (seconds > 30.0)
+    notes = reasons((rate > 25.0, "transcript_too_long"), (rate < 4.0, "transcript_too_short"), (seconds > 12.0, "recording_long"))
+    return F.struct(F.when(wrong, "validation_error").alias("error_code"), rate.alias("characters_per_second"), notes.alias("advisories"))
+
+
+def real_time_factor(generated: Column, duration: Column) -> Column:
+    """Seconds of work for a second of sound; infinite for none."""
+    return F.when(duration > 0, generated / duration).otherwise(float("inf"))
+
+
+def joined_chunks(chunks: Column, rate: int) -> Column:
+    """Samples of array<struct<samples: array<double>, pause_ms: int>>, each followed by its pause of silence."""
+    silence = lambda c: F.array_repeat(F.lit(0.0), F.floor(c.pause_ms * rate / 1000).cast("int"))
+    return F.flatten(F.transform(chunks, lambda c: F.concat(c.samples, silence(c))))
+
+
+def unit_samples(samples: Column, *, integers: bool = False) -> Column:
+    """Model output as samples in [-1, 1]: 16-bit integers over 32768; what still peaks over 1 over its peak."""
+    x = F.transform(samples, lambda v: v.cast("double") / (32768 if integers else 1))
+    peak = F.array_max(F.transform(x, lambda v: F.abs(v)))
+    return F.when(peak > 1, F.transform(x, lambda v: v / peak)).otherwise(x)
+
+
+def fingerprint(content: Column, digits: int = 12) -> Column:
+    return F.substring(F.sha2(content, 256), 1, digits)
+
+
+def in_utc(ts: Column, zone: str) -> Column:
+    """A wall-clock time of a zone as the same instant in UTC."""
+    return F.to_utc_timestamp(ts, zone)
+
+
+def consent_phrase(name: Column, words: Column, day: Column) -> Column:
+    """What a person reads out to consent; null without a name. words: those that prove it is read today."""
+    said = F.format_string(
+        "ഞാൻ %s. %d-%d-%d തീയതി, എന്റെ ശബ്ദം ഉപയോഗിച്ച് കൃത്രിമ ശബ്ദം നിർമ്മിക്കാൻ ഞാൻ അനുമതി നൽകുന്നു. സ്ഥിരീകരണ വാക്കുകൾ: %s.",
+        stripped(name), F.dayofmonth(day), F.month(day), F.year(day), F.array_join(words, ", "),
+    )
+    return F.when(stripped(name) != "", said)
+
+
+def worst(rank: Sequence[str], statuses: Column) -> Column:
+    """The last in rank of an array of statuses; the first of rank where there are none."""
+    at = F.array_max(F.transform(statuses, lambda s: F.array_position(F.array(*map(F.lit, rank)), s)))
+    return F.element_at(F.array(*map(F.lit, rank)), F.coalesce(at, F.lit(1)).cast("int"))
+
+
+# Words of the stock moderation rules.
+_OTP = r"otp|ഒ\s*ടി\s*പി|ഒറ്റത്തവണ\s*പാസ്?.?വേഡ്"
+_CREDENTIAL = r"password|പാസ്?.?വേഡ്|പിൻ\s*നമ്പർ|\bcvv\b|atm\s*pin|\bpin\b"
+_SHARE = r"share|send|പറയ|അയക്ക|തരാമോ|തരൂ|നൽക|വേണം|ചൊല്ല"
+_MONEY = r"പണം|രൂപ|money|transfer|അയക്ക|ഗൂഗിൾ\s*പേ|\bupi\b|\bgpay\b|₹"
+_URGENT = r"അടിയന്തര|urgent|immediately|ഉടനെ|പെട്ടെന്ന്|ഇപ്പോൾ\s*തന്നെ"
+_EMERGENCY = r"അപകട|ആശുപത്രി|അറസ്റ്റ്|hospital|accident|arrest|police\s*station|ജയില"
+_AUTHORITY = r"മുഖ്യമന്ത്രി|മന്ത്രി|കമ്മീഷണർ|എസ്\s*ഐ|പോലീസ്|ഐ\s*പി\s*എസ്|collector"
+_PRIZE = r"ലോട്ടറി|lottery|സമ്മാനം|prize|ജാക്ക്.?പോട്ട്"
+_CLAIM = r"അടിച്ചു|\bwon\b|കിട്ടി|claim|ക്ലെയിം|ജയിച്ചു"
+_ACCOUNT = r"അക്കൗണ്ട്\s*നമ്പർ|account\s*number|\bifsc\b|ബാങ്ക്\s*വിവര"
+_MYSELF = r"ഞാൻ\s*(?:ആണ്|തന്നെ|ആണു)|this\s+is\s+the"
+#: Rules of moderation() against fraud: name, severity, pattern.
+STOCK_RULES = (
+    ("otp_solicitation", "block", proximity(_OTP, _SHARE)),
+    ("credential_solicitation", "block", proximity(_CREDENTIAL, _SHARE)),
+    ("urgent_money_transfer", "block", proximity(_URGENT, _MONEY)),
+    ("relative_in_trouble_scam", "block", proximity(_EMERGENCY, _MONEY, 60)),
+    ("account_details_request", "flag", _ACCOUNT),
+    ("impersonation_claim", "flag", proximity(_MYSELF, _AUTHORITY, 30)),
+    ("prize_lottery_scam", "flag", proximity(_PRIZE, _CLAIM)),
+)
+
+
+def stock_moderation(text: Column, blocked: Sequence[str] = ()) -> Column:
+    """moderation() by the stock rules, and further patterns that block, named extra_1 and so on."""
+    return moderation(text, [*STOCK_RULES, *[(f"extra_{i}", "block", p) for i, p in enumerate(blocked, 1)]])

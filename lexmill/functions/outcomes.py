@@ -9,6 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Error codes of all outcomes.
+ERROR_CODES = (
+    "configuration_error", "feature_disabled", "validation_error", "text_too_long", "unsupported_script", "voice_not_found", "consent_required",
+    "moderation_blocked", "audio_error", "backend_unavailable", "rate_limited", "unauthenticated", "internal_error",
+)
+
+
 class TextError(ValueError):
     """A text that can't be processed; code names the reason."""
 

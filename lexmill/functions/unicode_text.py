@@ -82,3 +82,10 @@ def composed(text: Column) -> Column:
             yield pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in batch], dtype=object)
 
     return F.pandas_udf(run, "string")(text)
+
+
+def decomposed_chillu(text: Column) -> Column:
+    """Each chillu letter as its consonant with virama and joiner, for lexicons that are older than the letters."""
+    for base, chillu in CHILLU_OF.items():
+        text = F.replace(text, F.lit(chillu), F.lit(base + VIRAMA + ZWJ))
+    return text

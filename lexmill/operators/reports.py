@@ -55,3 +55,15 @@ def by_category(df: DataFrame, category: str, passed: Column) -> DataFrame:
     return df.groupBy(F.col(category).alias("category")).agg(
         F.count(F.lit(1)).alias("cases"), F.count(passed).alias("asserted"), F.count_if(passed).alias("passed"), pass_rate(passed).alias("pass_rate")
     )
+
+
+def synthesis_report(df: DataFrame, category: str, error: Column, means: dict[str, Column]) -> DataFrame:
+    """category, cases, errors and the means of what has no error, by category and, as category null, over all."""
+    rows = df.withColumn("category", F.col(category)).groupingSets([[F.col("category")], []], "category")
+    made = [F.count(F.lit(1)).alias("cases"), F.count(error).alias("errors"), F.grouping("category").cast("int").alias("overall")]
+    return rows.agg(*made, *[mean_without_errors(v, error).alias(k) for k, v in means.items()]).orderBy("overall", "category")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """One file of one JSON object a row, as is in UTF-8; for reports, which are small."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

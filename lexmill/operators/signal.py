@@ -49,3 +49,18 @@ def quality_reasons(duration, snr, silence):
     from lexmill.functions.columns import reasons
 
     return reasons((duration < 0.5, "too_short"), (duration > 30.0, "too_long"), (snr < 20.0, "noisy"), (silence > 0.6, "mostly_silence"))
+
+
+def quality_texts(duration, snr, clipping, silence, offset, peak, *, least_seconds=0.5, most_seconds=30.0, least_snr=20.0, most_clipping=0.001, most_silence=0.6, most_offset=0.01, least_peak=-40.0):
+    """All reasons of the gate as texts with their measure, in fixed order; none: the clip passes. Halves are those of the
+    shortest decimal of a measure, so a last digit can differ by one from a rounding of the binary number."""
+    from pyspark.sql import functions as F
+
+    from lexmill.functions.columns import reasons
+
+    f = lambda text, x, digits: F.format_string(text, F.bround(x, digits))  # noqa: E731 - halves go to the even digit
+    return reasons(
+        (duration < least_seconds, f("too short (%.2fs)", duration, 2)), (duration > most_seconds, f("too long (%.2fs)", duration, 2)), (snr < least_snr, f("snr too low (%.1f dB)", snr, 1)),
+        (clipping > most_clipping, f("clipped (%.4f%% of samples)", clipping * 100, 4)), (silence > most_silence, f("mostly silence (%.0f%%)", silence * 100, 0)),
+        (F.abs(offset) > most_offset, f("dc offset (%+.4f)", offset, 4)), (peak < least_peak, f("level too low (peak %.1f dBFS)", peak, 1)),
+    )

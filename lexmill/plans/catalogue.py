@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import columns as C
-from lexmill.functions import chunking, codemix, frontend, numerals, phonemes, romanised, spoken, unicode_text
+from lexmill.functions import chunking, codemix, frontend, numerals, phonemes, romanised, scoring, spoken, unicode_text
 from lexmill.operators import reports, signal, voices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,8 +187,10 @@ def vad_segments(spark, sf_dir):
 @query("""WITH x AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events)
           SELECT user_id, CAST(max(n) AS INTEGER) AS longest FROM (SELECT user_id, count(*) AS n FROM x GROUP BY user_id, event_type, g) GROUP BY user_id""")
 def longest_run(spark, sf_dir):
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x.event_type)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(ordered.alias("a")).select("user_id", C.longest_run(F.col("a")).alias("longest"))
+    by, order = Window.partitionBy("user_id"), ("ts", "event_id")
+    island = F.row_number().over(by.orderBy(*order)) - F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(*order))
+    runs = table(spark, sf_dir, "events").select("user_id", "event_type", island.alias("island")).groupBy("user_id", "event_type", "island").agg(F.count(F.lit(1)).alias("n"))
+    return runs.groupBy("user_id").agg(F.max("n").cast("int").alias("longest"))
 
 
 @query("""SELECT lang AS category, count(*) AS cases, count(quality) AS asserted, count(*) FILTER (quality = 1) AS passed,
@@ -329,9 +331,7 @@ def normalization_by_source(spark, sf_dir):
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+')) AS BIGINT) AS latin, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS digit,
            CAST(len(regexp_extract_all(text, '[^A-Za-z0-9]+')) AS BIGINT) AS other FROM documents""")
 def segment_scripts(spark, sf_dir):
-    runs = codemix.segmented(F.col("text"))["value"]
-    df = table(spark, sf_dir, "documents").select("doc_id", F.transform(runs, lambda r: r["script"]).alias("s"))
-    return df.select("doc_id", *[F.size(F.filter("s", lambda x: x == F.lit(k))).cast("long").alias(k) for k in ("latin", "digit", "other")])
+    return table(spark, sf_dir, "documents").select("doc_id", *[codemix.script_runs(F.col("text"), k).alias(k) for k in ("latin", "digit", "other")])
 
 
 @query(rf"""
@@ -387,3 +387,144 @@ def frontend_eval(spark, sf_dir):
     """Pass rate by role; a turn passes if its Latin words that are no romanised Malayalam come through unchanged."""
     df = table(spark, sf_dir, "conversations").select("role", "text", frontend.processed(F.col("text")).alias("d"))
     return reports.by_category(df.withColumn("passed", F.col("d.value.routed") == F.col("d.value.expanded")), "role", F.col("passed"))
+
+
+_FRAUD = ("", " please send me the otp", " urgent, transfer money now", " hospital bill, the money is due", " your account number and ifsc", " this is the collector", " you won the lottery", " tell no one the pin")
+
+
+def _rule_sql(name: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_matches(t, '(?i){pattern.replace(chr(39), chr(39) * 2)}') THEN '{name}' END"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace(lower(text || ([{", ".join(f"'{x}'" for x in _FRAUD)}])[CAST((conv_id + turn) % {len(_FRAUD)} AS INTEGER) + 1]), '\\s+', ' ', 'g') AS t FROM conversations),
+r AS (SELECT conv_id, turn, concat_ws(',', {", ".join(_rule_sql(n, p) for n, s, p in C.STOCK_RULES if s == "block")}) AS hard, concat_ws(',', {", ".join(_rule_sql(n, p) for n, s, p in C.STOCK_RULES if s == "flag")}) AS soft FROM t)
+SELECT conv_id, turn, CASE WHEN hard <> '' THEN 'block' WHEN soft <> '' THEN 'flag' ELSE 'allow' END AS severity, concat_ws(',', nullif(hard, ''), nullif(soft, '')) AS rules FROM r""")
+def stock_moderation(spark, sf_dir):
+    said = F.concat("text", F.element_at(F.array(*map(F.lit, _FRAUD)), ((F.col("conv_id") + F.col("turn")) % len(_FRAUD)).cast("int") + 1))
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.stock_moderation(said).alias("m"))
+    return df.select("conv_id", "turn", "m.severity", F.array_join("m.rules", ",").alias("rules"))
+
+
+@query("""WITH d AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS n, CAST(n_chars % 40 AS DOUBLE) AS s FROM documents),
+r AS (SELECT *, CASE WHEN s > 0 THEN n / s ELSE CAST('inf' AS DOUBLE) END AS rate FROM d)
+SELECT doc_id, CASE WHEN n = 0 OR s < 2 OR s > 30 THEN 'validation_error' END AS error_code, CASE WHEN s > 0 THEN round(rate, 6) END AS rate,
+concat_ws(',', CASE WHEN rate > 25 THEN 'transcript_too_long' END, CASE WHEN rate < 4 THEN 'transcript_too_short' END, CASE WHEN s > 12 THEN 'recording_long' END) AS advisories FROM r""")
+def reference_plausibility(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 40).cast("double").alias("s"), "text")
+    df = df.select("doc_id", "s", C.reference_plausibility(F.col("text"), F.col("s")).alias("p"))
+    return df.select("doc_id", "p.error_code", F.when(F.col("s") > 0, F.round("p.characters_per_second", 6)).alias("rate"), F.array_join("p.advisories", ",").alias("advisories"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(l_quantity / l_discount, 6) ELSE CAST('inf' AS DOUBLE) END AS rtf FROM lineitem")
+def real_time_factor(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(C.real_time_factor(F.col("l_quantity"), F.col("l_discount")), 6).alias("rtf"))
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 8) AS v FROM embeddings),
+p AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS peak FROM x)
+SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x) / greatest(peak, 1))), 6) AS loudness, CAST(len(v) AS BIGINT) AS n FROM p""")
+def unit_samples(spark, sf_dir):
+    x = C.unit_samples(F.transform("embedding", lambda v: v.cast("double") * 8))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
+    return df.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)), 6).alias("loudness"), F.size("x").cast("long").alias("n"))
+
+
+@query("""SELECT vec_id, CAST(2 * len(embedding) + 3 * (vec_id % 50) + 150 AS BIGINT) AS n, round(2 * list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS total FROM embeddings""")
+def joined_chunks(spark, sf_dir):
+    samples = F.transform("embedding", lambda v: v.cast("double")).alias("samples")
+    chunks = F.array(F.struct(samples, (F.col("vec_id") % 50).alias("pause_ms")), F.struct(samples, F.lit(50).cast("long").alias("pause_ms")))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", C.joined_chunks(chunks, 3000).alias("x"))
+    return df.select("vec_id", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 12) AS mark FROM documents")
+def content_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.fingerprint(F.col("text")).alias("mark"))
+
+
+@query("""SELECT event_type AS category, count(*) AS cases, count(*) FILTER (user_id % 7 = 0) AS errors, CAST(GROUPING(event_type) AS INTEGER) AS overall,
+round(avg(value) FILTER (user_id % 7 <> 0), 4) AS mean_value FROM events GROUP BY GROUPING SETS ((event_type), ())""")
+def synthesis_by_category(spark, sf_dir):
+    error = F.when(F.col("user_id") % 7 == 0, "backend_unavailable")
+    df = reports.synthesis_report(table(spark, sf_dir, "events"), "event_type", error, {"mean_value": F.col("value")})
+    return df.withColumn("mean_value", F.round("mean_value", 4))
+
+
+@query("""WITH s AS (SELECT user_id, sum(value) / 60 AS duration, avg(value) AS snr, CAST(count(*) FILTER (value < 20) AS DOUBLE) / count(*) AS silence, CAST(count(*) FILTER (value > 90) AS DOUBLE) / count(*) / 16 AS clipping,
+min(value) / 63 AS shift, max(value) - 130 AS peak FROM events GROUP BY user_id)
+SELECT user_id, concat_ws('; ', CASE WHEN duration < 0.5 THEN printf('too short (%.2fs)', duration) END, CASE WHEN duration > 30 THEN printf('too long (%.2fs)', duration) END, CASE WHEN snr < 20 THEN printf('snr too low (%.1f dB)', snr) END,
+CASE WHEN clipping > 0.001 THEN printf('clipped (%.4f%% of samples)', clipping * 100) END, CASE WHEN silence > 0.6 THEN printf('mostly silence (%.0f%%)', silence * 100) END, CASE WHEN abs(shift) > 0.01 THEN printf('dc offset (%+.4f)', shift) END,
+CASE WHEN peak < -40 THEN printf('level too low (peak %.1f dBFS)', peak) END) AS reasons FROM s""")
+def quality_gate_texts(spark, sf_dir):
+    n, v = F.count(F.lit(1)), F.col("value")
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg((F.sum("value") / 60).alias("duration"), F.avg("value").alias("snr"), (F.count_if(v < 20) / n).alias("silence"),
+        (F.count_if(v > 90) / n / 16).alias("clipping"), (F.min("value") / 63).alias("shift"), (F.max("value") - 130).alias("peak"))
+    return s.select("user_id", F.array_join(signal.quality_texts(*map(F.col, ("duration", "snr", "clipping", "silence", "shift", "peak"))), "; ").alias("reasons"))
+
+
+@query("""SELECT l_orderkey, CASE max(CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_linestatus = 'O' THEN 2 ELSE 1 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'ok' END AS status FROM lineitem GROUP BY l_orderkey""")
+def worst_status(spark, sf_dir):
+    status = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_linestatus") == "O", "warn").otherwise("ok")
+    df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(status).alias("s"))
+    return df.select("l_orderkey", C.worst(("ok", "warn", "fail"), F.col("s")).alias("status"))
+
+
+@query("""SELECT o_orderkey, 'ഞാൻ Customer ' || o_custkey || '. ' || day(o_orderdate) || '-' || month(o_orderdate) || '-' || year(o_orderdate) || ' തീയതി, എന്റെ ശബ്ദം ഉപയോഗിച്ച് കൃത്രിമ ശബ്ദം നിർമ്മിക്കാൻ ഞാൻ അനുമതി നൽകുന്നു. സ്ഥിരീകരണ വാക്കുകൾ: '
+|| o_orderstatus || ', ' || o_orderpriority || '.' AS phrase FROM orders""")
+def consent_phrase(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit(" Customer "), F.col("o_custkey").cast("string"))
+    return o.select("o_orderkey", C.consent_phrase(name, F.array("o_orderstatus", "o_orderpriority"), F.col("o_orderdate")).alias("phrase"))
+
+
+@query("SELECT o_orderkey, o_orderdate + INTERVAL 365 DAY AS expires_at, TIMESTAMP '1997-06-01' >= o_orderdate + INTERVAL 365 DAY AS expired FROM orders")
+def consent_expiry(spark, sf_dir):
+    until = F.col("o_orderdate") + F.expr("INTERVAL 365 DAYS")
+    return table(spark, sf_dir, "orders").select("o_orderkey", until.alias("expires_at"), (F.lit("1997-06-01 00:00:00").cast("timestamp") >= until).alias("expired"))
+
+
+@query("SELECT s_suppkey, replace(replace('അവൻ ' || s_name || 'ർ', 'ൻ', 'ന' || chr(3405) || chr(8205)), 'ർ', 'ര' || chr(3405) || chr(8205)) AS spelled FROM supplier")
+def decompose_chillu(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", unicode_text.decomposed_chillu(F.concat(F.lit("അവൻ "), "s_name", F.lit("ർ"))).alias("spelled"))
+
+
+_LETTERS = "അആഇഈഉഊഋഎഏഐഒഓഔകഖഗഘങചഛജഝഞടഠഡഢണതഥദധനപഫബഭമയരറലളഴവശഷസഹാിീുൂൃെേൈൊോൌൗംഃ്ൺൻർൽൾൿ൧a1"
+
+
+@query(f"""WITH c AS (SELECT r_regionkey, unnest(string_split('{_LETTERS}', '')) AS c FROM region)
+SELECT r_regionkey, count(*) FILTER (regexp_matches(c, '^[ക-ഺ]$')) AS consonants, count(*) FILTER (regexp_matches(c, '^[ൔ-ൖൺ-ൿ]$')) AS chillus,
+count(*) FILTER (regexp_matches(c, '^[\\x{{0D3E}}-\\x{{0D4C}}\\x{{0D57}}\\x{{0D62}}\\x{{0D63}}]$')) AS signs, count(*) FILTER (regexp_matches(c, '^[അ-ഔൠൡ]$')) AS vowels FROM c GROUP BY r_regionkey""")
+def script_predicates(spark, sf_dir):
+    df = table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.split(F.lit(_LETTERS), "")).alias("c"))
+    is_ = C.script_predicates(F.col("c"))
+    kinds = {"consonants": "is_consonant", "chillus": "is_chillu", "signs": "is_vowel_sign", "vowels": "is_independent_vowel"}
+    return df.groupBy("r_regionkey").agg(*[F.count_if(is_[k]).alias(name) for name, k in kinds.items()])
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(p_name || ', ' || p_type, '[,\\s]+'), lambda k: k <> ''))), '|') AS keys FROM part")
+def key_list(spark, sf_dir):
+    keys = C.parsed_keys(F.concat("p_name", F.lit(", "), "p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.sort_array(keys), "|").alias("keys"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
+SELECT conv_id, turn, CAST(len(list_filter(string_split(h, ' '), lambda w: w <> '')) - len(list_filter(string_split(r, ' '), lambda w: w <> '')) AS INTEGER) AS drift FROM p WHERE r IS NOT NULL""")
+def edit_drift(spark, sf_dir):
+    """Insertions less deletions of each turn against the one before; their number is what the lengths differ by."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    df = _pairs(spark, sf_dir).select("conv_id", "turn", scoring.edit_counts(words(F.col("r")), words(F.col("h"))).alias("e"))
+    return df.select("conv_id", "turn", (F.col("e.insertions") - F.col("e.deletions")).alias("drift"))
+
+
+@query()
+def edit_counts(spark, sf_dir):
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    return _pairs(spark, sf_dir).select("conv_id", "turn", scoring.edit_counts(words(F.col("r")), words(F.col("h"))).alias("e")).select("conv_id", "turn", "e.*")
+
+
+@query()
+def challenge_tokens(spark, sf_dir):
+    """Tokens of consent challenges, and what is read from them again."""
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("subject"), F.col("o_orderdate").alias("issued_at")))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", scoring.challenge_tokens(body, b"example key").alias("token"))
+    return df.select("o_orderkey", "token", scoring.challenge_bodies(F.col("token"), b"example key").alias("b")).select("o_orderkey", "token", "b.value", "b.error_code")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UTTERANCE = (
@@ -23,23 +25,30 @@ def read_listing(spark: SparkSession, path: str, audio_root: str = "") -> DataFr
 
 def read_manifest(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
     """Rows of a JSON-lines manifest. A row that breaks a constraint ends a strict read; otherwise its column defect says why."""
-    df = spark.read.schema(f"{UTTERANCE}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    df = spark.read.schema(f"{UTTERANCE}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path).withColumn("_file", F.input_file_name())
     needed = ["id", "audio_path", "source", "license_id", "commercial_use_permitted", "text", "speaker_id", "duration_seconds", "sample_rate"]
     rules = [(F.col("_broken").isNotNull(), "not valid JSON"), *[(F.col(c).isNull(), f"no {c}") for c in needed]]
     rules += [(F.col("duration_seconds") <= 0, "duration_seconds isn't positive"), (F.col("sample_rate") <= 0, "sample_rate isn't positive"), (F.col("asr_cer") < 0, "asr_cer is negative"), (F.col("language") != "ml", "language isn't ml")]
     defect = F.coalesce(*[F.when(rule, text) for rule, text in rules])
     df = df.withColumn(_DEFECT, defect).drop("_broken")
     if not strict:
-        return df
-    return df.withColumn("id", F.when(F.col(_DEFECT).isNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("manifest: "), F.col(_DEFECT))))).drop(_DEFECT)
+        return df.drop("_file")
+    return df.withColumn("id", F.when(F.col(_DEFECT).isNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("manifest: "), F.col("_file"), F.lit(": "), F.col(_DEFECT))))).drop(_DEFECT, "_file")
 
 
-def write_manifest(rows: DataFrame, path: str) -> None:
-    """One JSON object a line, nulls included; replaces what is there."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_manifest(rows: DataFrame, path: str) -> int:
+    """One JSON object a line, nulls included; replaces what is there. Returns the number of rows."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return seen.get["n"]
 
 
 def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
-    """name of each line that is neither empty nor a comment."""
+    """name of each line that is neither empty nor a comment; none, with a warning, where there is no such file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at) or files.getFileStatus(at).isDirectory():
+        warnings.warn(f"no blocklist at {path}", stacklevel=2)
+        return spark.createDataFrame([], "name string")
     name = F.trim("value")
     return spark.read.text(path).select(name.alias("name")).filter((F.col("name") != "") & ~F.col("name").startswith("#"))
