@@ -185,10 +185,13 @@ def merged(met: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def unsettled(rows: DataFrame, met: DataFrame) -> DataFrame:
-    """Those rows of leaves() whose region holds classes of several components; c is the component."""
+    """Those rows of leaves() whose region holds classes of several components; c is the component, main the region's
+    largest one, strays how many classes lie outside that."""
     at = rows.join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")).select(*_OF, "n", "c", *_REGION)
-    several = staging.stage(at.groupBy(*_REGION).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n").alias("n")).filter("c0 <> c1").select(*_REGION, "n"), "several")
-    return staging.stage(skew.joined(at.drop("n"), several, _REGION, _total(several)), "unsettled")
+    own = at.groupBy(*_REGION, "n", "c").agg(F.count(F.lit(1)).alias("k")).groupBy(*_REGION, "n")
+    own = own.agg(F.max(F.struct("k", "c"))["c"].alias("main"), (F.sum("k") - F.max("k")).alias("strays")).filter("strays > 0")
+    own = staging.stage(own, "several")
+    return staging.stage(skew.joined(at.drop("n"), own, _REGION, _total(own)), "unsettled")
 
 
 def _total(facts: DataFrame) -> int:
@@ -215,9 +218,7 @@ def crowded(rows: DataFrame, ids: DataFrame, met: DataFrame, held, percent: int
     tried = None
     while True:
         at = unsettled(rows, met)
-        main = at.groupBy(*_REGION, "n", "c").agg(F.count(F.lit(1)).alias("k")).groupBy(*_REGION, "n").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
-        main = staging.stage(main, "main")
-        stray = skew.joined(at.drop("n"), main, _REGION, _total(main)).filter("c <> main").drop("main")
+        stray = at.filter("c <> main")
         if tried is not None:
             stray = stray.join(tried, ["rep", *_REGION], "left_anti")
         turn = F.row_number().over(Window.partitionBy(*_REGION).orderBy(F.xxhash64("rep"), "rep"))
@@ -226,8 +227,13 @@ def crowded(rows: DataFrame, ids: DataFrame, met: DataFrame, held, percent: int
             return met
         parts = F.ceil(F.col("n") / part).cast("int")
         chunk = lambda c: F.floor((F.col(c) - 1) / HELD).cast("int")
-        last = staging.stage(now.groupBy(*_REGION).agg(F.max("turn").alias("last"), F.max("n").alias("n")), "last")
-        members = skew.joined(at.drop("n"), last, _REGION, _total(last)).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk("last")))).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        last = None
+        if tried is None:  # every region has strays
+            members = at.withColumn("last", F.least("strays", F.lit(most)))
+        else:
+            last = staging.stage(now.groupBy(*_REGION).agg(F.max("turn").alias("last"), F.max("n").alias("n")), "last")
+            members = skew.joined(at.drop("n"), last, _REGION, _total(last))
+        members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk("last")))).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
         strays = now.withColumn("chunk", chunk("turn")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         block, value = [*_REGION, "chunk", "part"], ["c", "s1", "s2"]
         both = members.select(*block, F.lit(True).alias("child"), F.col("rep").alias("node"), *value).unionByName(strays.select(*block, F.lit(False).alias("child"), F.col("rep").alias("node"), *value))
@@ -238,7 +244,7 @@ def crowded(rows: DataFrame, ids: DataFrame, met: DataFrame, held, percent: int
         met = merged(met, found)
         done = staging.stage(now.select("rep", *_REGION), "tried")
         tried = done if tried is None else tried.unionByName(done)
-        staging.drop(at, nodes, now, main, last)
+        staging.drop(at, nodes, now, last)
         most *= 4
 
 
