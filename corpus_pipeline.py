@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score of 0.3 or more).
 
     Null and empty texts are scored by their length class, very long ones whole. Null ids are scored, and never
-    learned from. Repeated rows: each by itself. Ties of neighbours: the one of smaller id. Empty table: empty result.
+    learned from. Repeated rows: each by itself. Neighbours that tie for the last place: any of them. Empty table: empty result.
     Columns of any name pass through."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = staging.free_name(docs, "score")
