@@ -265,6 +265,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value)
         for batch in it:
+            if not batch.num_rows:
+                continue
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             rows = []
             for i, text in zip(ids, texts, strict=True):
