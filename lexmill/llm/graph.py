@@ -16,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds are written to the shared folder. Hubs are cut down to one row a task before they are dealt out.
     """
     work = staging.stage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    nodes = staging.stage(work.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    label = staging.stage(nodes.select("node", F.col("node").alias("root")), "labels")
+    label = work.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    label = staging.stage(label.select("node", F.col("node").alias("root")), "labels")
     while not work.isEmpty():
         both = work.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(work.select(F.col("b").alias("u"), F.col("a").alias("v")))
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))

@@ -3,7 +3,7 @@
 Documents with equal sets are one class from the start. Each class has 20 signature orders of 6 minhashes.
 In each order, classes that share the first 3 values lie in one region; a region of more than `crowd` classes
 is entered deeper, by one value at a time, to at most 6. Classes of crowded regions are put into 60 further orders
-of 6, the same 120 values dealt anew. Candidates of a class are its next neighbours in the order (their common prefix
+of 6, the same 120 values dealt anew, which only the last turn below looks at. Candidates of a class are its next neighbours in the order (their common prefix
 is the longest) and the first class of its regions, as long as sizes or 120-bit sketches don't rule a similarity of
 0.8 out. What is missed is chance: a pair at exactly 0.8 shares no region of 20 with probability
 (1 - 0.8^3)^20 = 6e-7; where all regions it shares are crowded, none of 80 at depth 6 with about 1e-6.
@@ -125,8 +125,8 @@ def _able(x: str, y: str, percent: int) -> F.Column:
 def forest(reps: DataFrame, crowd: int = CROWD) -> tuple[list[DataFrame], DataFrame]:
     """reps: rep, s1, s2, head, front, tail. Returns the regions of several classes, a table for each depth, with n and
     the first class (lrep, ls1, ls2) of each. What lies in a region of more than `crowd` classes is in the next table
-    too. The last table has the further orders, whole, of all classes that lie in such a region of the first one; their
-    ids are returned too."""
+    too. Also returns the classes that lie in such a region of the first table, with their further orders (heads) and
+    the ids of their regions."""
     rows = reps.select(*_OF, F.explode(F.arrays_zip("head", "tail")).alias("x"))
     rows = rows.select(*_OF, F.col("x.head").alias("head"), F.col("x.tail").alias("tail"), F.lit(0).cast("long").alias("key"))
     out = []
@@ -136,9 +136,7 @@ def forest(reps: DataFrame, crowd: int = CROWD) -> tuple[list[DataFrame], DataFr
             rows = out[-1].filter(F.col("n") > crowd).select(*_OF, "head", "tail").withColumn("key", F.shiftrightunsigned("tail", 21 * (DEPTH - depth - 1)))
     some = out[0].filter(F.col("n") > crowd).select("rep").distinct()
     dealt = reps.join(some, "rep").select(*_OF, "head", "front", "tail").mapInArrow(_dealt_again, "rep long, s1 long, s2 long, m long, heads array<long>, ids binary")
-    dealt = staging.stage(dealt, "dealt-again")
-    rows = dealt.select(*_OF, F.explode("heads").alias("head"), F.lit(0).cast("long").alias("tail"), F.lit(0).cast("long").alias("key"))
-    return [*out, _regions(rows, DEPTH + 1)], dealt.select("rep", "ids")
+    return out, staging.stage(dealt, "dealt-again")
 
 
 def _regions(rows: DataFrame, depth: int) -> DataFrame:
@@ -153,8 +151,8 @@ _REGION = ["head", "depth", "key"]
 
 def leaves(trees: list[DataFrame], crowd: int = CROWD) -> DataFrame:
     """The regions that aren't entered deeper: of at most `crowd` classes, or of the greatest depth."""
-    out = trees[-1].unionByName(trees[-2])
-    for df in trees[:-2]:
+    out = trees[-1]
+    for df in trees[:-1]:
         out = out.unionByName(df.filter(F.col("n") <= crowd))
     return out.select(*_OF, "tail", "n", *_REGION)
 
@@ -184,14 +182,17 @@ def merged(met: DataFrame, found: DataFrame) -> DataFrame:
     return staging.stage(moved.unionByName(more.join(met.select("node"), "node", "left_anti").select("node", "root")), "components")
 
 
-def unsettled(rows: DataFrame, met: DataFrame) -> DataFrame:
-    """Those rows of leaves() whose region holds classes of several components; c is the component, main the region's
-    largest one, strays how many classes lie outside that."""
-    at = rows.join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")).select(*_OF, "n", "c", *_REGION)
-    own = at.groupBy(*_REGION, "n", "c").agg(F.count(F.lit(1)).alias("k")).groupBy(*_REGION, "n")
-    own = own.agg(F.max(F.struct("k", "c"))["c"].alias("main"), (F.sum("k") - F.max("k")).alias("strays")).filter("strays > 0")
+def with_component(classes: DataFrame, met: DataFrame) -> DataFrame:
+    return classes.join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")).drop("root")
+
+
+def unsettled(at: DataFrame) -> DataFrame:
+    """Those rows of with_component() whose region holds classes of several components; c is the component, main the
+    region's largest one, n how many classes the region has, strays how many of them lie outside main."""
+    own = at.groupBy(*_REGION, "c").agg(F.count(F.lit(1)).alias("k")).groupBy(*_REGION)
+    own = own.agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("strays")).filter("strays > 0")
     own = staging.stage(own, "several")
-    return staging.stage(skew.joined(at.drop("n"), own, _REGION, _total(own)), "unsettled")
+    return staging.stage(skew.joined(at.select(*_OF, "c", *_REGION), own, _REGION, _total(own)), "unsettled")
 
 
 def _total(facts: DataFrame) -> int:
@@ -205,8 +206,8 @@ def across(some: DataFrame, others: DataFrame, on: list[str], percent: int = 80)
     return x.join(y, on).filter((F.col("xc") != F.col("yc")) & _able("x", "y", percent)).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
 
 
-def crowded(rows: DataFrame, ids: DataFrame, met: DataFrame, held, percent: int = 80, most: int = HELD, part: int = 4096) -> DataFrame:
-    """Settles crowded regions and those of further orders; rows: their classes, with the columns of leaves(). Returns
+def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: int = 80, most: int = HELD, part: int = 4096) -> DataFrame:
+    """Settles crowded regions, whose classes are rows, and those of the further orders, which dealt holds. Returns
     components.
 
     In each round, up to `most` strays (classes outside their region's largest component) of each region are held
@@ -217,7 +218,10 @@ def crowded(rows: DataFrame, ids: DataFrame, met: DataFrame, held, percent: int
     """
     tried = None
     while True:
-        at = unsettled(rows, met)
+        # A class meets its component once, then goes to the regions of its further orders.
+        again = with_component(dealt.select(*_OF, "heads"), met).select(*_OF, "c", F.explode("heads").alias("head"), F.lit(DEPTH + 1).alias("depth"), F.lit(0).cast("long").alias("key"))
+        at = unsettled(with_component(rows.select(*_OF, *_REGION), met).unionByName(again))
+        whole = at.filter(F.col("strays") > most).isEmpty()
         stray = at.filter("c <> main")
         if tried is not None:
             stray = stray.join(tried, ["rep", *_REGION], "left_anti")
@@ -238,10 +242,13 @@ def crowded(rows: DataFrame, ids: DataFrame, met: DataFrame, held, percent: int
         block, value = [*_REGION, "chunk", "part"], ["c", "s1", "s2"]
         both = members.select(*block, F.lit(True).alias("child"), F.col("rep").alias("node"), *value).unionByName(strays.select(*block, F.lit(False).alias("child"), F.col("rep").alias("node"), *value))
         nodes = staging.stage(members.select(F.col("rep").alias("doc_id")).distinct(), "members")
-        texts_ = held(nodes).join(nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").join(ids.withColumnRenamed("rep", "node"), "node")
+        texts_ = held(nodes).join(nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").join(dealt.select(F.col("rep").alias("node"), "ids"), "node")
         both = both.join(texts_, "node").repartition(*block).sortWithinPartitions(*block, "child")
         found = staging.stage(both.select(*block, "child", "node", *value, "ids", "text").mapInArrow(_streamed(percent), "a long, b long").distinct(), "links")
         met = merged(met, found)
+        if whole:  # all strays of all regions have had their turn
+            staging.drop(at, nodes, now, last)
+            return met
         done = staging.stage(now.select("rep", *_REGION), "tried")
         tried = done if tried is None else tried.unionByName(done)
         staging.drop(at, nodes, now, last)
@@ -341,9 +348,11 @@ def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     workers.ship(docs.sparkSession)
     signed = staging.stage(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, head array<long>, front array<long>, tail array<long>"), "signatures")
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staging.stage(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = able.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "s1", "s2", F.col("n_shingles").alias("m"), "head", "front", "tail")
-    trees, ids = forest(reps, crowd)
+    # What the first row of a class holds comes along in its aggregate: all rows of a class have equal signatures.
+    first = F.min(F.struct(F.col("doc_id").alias("rep"), "s1", "s2", F.col("n_shingles").alias("m"), "head", "front", "tail")).alias("first")
+    classes = staging.stage(able.groupBy("d1", "d2").agg(first).select("d1", "d2", "first.*"), "classes")
+    reps = classes.drop("d1", "d2")
+    trees, dealt = forest(reps, crowd)
     pairs, last = candidates(trees, crowd, percent), leaves(trees, crowd)
     ends = staging.stage(_ends(pairs), "ends")
     held = staging.stage(_likely(docs, ends).join(ends, "doc_id"), "held")
@@ -357,14 +366,14 @@ def link(docs: DataFrame, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     met = graph.components(links)
     at = lambda c: met.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     open_ = pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    small = unsettled(last.filter((F.col("n") <= crowd) & (F.col("depth") <= DEPTH)), met)
+    small = unsettled(with_component(last.filter(F.col("n") <= crowd), met))
     open_ = open_.unionByName(across(small, small, _REGION, percent)).distinct().join(best, ["a", "b"], "left_anti")
     open_ = staging.stage(open_, "open")
     more = confirmed(open_, texts_of(_ends(open_)), percent)
     if not more.isEmpty():
         met = merged(met, more)
-    roots = crowded(last.filter((F.col("n") > crowd) | (F.col("depth") > DEPTH)), ids, met, texts_of, percent)
-    ours = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    roots = crowded(last.filter(F.col("n") > crowd), dealt, met, texts_of, percent)
+    ours = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return ours.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
