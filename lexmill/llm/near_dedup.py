@@ -22,6 +22,7 @@ nothing, component null, kept. Repeated rows of an id: one component. Empty tabl
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ MORE = 60
 #: Of 120 one-bit minhashes, at similarity 0.8, 12 differ; more than 40 with a probability of 3e-11, far under what the
 #: forest itself leaves to chance.
 MOST_UNEQUAL = 40
+#: The same of 120 minhashes of 4 bits: 22.5 differ at similarity 0.8, more than 53 with a probability of 5e-11.
+MOST_OTHER = 53
 #: Strays whose sets a task holds at once.
 HELD = 256
 _K = TREES * DEPTH
@@ -89,8 +92,8 @@ _SIGNED = ["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "head", "front", "tai
 
 
 def _dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 120 values of each signature, from front and tail, in MORE other orders of 6; and the ids of all its regions
-    of 6 values, 4 bytes each, those of its own orders first."""
+    """The 120 values of each signature, from front and tail, in MORE other orders of 6; the ids of all its regions
+    of 6 values, 4 bytes each, those of its own orders first; and 4 bits of each value as marks, 64 bytes in all."""
     low = U64((1 << 21) - 1)
     rng = np.random.default_rng(11)
     deal = np.concatenate([rng.permutation(_K) for _ in range(MORE * DEPTH // _K)]).reshape(MORE, DEPTH)
@@ -102,7 +105,10 @@ def _dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = mix(out + values[:, deal[:, i]])
         orders = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, MORE, dtype=np.int32)), pa.array(out.view(np.int64).ravel()))
         ids = np.concatenate((_region_id(head, lists[1]), _region_id(out, U64(0))), axis=1)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _OF), orders, pa.array([x.tobytes() for x in ids], pa.binary())], names=[*_OF, "heads", "ids"])
+        bits = np.zeros((len(values), 128), np.uint8)
+        bits[:, :_K] = values & U64(15)
+        binary = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (ids, bits[:, ::2] << 4 | bits[:, 1::2])]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("m"), orders, *binary], names=["rep", "m", "heads", "ids", "marks"])
 
 
 def _region_id(head: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -125,8 +131,8 @@ def _able(x: str, y: str, percent: int) -> F.Column:
 def forest(reps: DataFrame, crowd: int = CROWD) -> tuple[list[DataFrame], DataFrame]:
     """reps: rep, s1, s2, head, front, tail. Returns the regions of several classes, a table for each depth, with n and
     the first class (lrep, ls1, ls2) of each. What lies in a region of more than `crowd` classes is in the next table
-    too. Also returns the classes that lie in such a region of the first table, with their further orders (heads) and
-    the ids of their regions."""
+    too. Also returns the classes that lie in such a region of the first table, with their further orders (heads), the
+    ids of their regions and their marks."""
     rows = reps.select(*_OF, F.explode(F.arrays_zip("head", "tail")).alias("x"))
     rows = rows.select(*_OF, F.col("x.head").alias("head"), F.col("x.tail").alias("tail"), F.lit(0).cast("long").alias("key"))
     out = []
@@ -135,7 +141,7 @@ def forest(reps: DataFrame, crowd: int = CROWD) -> tuple[list[DataFrame], DataFr
         if depth < DEPTH:
             rows = out[-1].filter(F.col("n") > crowd).select(*_OF, "head", "tail").withColumn("key", F.shiftrightunsigned("tail", 21 * (DEPTH - depth - 1)))
     some = out[0].filter(F.col("n") > crowd).select("rep").distinct()
-    dealt = reps.join(some, "rep").select(*_OF, "head", "front", "tail").mapInArrow(_dealt_again, "rep long, s1 long, s2 long, m long, heads array<long>, ids binary")
+    dealt = reps.join(some, "rep").select("rep", "m", "head", "front", "tail").mapInArrow(_dealt_again, "rep long, m long, heads array<long>, ids binary, marks binary")
     return out, staging.stage(dealt, "dealt-again")
 
 
@@ -147,6 +153,7 @@ def _regions(rows: DataFrame, depth: int) -> DataFrame:
 
 
 _REGION = ["head", "depth", "key"]
+_BLOCK = [*_REGION, "chunk", "part"]
 
 
 def leaves(trees: list[DataFrame], crowd: int = CROWD) -> DataFrame:
@@ -186,13 +193,14 @@ def with_component(classes: DataFrame, met: DataFrame) -> DataFrame:
     return classes.join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")).drop("root")
 
 
-def unsettled(at: DataFrame) -> DataFrame:
+def unsettled(at: DataFrame, of: tuple[str, ...] = _OF) -> DataFrame:
     """Those rows of with_component() whose region holds classes of several components; c is the component, main the
-    region's largest one, n how many classes the region has, strays how many of them lie outside main."""
+    region's largest one, n how many classes the region has, strays how many of them lie outside main. Columns `of`
+    come along."""
     own = at.groupBy(*_REGION, "c").agg(F.count(F.lit(1)).alias("k")).groupBy(*_REGION)
     own = own.agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("strays")).filter("strays > 0")
     own = staging.stage(own, "several")
-    return staging.stage(skew.joined(at.select(*_OF, "c", *_REGION), own, _REGION, _total(own)), "unsettled")
+    return staging.stage(skew.joined(at.select(*of, "c", *_REGION), own, _REGION, _total(own)), "unsettled")
 
 
 def _total(facts: DataFrame) -> int:
@@ -213,14 +221,17 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
     In each round, up to `most` strays (classes outside their region's largest component) of each region are held
     against all of its classes in other components, until no stray is left untried; `most` grows by 4 each round.
     Two classes of the largest component need no comparison. Members are dealt out in parts and strays in chunks of
-    HELD: a task keeps the sets of one chunk and streams the members of one part past them, and only links leave it.
-    Of the regions that two classes share only the first compares them. held(nodes) gives doc_id, text of nodes (doc_id).
+    HELD, twice. First by marks and sizes alone: a task keeps those of one chunk, streams the members of one part past
+    them and passes on the rows (never pairs) that have a counterpart they don't rule out. Only these rows meet their
+    texts. Then by full sets, of which only links leave a task. Of the regions that two classes share only the first
+    compares their sets. held(nodes) gives doc_id, text of nodes (doc_id).
     """
     tried = None
     while True:
-        # A class meets its component once, then goes to the regions of its further orders.
-        again = with_component(dealt.select(*_OF, "heads"), met).select(*_OF, "c", F.explode("heads").alias("head"), F.lit(DEPTH + 1).alias("depth"), F.lit(0).cast("long").alias("key"))
-        at = unsettled(with_component(rows.select(*_OF, *_REGION), met).unionByName(again))
+        # A class meets its component once, then goes to its regions.
+        own = with_component(dealt.select("rep", "m", "marks", "heads"), met)
+        again = own.select("rep", "m", "marks", "c", F.explode("heads").alias("head"), F.lit(DEPTH + 1).alias("depth"), F.lit(0).cast("long").alias("key"))
+        at = unsettled(rows.select("rep", *_REGION).join(own.drop("heads"), "rep").unionByName(again), ("rep", "m", "marks"))
         whole = at.filter(F.col("strays") > most).isEmpty()
         stray = at.filter("c <> main")
         if tried is not None:
@@ -239,19 +250,22 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
             members = skew.joined(at.drop("n"), last, _REGION, _total(last))
         members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk("last")))).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
         strays = now.withColumn("chunk", chunk("turn")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        block, value = [*_REGION, "chunk", "part"], ["c", "s1", "s2"]
-        both = members.select(*block, F.lit(True).alias("child"), F.col("rep").alias("node"), *value).unionByName(strays.select(*block, F.lit(False).alias("child"), F.col("rep").alias("node"), *value))
-        nodes = staging.stage(members.select(F.col("rep").alias("doc_id")).distinct(), "members")
-        texts_ = held(nodes).join(nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").join(dealt.select(F.col("rep").alias("node"), "ids"), "node")
-        both = both.join(texts_, "node").repartition(*block).sortWithinPartitions(*block, "child")
-        found = staging.stage(both.select(*block, "child", "node", *value, "ids", "text").mapInArrow(_streamed(percent), "a long, b long").distinct(), "links")
-        met = merged(met, found)
+        value = [F.col("rep").alias("node"), "c", "m", "marks"]
+        both = members.select(*_BLOCK, F.lit(True).alias("child"), *value).unionByName(strays.select(*_BLOCK, F.lit(False).alias("child"), *value))
+        both = both.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "child").mapInArrow(_sieved(percent), both.schema)
+        both = staging.stage(both, "sieved")
+        nodes = staging.stage(both.select(F.col("node").alias("doc_id")).distinct(), "members")
+        if not nodes.isEmpty():
+            texts_ = held(nodes).join(nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").join(dealt.select(F.col("rep").alias("node"), "ids"), "node")
+            full = both.join(texts_, "node").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "child")
+            found = staging.stage(full.select(*_BLOCK, "child", "node", "c", "marks", "ids", "text").mapInArrow(_streamed(percent), "a long, b long").distinct(), "links")
+            met = merged(met, found)
         if whole:  # all strays of all regions have had their turn
-            staging.drop(at, nodes, now, last)
+            staging.drop(at, both, nodes, now, last)
             return met
         done = staging.stage(now.select("rep", *_REGION), "tried")
         tried = done if tried is None else tried.unionByName(done)
-        staging.drop(at, nodes, now, last)
+        staging.drop(at, both, nodes, now, last)
         most *= 4
 
 
@@ -264,35 +278,77 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[at] == y).sum())
 
 
+def _held_values(c: list, m: list, marks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array(c, np.int64), np.array(m, np.int64), np.frombuffer(b"".join(marks), U64).reshape(-1, 8)
+
+
+def _counterparts(own: tuple[np.ndarray, np.ndarray, np.ndarray], c: int, m: int, marks: bytes, percent: int) -> np.ndarray:
+    """Places in own (components, sizes, marks) of another component that sizes and marks don't rule out."""
+    other = own[2] ^ np.frombuffer(marks, U64)
+    other |= other >> U64(1)
+    other |= other >> U64(2)
+    unequal = np.bitwise_count(other & U64(0x1111111111111111)).sum(axis=1)
+    return np.flatnonzero((own[0] != c) & (unequal <= MOST_OTHER) & (100 * np.minimum(own[1], m) >= percent * np.maximum(own[1], m)))
+
+
+def _sieved(percent: int):
+    """Rows of a block, strays first; yields those strays and members that have a counterpart in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, strays, own, hit, schema = None, [], None, (), None
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
+        for batch in batches:
+            schema, out = batch.schema, []
+            at = {c: i for i, c in enumerate(schema.names)}
+            values = lambda row: (row[at[c]] for c in ("c", "m", "marks"))
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if row[: len(_BLOCK)] != block:
+                    out += itertools.compress(strays, hit)
+                    block, strays, own, hit = row[: len(_BLOCK)], [], None, ()
+                if not row[at["child"]]:
+                    strays.append(row)
+                    continue
+                if own is None:
+                    own, hit = _held_values(*zip(*map(values, strays))), np.zeros(len(strays), bool)
+                found = _counterparts(own, *values(row), percent)
+                if len(found):
+                    hit[found] = True
+                    out.append(row)
+            yield made(out)
+        if any(hit):
+            yield made(list(itertools.compress(strays, hit)))
+
+    return run
+
+
 def _streamed(percent: int):
     """Rows of a block, strays first; yields pairs of a stray and a member of two components that are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own, sets, marks, places, at = None, [], [], None, None, 0
+        block, strays, sets, own, places, at = None, [], [], None, None, 0
         for batch in batches:
             left, right = [], []
-            columns = [batch.column(c).to_pylist() for c in (*_REGION, "chunk", "part", "child", "node", "c", "s1", "s2", "ids")]
-            for *key, child, node, c, s1, s2, ids, h in zip(*columns, shingle_sets(texts(batch.column("text"))), strict=True):
+            columns = [batch.column(c).to_pylist() for c in (*_BLOCK, "child", "node", "c", "marks", "ids")]
+            for *key, child, node, c, marks, ids, h in zip(*columns, shingle_sets(texts(batch.column("text"))), strict=True):
                 if key != block:
-                    block, own, sets, marks, places = key, [], [], None, []
+                    block, strays, sets, own, places = key, [], [], None, []
                 place = np.frombuffer(ids, np.uint32)
                 if not child:
-                    own.append((node, c, s1, s2, len(h)))
+                    strays.append((node, c, len(h), marks))
                     sets.append(h)
                     places.append(place)
                     continue
-                if marks is None:
-                    marks, places = np.array(own, np.int64).reshape(-1, 5), np.array(places)
+                if own is None:
+                    own, places = _held_values(*list(zip(*strays))[1:]), np.array(places)
                     here = _region_id(*(np.array([key[i]], np.int64).view(np.uint64) for i in (0, 2)))[0]
                     at = int((place == here).argmax())
-                n, m = marks[:, 4], len(h)
-                unequal = np.bitwise_count(marks[:, 2:4].view(np.uint64) ^ np.array([s1, s2], np.int64).view(np.uint64)).sum(axis=1)
-                able = np.flatnonzero((marks[:, 1] != c) & (unequal <= MOST_UNEQUAL) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+                m = len(h)
+                able = _counterparts(own, c, m, marks, percent)
                 for i in able[(places[able] == place).argmax(axis=1) == at]:
                     both = _common(sets[i], h)
                     if 100 * both >= percent * (len(sets[i]) + m - both):
-                        left.append(min(own[i][0], node))
-                        right.append(max(own[i][0], node))
+                        left.append(min(strays[i][0], node))
+                        right.append(max(strays[i][0], node))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
