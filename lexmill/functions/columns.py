@@ -130,6 +130,11 @@ def owner_id(key: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.lit("owner:"), key.cast("string")), 256), 1, 24)
 
 
+def fingerprint(content: Column, length: int = 12) -> Column:
+    """The first hex digits of the content's hash, to tell versions apart."""
+    return F.substring(F.sha2(content, 256), 1, length)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of vectors; a zero vector has similarity 0 to all."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import columns as C
 from lexmill.functions import chunking, codemix, frontend, numerals, phonemes, romanised, scoring, spoken, unicode_text
-from lexmill.operators import reports, signal, voices
+from lexmill.operators import reports, signal, synthesis, voices
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -528,3 +528,35 @@ def challenge_tokens(spark, sf_dir):
     body = F.to_json(F.struct(F.col("o_orderkey").alias("subject"), F.col("o_orderdate").alias("issued_at")))
     df = table(spark, sf_dir, "orders").select("o_orderkey", scoring.challenge_tokens(body, b"example key").alias("token"))
     return df.select("o_orderkey", "token", scoring.challenge_bodies(F.col("token"), b"example key").alias("b")).select("o_orderkey", "token", "b.value", "b.error_code")
+
+
+@query("""SELECT l_returnflag, count(*) FILTER (l_discount = 0) AS endless,
+round(avg(CASE WHEN l_discount > 0 THEN l_tax / l_discount END), 6) AS mean FROM lineitem GROUP BY l_returnflag""")
+def real_time_factor(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", synthesis.real_time_factor(F.col("l_tax"), F.col("l_discount")).alias("x"))
+    endless = F.col("x") == float("inf")
+    return df.groupBy("l_returnflag").agg(F.count_if(endless).alias("endless"), F.round(F.avg(F.when(~endless, F.col("x"))), 6).alias("mean"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 12) AS version FROM documents")
+def fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.fingerprint(F.col("text")).alias("version"))
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE) * 8)) AS x FROM embeddings)
+SELECT vec_id, CAST(len(x) AS INTEGER) AS n, CASE WHEN list_max(x) >= 1 THEN 1.0 ELSE list_max(x) END = 1.0 AS full_scale,
+CAST(CASE WHEN list_max(x) > 1 THEN len(list_filter(x, lambda v: v = list_max(x))) ELSE 0 END AS INTEGER) AS peaks FROM x""")
+def unit_samples(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", synthesis.unit_samples(F.transform("embedding", lambda v: v.cast("double") * 8)).alias("x"))
+    ones = F.size(F.filter("x", lambda v: F.abs(v) == 1.0))
+    return df.select("vec_id", F.size("x").alias("n"), (ones > 0).alias("full_scale"), ones.alias("peaks"))
+
+
+@query("""SELECT conv_id, CAST(sum(length(text) + 10 * turn) AS INTEGER) AS n, CAST(sum(10 * turn) AS INTEGER) AS silent, CAST(count(*) AS INTEGER) AS pieces
+FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def synthesized_utterances(spark, sf_dir):
+    """Turns as pieces of one sample a character and 10 ms of pause more with each turn."""
+    samples = F.array_repeat(F.lit(0.5), F.length("text")).alias("samples")
+    pieces = table(spark, sf_dir, "conversations").select("conv_id", "turn", samples, F.lit(1000).alias("sample_rate"), (10 * F.col("turn")).alias("pause_ms"))
+    df = synthesis.utterances(pieces, "conv_id", "turn")
+    return df.select("conv_id", F.size("samples").alias("n"), F.size(F.filter("samples", lambda x: x == 0)).alias("silent"), "pieces")
