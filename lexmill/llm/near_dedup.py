@@ -220,18 +220,21 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
 
     In each round, up to `most` strays (classes outside their region's largest component) of each region are held
     against all of its classes in other components, until no stray is left untried; `most` grows by 4 each round.
-    Two classes of the largest component need no comparison. Members are dealt out in parts and strays in chunks of
-    HELD, twice. First by marks and sizes alone: a task keeps those of one chunk, streams the members of one part past
-    them and passes on the rows (never pairs) that have a counterpart they don't rule out. Only these rows meet their
-    texts. Then by full sets, of which only links leave a task. Of the regions that two classes share only the first
-    compares their sets. held(nodes) gives doc_id, text of nodes (doc_id).
+    A region whose strays have all had their turn is settled, whatever unites later: the next round has only the others.
+    Two classes of the largest component need no comparison. Regions around one component hold much the same classes,
+    so they are taken together where that makes fewer rows (gathered()). Members are dealt out in parts and strays in
+    chunks of HELD, twice. First by marks and sizes alone: a task keeps those of one chunk, streams the members of one
+    part past them and passes on the rows (never pairs) that have a counterpart they don't rule out. Only these rows
+    meet their texts. Then by full sets, of which only links leave a task. Of the regions that two classes share, where
+    each is by itself, only the first compares their sets. held(nodes) gives doc_id, text of nodes (doc_id).
     """
-    tried = None
+    # A class meets its component once, then goes to its regions.
+    own = with_component(dealt.select("rep", "m", "marks", "heads"), met)
+    again = own.select("rep", "m", "marks", "c", F.explode("heads").alias("head"), F.lit(DEPTH + 1).alias("depth"), F.lit(0).cast("long").alias("key"))
+    tried, left = None, staging.stage(rows.select("rep", *_REGION).join(own.drop("heads"), "rep").unionByName(again), "crowded")
     while True:
-        # A class meets its component once, then goes to its regions.
-        own = with_component(dealt.select("rep", "m", "marks", "heads"), met)
-        again = own.select("rep", "m", "marks", "c", F.explode("heads").alias("head"), F.lit(DEPTH + 1).alias("depth"), F.lit(0).cast("long").alias("key"))
-        at = unsettled(rows.select("rep", *_REGION).join(own.drop("heads"), "rep").unionByName(again), ("rep", "m", "marks"))
+        at = unsettled(left, ("rep", "m", "marks"))
+        staging.drop(left)
         whole = at.filter(F.col("strays") > most).isEmpty()
         stray = at.filter("c <> main")
         if tried is not None:
@@ -240,7 +243,7 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
         now = staging.stage(stray.withColumn("turn", turn).filter(F.col("turn") <= most), "strays")
         if now.isEmpty():
             return met
-        parts = F.ceil(F.col("n") / part).cast("int")
+        parts = F.ceil(F.col("n") / part).cast("int").alias("parts")
         chunk = lambda c: F.floor((F.col(c) - 1) / HELD).cast("int")
         last = None
         if tried is None:  # every region has strays
@@ -248,8 +251,10 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
         else:
             last = staging.stage(now.groupBy(*_REGION).agg(F.max("turn").alias("last"), F.max("n").alias("n")), "last")
             members = skew.joined(at.drop("n"), last, _REGION, _total(last))
-        members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk("last")))).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        strays = now.withColumn("chunk", chunk("turn")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        own = [*_REGION, "main", "rep", "c", "m", "marks", parts]
+        members, strays = gathered(members.select(*own, (chunk("last") + 1).alias("chunks")), now.select(*own, chunk("turn").alias("chunk")), part)
+        members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+        strays = strays.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         value = [F.col("rep").alias("node"), "c", "m", "marks"]
         both = members.select(*_BLOCK, F.lit(True).alias("child"), *value).unionByName(strays.select(*_BLOCK, F.lit(False).alias("child"), *value))
         both = both.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "child").mapInArrow(_sieved(percent), both.schema)
@@ -265,10 +270,27 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
             return met
         done = staging.stage(now.select("rep", *_REGION), "tried")
         tried = done if tried is None else tried.unionByName(done)
+        left = staging.stage(with_component(at.filter(F.col("strays") > most).select("rep", "m", "marks", *_REGION), met), "crowded")
         staging.drop(at, both, nodes, now, last)
         most *= 4
 
 
+def gathered(members: DataFrame, strays: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of regions (members with the number of chunks they meet, strays with their chunk, both with the number of
+    parts), where the regions of one main component are one block, of depth 0, if that makes fewer rows. A class is in
+    such a block once, not once a region; its strays are dealt into chunks by their hash. Else they stay as they are."""
+    size = members.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("rows"), F.approx_count_distinct("rep").alias("some"))
+    size = size.join(strays.groupBy("main").agg(F.sum("parts").alias("more"), F.approx_count_distinct("rep").alias("few")), "main")
+    size = size.withColumn("cuts", F.ceil(F.col("few") / HELD).cast("int")).withColumn("shares", F.ceil(F.col("some") / part).cast("int"))
+    size = staging.stage(size.select("main", "n", "cuts", "shares", (F.expr("some * cuts + few * shares") < F.col("rows") + F.col("more")).alias("one")), "mains")
+    region = [F.when(F.col("one"), F.col("main")).otherwise(F.col("head")).alias("head"), *[F.when(F.col("one"), 0).otherwise(F.col(c)).alias(c) for c in ("depth", "key")]]
+    parts = F.when(F.col("one"), F.col("shares")).otherwise(F.col("parts")).alias("parts")
+    chunks = F.when(F.col("one"), F.col("cuts")).otherwise(F.col("chunks")).alias("chunks")
+    chunk = F.when(F.col("one"), F.pmod(F.xxhash64("rep", F.lit(1)), "cuts").cast("int")).otherwise(F.col("chunk")).alias("chunk")
+    total, value = _total(size), ["rep", "c", "m", "marks", parts]
+    return tuple(skew.joined(x, size, ["main"], total).select(*region, *value, c).distinct() for x, c in ((members, chunks), (strays, chunk)))
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays of distinct values."""
     if len(x) < len(y):
@@ -308,6 +330,8 @@ def _sieved(percent: int):
                 if not row[at["child"]]:
                     strays.append(row)
                     continue
+                if not strays:  # none has the hash of this chunk
+                    continue
                 if own is None:
                     own, hit = _held_values(*zip(*map(values, strays))), np.zeros(len(strays), bool)
                 found = _counterparts(own, *values(row), percent)
@@ -344,7 +368,9 @@ def _streamed(percent: int):
                     at = int((place == here).argmax())
                 m = len(h)
                 able = _counterparts(own, c, m, marks, percent)
-                for i in able[(places[able] == place).argmax(axis=1) == at]:
+                if key[1]:  # a region by itself
+                    able = able[(places[able] == place).argmax(axis=1) == at]
+                for i in able:
                     both = _common(sets[i], h)
                     if 100 * both >= percent * (len(sets[i]) + m - both):
                         left.append(min(strays[i][0], node))

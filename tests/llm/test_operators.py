@@ -354,6 +354,39 @@ def test_near_dedup_settles_shallow_regions(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: min(i, 100) for i, _ in made}
 
 
+def test_near_dedup_gathers_regions(spark, monkeypatch):
+    """Classes that share many crowded regions meet their texts a few times, not once a region; no link is lost."""
+    rng = random.Random(6)
+    base, made = [rng.choice(_words) for _ in range(120)], []
+    for i in range(200):
+        text = list(base)
+        for j in rng.sample(range(0, 120, 4), rng.choice((1, 9))):
+            text[j] = f"n{rng.randrange(1000)}"
+        made.append((i, " ".join(text)))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for _, t in made)]
+    root = list(range(len(made)))
+    for a, b in itertools.combinations(root[:], 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            r, s = sorted((root[a], root[b]))
+            root = [r if v == s else v for v in root]
+    sieved, stage = [], staging.stage
+
+    def staged(df, name, codec="zstd"):
+        out = stage(df, name, codec)
+        if name == "sieved":
+            sieved.append(out.agg(F.count("node"), F.countDistinct("node")).first())
+        return out
+
+    monkeypatch.setattr(staging, "stage", staged)
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    for held, times in ((near_dedup.HELD, 4), (16, 8)):  # with 16, strays make several chunks
+        monkeypatch.setattr(near_dedup, "HELD", held)
+        sieved.clear()
+        got = near_dedup.link(docs, crowd=20).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+        assert sieved and all(rows <= times * nodes for rows, nodes in sieved)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
