@@ -199,10 +199,12 @@ class Codec(dict):
 
 
 _codecs: dict[str, Codec] = {}
+workers.cache("bpe", _codecs.clear)
 
 
 def codec(spec: str) -> Codec:
     """The codec of a vocabulary; one to a worker process, which later tasks use again."""
+    workers.begin("bpe")
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()

@@ -45,6 +45,8 @@ MOST_UNEQUAL = 40
 MOST_OTHER = 53
 #: Strays whose sets a task holds at once.
 HELD = 256
+#: Rows of a batch whose texts a task copies at once.
+ROWS = 256
 _K = TREES * DEPTH
 _FAMILY = 128
 
@@ -64,11 +66,20 @@ def signature(h: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ROWS at a time: what a task makes of their texts is held for no more of them at once. What tasks of
+    other operators have left in the worker goes first."""
+    workers.begin("near_dedup")
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     top = U64(43)
     turn = np.arange(TREES, dtype=U64) * U64(0xD6E8FEB86659FD93)
     packed = lambda m, at: (((m[:, at] >> top) << U64(42)) | ((m[:, at + 1] >> top) << U64(21)) | (m[:, at + 2] >> top)).view(np.int64)
-    for batch in batches:
+    for batch in _few(batches):
         ids, n, d1, d2, s1, s2, head, front, tail = batch.column("doc_id"), [], [], [], [], [], [], [], []
         for h in shingle_sets(texts(batch.column("text"))):
             n.append(len(h))
@@ -350,7 +361,7 @@ def _streamed(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, strays, sets, own, places, at = None, [], [], None, None, 0
-        for batch in batches:
+        for batch in _few(batches):
             left, right = [], []
             columns = [batch.column(c).to_pylist() for c in (*_BLOCK, "child", "node", "c", "marks", "ids")]
             for *key, child, node, c, marks, ids, h in zip(*columns, shingle_sets(texts(batch.column("text"))), strict=True):
@@ -383,7 +394,7 @@ def _streamed(percent: int):
 def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
-        for batch in batches:
+        for batch in _few(batches):
             left, right = [], []
             for a, part, child, node, h in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "child", "node")), shingle_sets(texts(batch.column("text"))), strict=True):
                 if not child:

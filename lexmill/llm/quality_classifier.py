@@ -53,6 +53,7 @@ class _Terms(dict):
 
 
 _terms = _Terms()
+workers.cache("quality", _terms.clear)
 
 
 def counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +122,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, rank: int =
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 4096) -> NearestNeighbours:
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("quality")
         for b in batches:
             found = [counts(t) for t in texts(b.column("text"))]
             arrays = [pa.array([at.astype(np.int32).tobytes() for at, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())]
@@ -137,6 +139,7 @@ def scored(docs: DataFrame, model: NearestNeighbours, columns: list[str], name:
     schema = docs.select(*columns).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("quality")
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

@@ -4,11 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache(operator: str, clear: Callable[[], None]) -> None:
+    """Names what an operator keeps in a worker process from one task to the next."""
+    _caches[operator] = clear
+
+
+def begin(operator: str) -> None:
+    """Called by a task: Spark gives it the process of earlier tasks, and what other operators kept there goes."""
+    for name, clear in _caches.items():
+        if name != operator:
+            clear()
 
 
 def ship(spark: SparkSession) -> None:

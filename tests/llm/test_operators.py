@@ -387,6 +387,26 @@ def test_near_dedup_gathers_regions(spark, monkeypatch):
         assert sieved and all(rows <= times * nodes for rows, nodes in sieved)
 
 
+def test_workers_keep_one_operators_caches(monkeypatch):
+    """A worker process goes from stage to stage; what the classifier and the codec keep there doesn't add up."""
+    import pyarrow as pa
+
+    def kept():
+        return bool(quality_classifier._terms), bool(bpe._codecs)
+
+    spec = bpe.load()
+    quality_classifier.counts(b"some words")
+    assert kept()[0]
+    bpe.codec(spec)
+    assert kept() == (False, True)
+    quality_classifier.counts(b"some words")
+    monkeypatch.setattr(near_dedup, "ROWS", 2)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": ["a b c d e", None, "", "a b", "A b c d e"]})
+    out = list(near_dedup._signed(iter([batch])))
+    assert kept() == (False, False)
+    assert [x.num_rows for x in out] == [2, 2, 1] and pa.Table.from_batches(out)["n_shingles"].to_pylist() == [2, 0, 0, 1, 2]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
