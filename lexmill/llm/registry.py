@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexmill.llm import bpe, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity, voronoi, warc
+from lexmill.llm import bpe, merkle, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup, toxicity, voronoi, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_merkle": merkle.op12_merkle,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_voronoi_knn": voronoi.ORACLE,
     "op10_near_dedup": near_dedup.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
