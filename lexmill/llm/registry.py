@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexmill.llm import bpe, merkle, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup, toxicity, voronoi, warc
+from lexmill.llm import alignment, bpe, merkle, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup, toxicity, voronoi, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_sharding": sharding.op11_sharding,
     "op12_merkle": merkle.op12_merkle,
+    "op13_alignment": alignment.op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
