@@ -47,33 +47,47 @@ def paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def load(a: str | None = None, b: str | None = None) -> tuple[str, bytes]:
-    """Content of both vocabulary files (by default those of paths()), read by the driver."""
-    a, b = a or paths()[0], b or paths()[1]
-    with open(a, encoding="utf-8") as f, open(b, "rb") as g:
-        return f.read(), g.read()
+@dataclass(frozen=True)
+class Vocabularies:
+    """What tasks need of both vocabulary files: A's tokens as bytes, one after another with the length of each (an id without
+    a token has none), its pattern, and B's model."""
+
+    tokens: bytes
+    sizes: bytes
+    pattern: str
+    model: bytes
+
+
+def load(a: str | None = None, b: str | None = None) -> Vocabularies:
+    """Both vocabulary files (by default those of paths()), read by the driver. A: byte-level BPE, special tokens left out;
+    B: a sentencepiece model."""
+    import public_tokenizers
+
+    with open(a or paths()[0], encoding="utf-8") as f, open(b or paths()[1], "rb") as g:
+        spec, model = json.load(f), g.read()
+    special = {t["content"] for t in spec["added_tokens"]}
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    byte = {chr(b) if b in shown else chr(next(others)): b for b in range(256)}
+    known = {i: bytes(map(byte.__getitem__, t)) for t, i in spec["model"]["vocab"].items() if t not in special}
+    tokens = [known.get(i, b"") for i in range(max(known) + 1)]
+    return Vocabularies(b"".join(tokens), np.array([len(t) for t in tokens], np.uint16).tobytes(), public_tokenizers.PATTERN, model)
 
 
 class Tokenizers:
-    """A: byte-level BPE by the merges of a tokenizer file; B: a sentencepiece model."""
+    """A: byte-level BPE by ranks, which are its ids; B: a sentencepiece model."""
 
-    def __init__(self, spec: str, model: bytes):
-        import public_tokenizers
+    def __init__(self, known: Vocabularies):
         import sentencepiece
         import tiktoken
 
-        spec = json.loads(spec)
-        special = {t["content"] for t in spec["added_tokens"]}
-        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        others = iter(range(256, 512))
-        byte = {chr(b) if b in shown else chr(next(others)): b for b in range(256)}
-        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        sizes = np.frombuffer(known.sizes, np.uint16)
+        stop = sizes.cumsum(dtype=np.int64).tolist()
+        ranks = {known.tokens[e - n : e]: i for i, (e, n) in enumerate(zip(stop, sizes.tolist(), strict=True)) if n}
+        self.a = tiktoken.Encoding("a", pat_str=known.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=known.model)
         self.pieces = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.lengths[0][list(ranks.values())] = [len(x) for x in ranks]
-        self.lengths[1][: len(self.pieces)] = [len(x) for x in self.pieces]
+        self.lengths = sizes, np.array([len(x) for x in self.pieces], np.uint16)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -90,17 +104,16 @@ class Tokenizers:
         return np.array(a, np.uint16), np.array(b, np.uint16)
 
 
-_known: dict[str, Tokenizers] = {}
+_known: dict[Vocabularies, Tokenizers] = {}
 workers.cache("alignment", _known.clear)
 
 
-def _tokenizers(spec: str, model: bytes) -> Tokenizers:
+def _tokenizers(known: Vocabularies) -> Tokenizers:
     workers.begin("alignment")
-    key = hashlib.sha256(spec.encode() + model).hexdigest()
-    if key not in _known:
+    if known not in _known:
         _known.clear()
-        _known[key] = Tokenizers(spec, model)
-    return _known[key]
+        _known[known] = Tokenizers(known)
+    return _known[known]
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -115,14 +128,14 @@ _EVENT = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), ("at", pa.int64
 _EVENTS = "bucket int, row long, at long, side int, doc_id long, n int, ids binary"
 
 
-def events(docs: DataFrame, spec: str, model: bytes, buckets: int) -> DataFrame:
+def events(docs: DataFrame, known: Vocabularies, buckets: int) -> DataFrame:
     """Of each row of docs (doc_id, text) its opening (side 0, at -1) and the chunks of both sides. row: a number for each
     row of docs, from its place in its partition, the same whenever that is read again."""
     workers.ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((spec, model))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, row = _tokenizers(*shared.value), TaskContext.get().partitionId() << 40
+        coder, row = _tokenizers(shared.value), TaskContext.get().partitionId() << 40
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part, out = batch.slice(first, ROWS), []
@@ -134,7 +147,7 @@ def events(docs: DataFrame, spec: str, model: bytes, buckets: int) -> DataFrame:
                         for i in range(0, len(ids), CHUNK):
                             some = ids[i : i + CHUNK]
                             out.append((bucket, row, at, side, None, len(some), _packed(some)))
-                            at += int(coder.lengths[side - 1][some].sum())
+                            at += int(coder.lengths[side - 1][some].sum(dtype=np.int64))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _EVENT, strict=True)], schema=_EVENT)
 
@@ -149,10 +162,10 @@ def buckets_of(docs: DataFrame) -> int:
 
 def swept(docs: DataFrame, a: str | None = None, b: str | None = None, buckets: int | None = None) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
     """Events of docs, in the order of the sweep, and the byte lengths of both sides' ids."""
-    spec, model = load(a, b)
+    known = load(a, b)
     n = buckets or buckets_of(docs)
-    out = events(docs, spec, model, n).repartitionById(n, "bucket").sortWithinPartitions("bucket", "row", "at", "side")
-    return out, Tokenizers(spec, model).lengths
+    out = events(docs, known, n).repartitionById(n, "bucket").sortWithinPartitions("bucket", "row", "at", "side")
+    return out, Tokenizers(known).lengths
 
 
 @dataclass
@@ -166,7 +179,7 @@ class Side:
 
     def add(self, ids: np.ndarray) -> None:
         last = self.ends[-1] if len(self.ends) else self.start
-        self.ids, self.ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, last + self.lengths[ids].cumsum()))
+        self.ids, self.ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, last + self.lengths[ids].cumsum(dtype=np.int64)))
 
     def take(self, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, starts and ends of the tokens that end at `end` or before."""
@@ -219,6 +232,7 @@ def _documents(lengths: tuple[np.ndarray, np.ndarray], begin, run, end):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         state = machine = None
+        workers.begin("sweep")
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("bucket", "row", "side", "doc_id", "n", "ids")]
             for bucket, row, side, doc_id, n, ids in zip(*columns, strict=True):
@@ -234,7 +248,7 @@ def _documents(lengths: tuple[np.ndarray, np.ndarray], begin, run, end):
     return rows
 
 
-@functools.cache
+@functools.lru_cache(1)
 def _names() -> np.ndarray:
     return np.array([f"{i}{after}".encode() for after in ",|;" for i in range(1 << 16)], object)
 
@@ -253,6 +267,9 @@ def spelled(run: Run) -> bytes:
     return b"".join(out.tolist())
 
 
+workers.cache("sweep", _names.cache_clear)
+
+
 @dataclass
 class Summary:
     bucket: int
@@ -354,6 +371,7 @@ def groups(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataF
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of a bucket hold each pair; rows of a bucket lie together."""
     at, held, size = None, [], 0
+    workers.begin("counts")
 
     def given() -> pa.RecordBatch:
         pairs, n = _summed(np.concatenate([p for p, _ in held]), np.concatenate([n for _, n in held]))
@@ -384,6 +402,7 @@ _ALIGNED = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a bucket: its pairs with their counts, ascending, then its documents."""
     at, parts, table = None, [], None
+    workers.begin("counts")
     for batch in batches:
         out = []
         bucket, is_doc = np.asarray(batch.column("bucket")), np.asarray(batch.column("is_doc").cast(pa.int8())).astype(bool)

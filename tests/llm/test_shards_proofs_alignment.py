@@ -203,7 +203,7 @@ def test_alignment(docs, none, rows, buckets):
 
 def test_chunks_and_held_pairs_change_nothing(docs, rows, monkeypatch):
     """Events of a few tokens, and pairs made distinct over and over."""
-    coder = alignment.Tokenizers(*alignment.load())
+    coder = alignment.Tokenizers(alignment.load())
     text = rows[4][1] + rows[5][1]
     a, b = coder.encode(text)
 
@@ -211,7 +211,7 @@ def test_chunks_and_held_pairs_change_nothing(docs, rows, monkeypatch):
         monkeypatch.setattr(alignment, "HELD", held)
         s, m, at = alignment.Summary(0, 0, 0), alignment.Machine(coder.lengths), []
         for side, ids in ((alignment.A, a), (alignment.B, b)):
-            ends = np.concatenate(([0], coder.lengths[side - 1][ids].cumsum()))
+            ends = np.concatenate(([0], coder.lengths[side - 1][ids].cumsum(dtype=np.int64)))
             at += [(ends[i], side, ids[i : i + chunk]) for i in range(0, len(ids), chunk)]
         most = 0
         for _, side, ids in sorted(at, key=lambda x: x[:2]):
@@ -228,7 +228,7 @@ def test_groups(docs, rows):
     got = {}
     for r in alignment.groups(docs.filter("doc_id IN (5, 7)").dropDuplicates(["doc_id"])).collect():
         got.setdefault(r.doc_id, []).append(r)
-    coder = alignment.Tokenizers(*alignment.load())
+    coder = alignment.Tokenizers(alignment.load())
     for doc_id, of in got.items():
         a, b = coder.encode(rows[doc_id - 1][1])
         of.sort(key=lambda r: r.start)
