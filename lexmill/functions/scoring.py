@@ -14,29 +14,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_FAR = 1 << 29
+
+
+def _banded(r: np.ndarray, h: np.ndarray, k: int) -> tuple[int, int]:
+    """Distance of two code lists and the substitutions of the alignment that edits() describes, if the distance is at most
+    k; beyond, a greater number. A row of the table is its cells at most k off the diagonal. Substitutions go along with
+    the distance, from the cell that the way back would go to, so no earlier row is kept."""
+    n, m, width = len(r), len(h), 2 * k + 1
+    around = np.concatenate((np.full(k + 1, -1), h, np.full(max(0, n - m) + k + 1, -1)))
+    place = np.arange(width, dtype=np.int32)
+    cost = np.where((place >= k) & (place - k <= m), place - k, _FAR).astype(np.int32)
+    swaps = np.zeros(width, np.int32)
+    end = np.array([_FAR], np.int32)
+    for i in range(1, n + 1):
+        other = (around[i : i + width] != r[i - 1]).astype(np.int32)
+        across, down = cost + other, np.concatenate((cost[1:], end)) + 1
+        cost = np.minimum.accumulate(np.minimum(across, down) - place) + place
+        cost[: max(0, k - i)] = _FAR
+        cost[max(0, m - i + k + 1) :] = _FAR
+        is_across = cost == across
+        swaps = np.where(is_across, swaps + other, np.append(swaps[1:], np.int32(0)))
+        along = np.maximum.accumulate(np.where(is_across | (cost == down), place, 0))
+        swaps = swaps[along]
+    at = m - n + k
+    return int(cost[at]), int(swaps[at])
+
+
 def edits(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions of a shortest alignment; of equal ones the one that, from the end,
-    prefers substitution, then deletion. A row of the table is one array; insertions run along it as a prefix minimum."""
-    code = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
-    r, h = (np.array([code[w] for w in x], np.int64) for x in (reference, hypothesis))
-    m = len(h)
-    place = np.arange(m + 1)
-    table = np.empty((len(r) + 1, m + 1), np.int32)
-    table[0] = place
-    for i, w in enumerate(r, 1):
-        row = table[i - 1] + 1
-        row[1:] = np.minimum(row[1:], table[i - 1, :-1] + (h != w))
-        table[i] = np.minimum.accumulate(row - place) + place
-    i, j, s, d, n = len(r), m, 0, 0, 0
-    while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-            s += int(r[i - 1] != h[j - 1])
-            i, j = i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            i, d = i - 1, d + 1
-        else:
-            j, n = j - 1, n + 1
-    return s, d, n
+    prefers substitution, then deletion. Memory grows with the distance, time with it times the length: a band around the
+    diagonal is widened fourfold until the distance fits into it. A common end is matched by any such alignment."""
+    code: dict[str, int] = {}
+    r, h = (np.array([code.setdefault(w, len(code)) for w in x], np.int64) for x in (reference, hypothesis))
+    least = min(len(r), len(h))
+    same = np.flatnonzero(r[::-1][:least] != h[::-1][:least])
+    end = int(same[0]) if len(same) else least
+    r, h = r[: len(r) - end], h[: len(h) - end]
+    n, m, k = len(r), len(h), max(16, abs(len(r) - len(h)))
+    while True:
+        k = min(k, max(n, m, 1))
+        distance, swaps = _banded(r, h, k)
+        if distance <= k:
+            deleted = (distance - swaps + n - m) // 2
+            return swaps, deleted, distance - swaps - deleted
+        k *= 4
 
 
 def edit_counts(reference: Column, hypothesis: Column) -> Column:
