@@ -20,9 +20,12 @@ from lexmill.functions.outcomes import TextError
 
 CLIP = "struct<samples:array<float>,sample_rate:int>"
 PCM_TOP = 32767
+# Fixed values of the mark: bits, least samples a bit, band as shares of the Nyquist frequency, amplitude, least certainty,
+# the text that (with the bit's number after it) seeds a bit's phases.
 BITS, LEAST_BLOCK = 32, 256
 BAND = (0.58, 0.92)
 STRENGTH, CERTAIN = 0.008, 0.06
+SEEDED_BY = "chip:"
 
 
 class AudioError(TextError):
@@ -135,53 +138,44 @@ def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return (np.fft.irfft(spectrum, n) * (n / len(x))).astype(np.float32)
 
 
-def _band(n: int) -> tuple[int, int]:
-    return int(BAND[0] * (n // 2)), int(BAND[1] * (n // 2))
-
-
-@lru_cache(maxsize=256)
-def _chip(key: bytes, bit: int, n: int) -> np.ndarray:
-    """Keyed noise of level 1 inside the band."""
-    seed = int.from_bytes(hmac.digest(key, f"chip:{bit}".encode(), hashlib.sha256)[:8], "big")
-    lo, hi = _band(n)
-    spectrum = np.zeros(n // 2 + 1, complex)
-    spectrum[lo:hi] = np.exp(1j * np.random.default_rng(seed).uniform(0, 2 * np.pi, hi - lo))
-    chip = np.fft.irfft(spectrum, n)
-    return (chip / np.sqrt(np.mean(chip**2))).astype(np.float32)
-
-
-def _blocks(x: np.ndarray) -> np.ndarray:
-    size = len(x) // BITS
-    return x[: size * BITS].reshape(BITS, size)
+@lru_cache(maxsize=16)
+def _phasors(key: bytes, size: int) -> tuple[slice, np.ndarray]:
+    """Where the band lies in a block's spectrum, and the keyed phase of each of its frequencies, a row a bit."""
+    band = slice(*(int(share * (size // 2)) for share in BAND))
+    seeds = [hmac.digest(key, f"{SEEDED_BY}{bit}".encode(), hashlib.sha256)[:8] for bit in range(BITS)]
+    turns = [np.random.default_rng(int.from_bytes(s, "big")).uniform(0, 2 * np.pi, band.stop - band.start) for s in seeds]
+    return band, np.exp(1j * np.array(turns))
 
 
 def marked(x: np.ndarray, payload: int, key: bytes, strength: float = STRENGTH) -> np.ndarray:
-    """Clip that carries 32 bits, the first highest, one in each of 32 blocks, as the sign of that block's noise."""
+    """Clip with a 32-bit payload, highest bit first: the clip is a matrix of 32 rows, and each row gets noise of the mean
+    level `strength`, built from its bit's phases and turned over for a 0, by one inverse transform of the whole matrix."""
+    size = len(x) // BITS
     if not key or not 0 <= payload < 1 << BITS:
         raise AudioError("a mark needs a key and a payload of 32 bits")
-    if len(x) // BITS < LEAST_BLOCK:
+    if size < LEAST_BLOCK:
         raise AudioError(f"too short for a mark: {len(x)} of {LEAST_BLOCK * BITS} samples")
-    out = np.array(x, np.float32)
-    for i, block in enumerate(_blocks(out)):
-        block += (strength if payload >> (BITS - 1 - i) & 1 else -strength) * _chip(key, i, len(block))
-    return np.clip(out, -1, 1)
+    band, phasors = _phasors(key, size)
+    signs = np.unpackbits(np.frombuffer(payload.to_bytes(4, "big"), np.uint8)) * 2.0 - 1
+    spectrum = np.zeros((BITS, size // 2 + 1), complex)
+    # Of k unit phasors the inverse transform has the mean square 2k / size^2.
+    spectrum[:, band] = signs[:, None] * phasors * (strength * size / np.sqrt(2 * phasors.shape[1]))
+    noise = np.pad(np.fft.irfft(spectrum, size, axis=1).ravel(), (0, len(x) - size * BITS))
+    return np.clip(x + noise, -1, 1).astype(np.float32)
 
 
 def mark_of(x: np.ndarray, key: bytes, least: float = CERTAIN) -> tuple[int | None, float]:
-    """Payload, if one is found, and the mean of the blocks' correlations."""
-    if len(x) // BITS < LEAST_BLOCK:
+    """Payload, if one is found, and the mean size of the correlations of the rows' spectra with the key's phases. A clip's
+    level cancels out of them; nothing outside the band is looked at."""
+    size = len(x) // BITS
+    if size < LEAST_BLOCK:
         return None, 0.0
-    found = []
-    for i, block in enumerate(_blocks(x.astype(np.float64))):
-        lo, hi = _band(len(block))
-        spectrum = np.fft.rfft(block)
-        spectrum[:lo] = spectrum[hi:] = 0
-        inside, chip = np.fft.irfft(spectrum, len(block)), _chip(key, i, len(block)).astype(np.float64)
-        norm = np.linalg.norm(inside) * np.linalg.norm(chip)
-        found.append(inside @ chip / norm if norm else 0.0)
-    certain = float(np.mean(np.abs(found)))
-    payload = int("".join("1" if r > 0 else "0" for r in found), 2)
-    return (payload if certain >= least else None), certain
+    band, phasors = _phasors(key, size)
+    spectra = np.fft.rfft(np.reshape(x[: size * BITS], (BITS, size)).astype(np.float64), axis=1)[:, band]
+    energy = np.sqrt((np.abs(spectra) ** 2).sum(axis=1) * phasors.shape[1])
+    alike = np.einsum("ij,ij->i", spectra, phasors.conj()).real / np.where(energy > 0, energy, np.inf)
+    certain = float(np.abs(alike).mean())
+    return (int.from_bytes(np.packbits(alike > 0).tobytes(), "big") if certain >= least else None), certain
 
 
 def stub_seconds(phones: Column, speed: float = 1.0) -> Column:

@@ -1,44 +1,46 @@
-"""Frame energies, quality and speech segments of clips, as windows over frame rows."""
+"""Frame energies, quality and speech segments of clips, as tables of frames. No task holds a clip, however long."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.columns import reasons
+from lexmill.operators import scans, selection
+from lexmill.sources import shared
+
 
 def frame_energy(samples: DataFrame, clip: str, pos: str, value: str, frame: int) -> DataFrame:
     """clip, frame, energy in dB for each whole frame; a clip shorter than one frame has one value for all of it."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(clip))
-    at = F.when(n < frame, 0).otherwise(F.floor(F.col(pos) / frame))
-    df = samples.withColumn("__n", n).withColumn("frame", at.cast("int")).filter((F.col("__n") < frame) | ((F.col("frame") + 1) * frame <= F.col("__n")))
-    return df.groupBy(clip, "frame").agg((20 * F.log10(F.sqrt(F.avg(F.col(value) * F.col(value))) + 1e-12)).alias("energy"))
+    df = scans.sized(samples.select(clip, F.col(pos).alias("pos"), F.col(value).alias("value")), clip, F.count(F.lit(1)).alias("n"))[0]
+    at = F.when(F.col("n") < frame, 0).otherwise(F.floor(F.col("pos") / frame))
+    df = df.withColumn("frame", at.cast("int")).filter((F.col("n") < frame) | ((F.col("frame") + 1) * frame <= F.col("n")))
+    return df.groupBy(clip, "frame").agg((20 * F.log10(F.sqrt(F.avg(F.col("value") * F.col("value"))) + 1e-12)).alias("energy"))
 
 
 def noise_floor(frames: DataFrame, clip: str, *, window: int = 25, many: int = 50) -> DataFrame:
     """Tenth percentile of the least energy of whole windows; of clips under `many` frames the fifth of all frames."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(clip))
-    df = frames.withColumn("n", n).withColumn("w", F.floor(F.col("frame") / window))
-    low = df.groupBy(clip, "n", "w").agg(F.min("energy").alias("least"), F.count(F.lit(1)).alias("full"))
-    long_ = low.filter((F.col("n") >= many) & (F.col("full") == window)).groupBy(clip).agg(F.percentile("least", F.lit(0.10)).alias("floor"))
-    short = df.filter(F.col("n") < many).groupBy(clip).agg(F.percentile("energy", F.lit(0.05)).alias("floor"))
-    return long_.unionByName(short)
+    df = scans.sized(frames.select(clip, "frame", "energy"), clip, F.count(F.lit(1)).alias("n"))[0]
+    low = df.filter(F.col("n") >= many).groupBy(clip, F.floor(F.col("frame") / window).alias("w")).agg(F.min("energy").alias("least"), F.count(F.lit(1)).alias("full"))
+    long_ = selection.quantiles(low.filter(F.col("full") == window), [clip], "least", {"floor": 0.10})
+    return long_.unionByName(selection.quantiles(df.filter(F.col("n") < many), [clip], "energy", {"floor": 0.05}))
 
 
 def quality_report(frames: DataFrame, clip: str) -> DataFrame:
     """clip, floor, snr and silence_ratio of the frames."""
-    df = frames.join(noise_floor(frames, clip), clip)
-    return df.groupBy(clip, "floor").agg((F.percentile("energy", F.lit(0.90)) - F.col("floor")).alias("snr"), F.avg(F.when(F.col("energy") < F.col("floor") + 6, 1.0).otherwise(0.0)).alias("silence_ratio"))
+    floor = shared.written(noise_floor(frames, clip).join(selection.quantiles(frames, [clip], "energy", {"high": 0.90}), clip), "floors")
+    df = selection.with_facts(frames, floor, [clip]).groupBy(clip, "floor", "high")
+    return df.agg(F.avg(F.when(F.col("energy") < F.col("floor") + 6, 1.0).otherwise(0.0)).alias("silence_ratio")).select(clip, "floor", (F.col("high") - F.col("floor")).alias("snr"), "silence_ratio")
 
 
-def speech_segments(frames: DataFrame, clip: str, *, margin: float = 10.0, idle: int = 9, least: int = 5) -> DataFrame:
+def speech_segments(frames: DataFrame, clip: str, *, margin: float = 10.0, idle: int = 9, least: int = 5, size: int = scans.RANGE) -> DataFrame:
     """Runs of frames over the tenth percentile plus margin, closed after more than `idle` quiet ones. A closed
-    run ends before its last active frame; the one open at the clip's end runs to that end."""
-    over = Window.partitionBy(clip)
-    df = frames.join(frames.groupBy(clip).agg((F.percentile("energy", F.lit(0.10)) + margin).alias("threshold"), F.max("frame").alias("last")), clip)
-    active = df.filter(F.col("energy") > F.col("threshold"))
-    gap = F.col("frame") - F.lag("frame").over(over.orderBy("frame"))
-    island = F.sum(F.when(gap.isNull() | (gap - 1 > idle), 1).otherwise(0)).over(over.orderBy("frame"))
-    runs = active.withColumn("segment", island).groupBy(clip, "segment", "last").agg(F.min("frame").alias("start"), F.max("frame").alias("end"))
+    run ends before its last active frame; the one open at the clip's end runs to that end. Clips are scanned in ranges of
+    `size` frames."""
+    last = frames.groupBy(clip).agg(F.max("frame").alias("last"))
+    facts = shared.written(selection.quantiles(frames, [clip], "energy", {"low": 0.10}).join(last, clip), "thresholds")
+    active = selection.with_facts(frames, facts, [clip]).filter(F.col("energy") > F.col("low") + margin)
+    runs = scans.runs(active, clip, "frame", idle, size).join(facts.select(clip, "last"), clip)
     open_ = F.col("last") - F.col("end") <= idle
     runs = runs.withColumn("end", F.when(open_, F.col("last") + 1).otherwise(F.col("end")))
     return runs.filter(F.col("end") - F.col("start") >= least).select(clip, "segment", "start", "end")
@@ -46,18 +48,12 @@ def speech_segments(frames: DataFrame, clip: str, *, margin: float = 10.0, idle:
 
 def quality_reasons(duration, snr, silence):
     """Reason codes of the gate in fixed order: 0.5 to 30 s, 20 dB and 0.6 are its limits."""
-    from lexmill.functions.columns import reasons
-
     return reasons((duration < 0.5, "too_short"), (duration > 30.0, "too_long"), (snr < 20.0, "noisy"), (silence > 0.6, "mostly_silence"))
 
 
 def quality_texts(duration, snr, clipping, silence, offset, peak, *, least_seconds=0.5, most_seconds=30.0, least_snr=20.0, most_clipping=0.001, most_silence=0.6, most_offset=0.01, least_peak=-40.0):
     """All reasons of the gate as texts with their measure, in fixed order; none: the clip passes. Halves are those of the
     shortest decimal of a measure, so a last digit can differ by one from a rounding of the binary number."""
-    from pyspark.sql import functions as F
-
-    from lexmill.functions.columns import reasons
-
     f = lambda text, x, digits: F.format_string(text, F.bround(x, digits))  # noqa: E731 - halves go to the even digit
     return reasons(
         (duration < least_seconds, f("too short (%.2fs)", duration, 2)), (duration > most_seconds, f("too long (%.2fs)", duration, 2)), (snr < least_snr, f("snr too low (%.1f dB)", snr, 1)),

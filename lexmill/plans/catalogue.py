@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import columns as C
 from lexmill.functions import chunking, codemix, frontend, numerals, phonemes, romanised, scoring, spoken, unicode_text
-from lexmill.operators import reports, signal, synthesis, voices
+from lexmill.operators import reports, scans, signal, synthesis, voices
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -156,8 +156,8 @@ e AS (SELECT user_id, CAST(frame AS INTEGER) AS frame, 20 * log10(sqrt(avg(value
 
 
 def _frames(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return signal.frame_energy(table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(w) - 1).alias("pos")), "user_id", "pos", "value", 4)
+    placed = scans.positions(table(spark, sf_dir, "events").select("user_id", "value", "ts", "event_id"), "user_id", ["ts", "event_id"])
+    return signal.frame_energy(placed, "user_id", "pos", "value", 4)
 
 
 @query(f"WITH {_FRAMES} SELECT user_id, frame, round(energy, 6) AS energy FROM e")
