@@ -33,8 +33,8 @@ def _bin(x: Column, low: Column, high: Column) -> Column:
 def quantiles(rows: DataFrame, by: list[str], value: str, fractions: dict[str, float], most: int = 65_536) -> DataFrame:
     """by and a column for each name of fractions: the value at that fraction of the group's sorted values, between
     neighbours in proportion. Nulls, NaN and infinities have no place; a group of nothing else has no row."""
-    x = F.col(value).cast("double")
-    kept = rows.select(*by, x.alias("x")).filter("x = x AND abs(x) < double('infinity')")
+    named, by = by, [f"group{i}" for i in range(len(by))]
+    kept = rows.select(*[F.col(c).alias(g) for c, g in zip(named, by, strict=True)], F.col(value).cast("double").alias("x")).filter("x = x AND abs(x) < double('infinity')")
     size = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(at(p)), F.ceil(at(p))) for p in fractions.values()])))
@@ -61,4 +61,4 @@ def quantiles(rows: DataFrame, by: list[str], value: str, fractions: dict[str, f
         h = F.lit(float(p)) * n
         each += [value_at(F.floor(h)).alias(f"{name}_low"), value_at(F.ceil(h)).alias(f"{name}_high"), F.max(h - F.floor(h)).alias(f"{name}_part")]
     mixed = [(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * F.col(f"{name}_part")).alias(name) for name in fractions]
-    return found.groupBy(*by).agg(*each).select(*by, *mixed)
+    return found.groupBy(*by).agg(*each).select(*[F.col(g).alias(c) for c, g in zip(named, by, strict=True)], *mixed)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,37 @@ def test_listing_edges(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"id": "a"}\n')
     with pytest.raises(Exception, match="bad.jsonl"):
         listings.read_manifest(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def _parts_by_table(r, h):
+    table = {(i, j): i + j for i in range(len(r) + 1) for j in range(len(h) + 1) if not i or not j}
+    for i in range(1, len(r) + 1):
+        for j in range(1, len(h) + 1):
+            table[i, j] = min(table[i - 1, j - 1] + (r[i - 1] != h[j - 1]), table[i - 1, j] + 1, table[i, j - 1] + 1)
+    i, j, s, d, n = len(r), len(h), 0, 0, 0
+    while i or j:
+        if i and j and table[i, j] == table[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
+            i, j, s = i - 1, j - 1, s + (r[i - 1] != h[j - 1])
+        elif i and table[i, j] == table[i - 1, j] + 1:
+            i, d = i - 1, d + 1
+        else:
+            j, n = j - 1, n + 1
+    return s, d, n
+
+
+def test_parts_are_those_of_the_whole_table():
+    rng = random.Random(8)
+    for _ in range(600):
+        r = [rng.choice("abc") for _ in range(rng.randint(0, 45))]
+        h = [rng.choice("abcd") for _ in range(rng.randint(0, 45))] if rng.random() < 0.6 else [rng.choice([w, w, w, "z"]) for w in r][rng.randint(0, 3) :]
+        assert scoring.edits(r, h) == _parts_by_table(r, h)
+
+
+def test_long_pairs_need_little_memory():
+    rng = random.Random(9)
+    r = [str(rng.randint(0, 5000)) for _ in range(100_000)]
+    h = [*r[:30_000], "new", *r[30_000:60_000], *r[60_004:90_000], "other", *r[90_001:]]
+    tracemalloc.start()
+    assert scoring.edits(r, h) == (1, 4, 1)
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
