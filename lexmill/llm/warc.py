@@ -31,6 +31,7 @@ from lexmill.llm import staging, workers
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 _CHUNK = 1 << 18
+_SALT = 32
 _ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
@@ -118,9 +119,16 @@ def write(pages: DataFrame, folder: str, *, least: int = 0, archive_mb: int = 16
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     known = pages.select("page_id", F.octet_length(html).alias("n"), F.sha1(html).alias("digest")).filter((F.col("n") >= least) & F.col("page_id").isNotNull())
     ids = staging.stage(known.select("page_id", "digest"), "payload-digests")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").drop("last")
+    least_ids = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
+    first = least_ids.filter("refers_to < last").drop("last")
     verdicts = ids.join(first, "digest").filter("page_id > refers_to").groupBy("page_id", "digest").agg(F.first("refers_to").alias("refers_to"))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest")).join(verdicts, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    whole = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"))
+    rows = whole.filter("page_id IS NOT NULL").join(verdicts, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    # Pages without an id have but their digest to be found by; a digest that many of them share is dealt out by salt.
+    salted = whole.filter("page_id IS NULL").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALT)).cast("int"))
+    there = least_ids.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))).alias("salt"))
+    asked = staging.stage(salted.filter(F.octet_length("html") >= least).select("digest").distinct().join(there, "digest"), "verdicts-without-id")
+    rows = rows.unionByName(salted.join(asked, ["digest", "salt"], "left").select("page_id", "url", "html", "refers_to"))
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, []
