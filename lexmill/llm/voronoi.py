@@ -35,18 +35,26 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of integers; by floating point where every partial sum is an exact double."""
+    """Exact a @ b.T of integers; by floating point where every partial sum is an exact double. OverflowError where a
+    product doesn't fit a long."""
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if most < 1 << 63:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    if exact.size and max(map(abs, exact.ravel())) >= 1 << 63:
+        raise OverflowError("a score doesn't fit a long")
+    return exact.astype(np.int64)
 
 
 def integers(rows: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v: floor(scale * x) of each component; only vectors that take part, padded with 0 to one length."""
     x = F.col("embedding")
     good = x.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    df = rows.filter(good).select("vec_id", F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
+    far = F.raise_error(F.lit("a component times the scale doesn't fit a long")).cast("long")
+    whole = lambda e: F.when(F.abs(e) < 2.0**63, F.floor(e).cast("long")).otherwise(far)
+    df = rows.filter(good).select("vec_id", F.transform(x, lambda e: whole(e.cast("double") * scale)).alias("v"))
     width = df.agg(F.max(F.size("v"))).first()[0] or 0
     return df.withColumn("v", F.when(F.size("v") == width, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))))
 
