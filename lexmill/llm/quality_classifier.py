@@ -82,12 +82,15 @@ class NearestNeighbours:
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if not len(self.label):
             return np.full(len(rows), 0.5)
-        x = _unit(np.stack([_weighted(at, v, self.idf) @ self.basis[at] for at, v in rows]).astype(np.float32)) if rows else np.empty((0, self.vectors.shape[1]), np.float32)
-        like = x @ self.vectors.T
+        x = _unit(np.stack([_weighted(at, v, self.idf) @ self.basis[at] for at, v in rows])) if rows else np.empty((0, self.vectors.shape[1]))
+        # Ten digits, so that equal texts tie whatever block they are in; of neighbours that tie the first ones count.
+        like = np.round(x.astype(float) @ self.vectors.astype(float).T, 10)
         k = min(self.k, like.shape[1])
-        near = np.argpartition(-like, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(like, near, 1), 1e-6).astype(float)
-        return np.clip((weight * self.label[near]).sum(1) / weight.sum(1), 0.0, 1.0)
+        last = -np.partition(-like, k - 1, axis=1)[:, k - 1 : k]
+        nearer, ties = like > last, like == last
+        near = nearer | (ties & (ties.cumsum(axis=1) <= k - nearer.sum(axis=1, keepdims=True)))
+        weight = np.where(near, np.maximum(like, 1e-6), 0.0)
+        return np.clip((weight @ self.label) / weight.sum(1), 0.0, 1.0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
