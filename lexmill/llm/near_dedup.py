@@ -3,7 +3,7 @@
 Documents with equal sets are one class from the start. Each class has 20 signature orders of 6 minhashes.
 In each order, classes that share the first 3 values lie in one region; a region of more than `crowd` classes
 is entered deeper, by one value at a time, to at most 6. Classes of crowded regions are put into 60 further orders
-of 6, the same 120 values dealt anew, which only the last turn below looks at. Candidates of a class are its next neighbours in the order (their common prefix
+of 6, the same 120 values dealt anew, which only the last turn below looks at, where more than one component holds them. Candidates of a class are its next neighbours in the order (their common prefix
 is the longest) and the first class of its regions, as long as sizes or 120-bit sketches don't rule a similarity of
 0.8 out. What is missed is chance: a pair at exactly 0.8 shares no region of 20 with probability
 (1 - 0.8^3)^20 = 6e-7; where all regions it shares are crowded, none of 80 at depth 6 with about 1e-6.
@@ -240,8 +240,8 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
     each is by itself, only the first compares their sets. held(nodes) gives doc_id, text of nodes (doc_id).
     """
     # A class meets its component once, then goes to its regions.
-    own = with_component(dealt.select("rep", "m", "marks", "heads"), met)
-    again = own.select("rep", "m", "marks", "c", F.explode("heads").alias("head"), F.lit(DEPTH + 1).alias("depth"), F.lit(0).cast("long").alias("key"))
+    own = staging.stage(with_component(dealt.select("rep", "m", "marks", "heads"), met), "with-components")
+    again = opened(own).select("rep", "m", "marks", "c", F.explode("heads").alias("head"), F.lit(DEPTH + 1).alias("depth"), F.lit(0).cast("long").alias("key"))
     tried, left = None, staging.stage(rows.select("rep", *_REGION).join(own.drop("heads"), "rep").unionByName(again), "crowded")
     while True:
         at = unsettled(left, ("rep", "m", "marks"))
@@ -286,6 +286,39 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
         most *= 4
 
 
+def opened(own: DataFrame) -> DataFrame:
+    """own (classes with their component c and their further regions, heads), where the classes of the largest component
+    keep only those heads that a class of another component may have: a region that this component holds alone settles
+    nothing. Whether one may is a bit of a bitmap of at most 4 MB, with 64 bits or more for each head of the others as long
+    as it is that small. A bit hit by chance lets a head pass, none is lost. The largest component's other regions make no
+    rows; those of other components are kept whole."""
+    main = own.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(1).collect()
+    if not main:
+        return own
+    others = own.filter(F.col("c") != main[0].c)
+    size = 1 << min(25, max(15, (64 * MORE * others.count()).bit_length()))
+    at = F.pmod(F.xxhash64("head"), F.lit(size))
+    bits = others.select(F.explode("heads").alias("head")).select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("bucket"))
+    found = bits.agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits")).collect()  # at most 1,024 bitmaps of 4 KB
+    table = np.zeros(size, bool)
+    for r in found:
+        table[r.bucket << 15 : (r.bucket + 1) << 15] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    shared = own.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
+    kept = own.filter(F.col("c") == main[0].c).withColumn("places", F.transform("heads", lambda h: F.pmod(F.xxhash64(h), F.lit(size)).cast("long")))
+
+    def sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for h, p in zip(batch.column("heads").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                place = np.array(p, np.int64)
+                hit = shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1
+                heads.append(list(itertools.compress(h, hit.tolist())))
+            names = [n for n in batch.schema.names if n != "places"]
+            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.list_(pa.int64())) if n == "heads" else batch.column(n) for n in names], names=names)
+
+    return others.unionByName(kept.mapInArrow(sought, own.schema))
+
+
 def gathered(members: DataFrame, strays: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
     """Rows of regions (members with the number of chunks they meet, strays with their chunk, both with the number of
     parts), where the regions of one main component are one block, of depth 0, if that makes fewer rows. A class is in
