@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -42,30 +43,35 @@ def _byte_chars() -> list[str]:
 
 
 class _Recent:
-    """A mapping of bounded size: what wasn't asked for while `most` others came is forgotten."""
+    """ids of words, packed, in about `most` bytes: what wasn't asked for while half of that came anew is forgotten."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
 
     def get(self, key: str) -> list[int] | None:
         out = self.young.get(key)
         if out is None and (out := self.old.get(key)) is not None:
-            self.put(key, out)
-        return out
+            self._put(key, out)
+        return None if out is None else memoryview(out).cast("I").tolist()
 
     def put(self, key: str, value: list[int]) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
+        self._put(key, array("I", value).tobytes())
+
+    def _put(self, key: str, value: bytes) -> None:
+        if self.size > self.most // 2:
+            self.size, self.old, self.young = 0, self.young, {}
+        self.size += 180 + len(key) + len(value)
         self.young[key] = value
 
 
 class Codec(dict):
-    """Maps a piece of text without white space to (number of ids, ids as text, decoded text)."""
+    """Maps a piece of text without white space to (number of ids, ids as text, decoded text), in about `most` bytes."""
 
-    most = 300_000
+    most, most_words, most_pairs = 64 << 20, 48 << 20, 200_000
 
     def __init__(self, spec: str):
         super().__init__()
+        self.size = 0
         spec = json.loads(spec)
         model = spec["model"]
         end = model["end_of_word_suffix"]
@@ -88,7 +94,7 @@ class Codec(dict):
             self._rank[pair] = rank
             self._parts.setdefault(vocab[a + b], (*pair, rank))
         self._ok: dict[int, bool] = {}
-        self._words = _Recent(300_000)
+        self._words = _Recent(self.most_words)
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._tokens = ahocorasick.Automaton()
@@ -140,7 +146,7 @@ class Codec(dict):
                 pair = before << 32 | token
                 ok = known.get(pair)
                 if ok is None:
-                    if len(known) >= 2_000_000:
+                    if len(known) >= self.most_pairs:
                         known.clear()
                     ok = known[pair] = self._meet(before, token)
                 if not ok:
@@ -185,8 +191,10 @@ class Codec(dict):
         ids = self.ids(piece)
         out = (len(ids), " ".join(map(str, ids)), self.text(ids))
         if len(piece) <= 64:
-            if len(self) >= self.most:  # pieces that are frequent come back at once, from the words they share
+            if self.size > self.most:  # pieces that are frequent come back at once, from the words they share
                 self.clear()
+                self.size = 0
+            self.size += 330 + len(piece) + len(out[1]) + len(out[2])
             self[piece] = out
         return out
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -18,11 +21,21 @@ def cache(operator: str, clear: Callable[[], None]) -> None:
     _caches[operator] = clear
 
 
+_last: list[str] = []
+
+
 def begin(operator: str) -> None:
-    """Called by a task: Spark gives it the process of earlier tasks, and what other operators kept there goes."""
+    """Called by a task: Spark gives it the process of earlier tasks, and what other operators kept there goes, back to the
+    system where the C library can."""
+    if _last == [operator]:
+        return
+    _last[:] = [operator]
     for name, clear in _caches.items():
         if name != operator:
             clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def ship(spark: SparkSession) -> None:
