@@ -27,12 +27,12 @@ _last: list[str] = []
 def begin(operator: str) -> None:
     """Called by a task: Spark gives it the process of earlier tasks, and what other operators kept there goes, back to the
     system where the C library can."""
-    if _last == [operator]:
-        return
-    _last[:] = [operator]
     for name, clear in _caches.items():
         if name != operator:
             clear()
+    if _last == [operator]:
+        return
+    _last[:] = [operator]
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
