@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.operators import blocklist, scans, selection, signal
 from lexmill.plans.catalogue import _FRAMES, _frames, query, table
+from lexmill.sources import shared
+from lexmill.sources.wave_source import WaveSource
+from lexmill.streaming.pieces import ORDERED, in_order, in_order_of_data
 
 _RECORDING = """x AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events),
 e AS (SELECT 0 AS user_id, CAST(pos // 4 AS INTEGER) AS frame, 20 * log10(sqrt(avg(value * value)) + 1e-12) AS energy FROM x WHERE (pos // 4 + 1) * 4 <= n GROUP BY pos // 4)"""
@@ -53,3 +57,36 @@ def blocklist_matches(spark, sf_dir):
     """Addresses of pages as names, the words of all conversations as entries."""
     words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("entry"))
     return blocklist.blocked(table(spark, sf_dir, "pages"), "url", words, "entry")
+
+
+@query("""WITH t AS (SELECT conv_id, text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index FROM conversations)
+SELECT conv_id, index, CAST(length(text) + 10 * (turn % 7) AS INTEGER) AS n, index AS position FROM t""")
+def streamed_pieces(spark, sf_dir):
+    """Turns as pieces of one sample a character, streamed in four batches that part each conversation, in order again."""
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("index", F.row_number().over(own) - 1)
+    last = F.col("index") == F.max("index").over(Window.partitionBy("conv_id"))
+    pieces = turns.select(F.col("conv_id").alias("utterance"), "index", F.array_repeat(F.lit(0.5), F.length("text")).alias("samples"), F.lit(1000).alias("sample_rate"),
+        (10 * (F.col("turn") % 7)).alias("pause_ms"), last.alias("last"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)).alias("batch"))
+    came, left, mark = (shared.folder(spark, name) for name in ("pieces", "ordered", "pieces-checkpoint"))
+    for k in range(4):
+        pieces.filter(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(came)
+    stream = spark.readStream.schema(pieces.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(came)
+    ordered = in_order(stream).writeStream.format("parquet").option("path", left).option("checkpointLocation", mark)
+    with in_order_of_data(spark):
+        ordered.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(ORDERED).parquet(left).filter("error_code IS NULL")
+    return out.select(F.col("utterance").alias("conv_id"), "index", F.size("samples").alias("n"), (F.row_number().over(Window.partitionBy("utterance").orderBy("index")) - 1).cast("long").alias("position"))
+
+
+@query("""SELECT vec_id, CAST(16 AS INTEGER) AS n, 8.0 AS seconds, round(list_sum(list_transform(embedding[17:32], lambda x: CAST(x AS DOUBLE))), 4) AS total,
+CAST(12 + 2 * 8 + 16 + 64 AS BIGINT) AS bytes_read FROM embeddings""")
+def audio_slices(spark, sf_dir):
+    """Each embedding as a WAV file of 64 samples at 8 a second, of which seconds 2 to 4 are read back."""
+    spark.dataSource.register(WaveSource)
+    at = shared.folder(spark, "clips")
+    clips = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").cast("array<float>").alias("samples"), F.lit(8).alias("sample_rate"))
+    clips.write.format("wav").option("subtype", "FLOAT").mode("append").save(at)
+    back = spark.read.format("wav").option("start", 2).option("end", 4).load(at)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("vec_id"), F.size("samples").alias("n"), "seconds", F.round(total, 4).alias("total"), "bytes_read")
