@@ -203,9 +203,14 @@ def reference_plausibility(text: Column, seconds: Column) -> Column:
     return F.struct(F.when(wrong, "validation_error").alias("error_code"), rate.alias("characters_per_second"), notes.alias("advisories"))
 
 
-def real_time_factor(generated: Column, duration: Column) -> Column:
-    """Seconds of work for a second of sound; infinite for none."""
-    return F.when(duration > 0, generated / duration).otherwise(float("inf"))
+_VERIFICATION = "passed boolean, phrase_cer double, nonce_words_found int, speaker_similarity double, reasons array<string>"
+
+
+def verification_of(text: Column) -> Column:
+    """A consent's verification from its JSON; keys that aren't there, and a text that isn't JSON, mean not verified."""
+    v = F.from_json(text, _VERIFICATION)
+    none = {"passed": F.lit(False), "phrase_cer": F.lit(1.0), "nonce_words_found": F.lit(0), "reasons": F.array().cast("array<string>")}
+    return F.struct(*[F.coalesce(v[k], none[k]).alias(k) if k in none else v[k].alias(k) for k in ("passed", "phrase_cer", "nonce_words_found", "speaker_similarity", "reasons")])
 
 
 def joined_chunks(chunks: Column, rate: int) -> Column:
@@ -214,17 +219,6 @@ def joined_chunks(chunks: Column, rate: int) -> Column:
     return F.flatten(F.transform(chunks, lambda c: F.concat(c.samples, silence(c))))
 
 
-def unit_samples(samples: Column, *, integers: bool = False) -> Column:
-    """Model output as samples in [-1, 1]: 16-bit integers over 32768; what still peaks over 1 over its peak."""
-    x = F.transform(samples, lambda v: v.cast("double") / (32768 if integers else 1))
-    peak = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    return F.when(peak > 1, F.transform(x, lambda v: v / peak)).otherwise(x)
-
-
-def fingerprint(content: Column, digits: int = 12) -> Column:
-    return F.substring(F.sha2(content, 256), 1, digits)
-
-
 def in_utc(ts: Column, zone: str) -> Column:
     """A wall-clock time of a zone as the same instant in UTC."""
     return F.to_utc_timestamp(ts, zone)

@@ -16,6 +16,21 @@ ERROR_CODES = (
 )
 
 
+# The HTTP status of each code; 500 for those not named.
+STATUSES = {
+    "feature_disabled": 404, "validation_error": 422, "text_too_long": 413, "unsupported_script": 422, "voice_not_found": 404, "consent_required": 403,
+    "moderation_blocked": 403, "audio_error": 422, "backend_unavailable": 503, "rate_limited": 429, "unauthenticated": 401,
+}
+
+
+def status_of(code: Column) -> Column:
+    """The status of an error code; 200 without one."""
+    out = F.when(code.isNull(), 200)
+    for name, status in STATUSES.items():
+        out = out.when(code == name, status)
+    return out.otherwise(500)
+
+
 class TextError(ValueError):
     """A text that can't be processed; code names the reason."""
 

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions import audio, clip_quality, frontend, phonemes
+from lexmill.functions import audio, clip_quality, frontend, phonemes, unicode_text
 from lexmill.functions import columns as C
+from lexmill.sources import shared
 
 
 @dataclass(frozen=True)
@@ -82,17 +83,21 @@ def verified(requests: DataFrame, as_of: Column, *, verifier: Callable[[Column,
     """requests: phrase, nonce (words), issued_at, heard (transcript of the recording), consent_voice and
     reference_voice (embeddings). Adds verification: passed, phrase_cer, nonce_words_found, speaker_similarity,
     reasons. Without a verifier none passes; nothing heard is a failure."""
-    heard = F.coalesce("heard", F.lit(""))
+    columns, heard = requests.columns, F.coalesce("heard", F.lit(""))
     cer = C.character_error_rate(F.col("phrase"), heard)
-    found = F.size(F.filter("nonce", lambda w: heard.contains(w)))
+    # Words are sought in canonical text, so that two spellings of one word are one.
+    canonical = lambda c: unicode_text.normalized(c)["text"]
+    words, text = (shared.free_name(requests, c) for c in ("nonce_words", "heard_text"))
+    requests = requests.withColumn(words, F.filter(F.split(canonical(F.array_join("nonce", "\n")), "\n"), lambda w: w != "")).withColumn(text, canonical(heard))
+    found = F.size(F.filter(words, lambda w: F.col(text).contains(w)))
     alike = verifier(F.col("consent_voice"), F.col("reference_voice")) if verifier else F.lit(None).cast("double")
     stale = as_of > F.col("issued_at") + F.expr(f"INTERVAL {int(hours)} HOURS")
     why = C.reasons(
         (F.coalesce(stale, F.lit(True)), "challenge_expired"), (F.coalesce(cer > most_cer, F.lit(True)), "phrase_mismatch"),
-        (found < F.size("nonce"), "nonce_words_missing"), (F.coalesce(alike < least_alike, F.lit(True)), "other_speaker" if verifier else "no_verifier"),
+        (found < F.size(words), "nonce_words_missing"), (F.coalesce(alike < least_alike, F.lit(True)), "other_speaker" if verifier else "no_verifier"),
     )
     parts = F.struct((F.size(why) == 0).alias("passed"), cer.alias("phrase_cer"), found.alias("nonce_words_found"), alike.cast("double").alias("speaker_similarity"), why.alias("reasons"))
-    return requests.withColumn("verification", parts)
+    return requests.withColumn("verification", parts).select(*[c for c in columns if c != "verification"], "verification")
 
 
 def enrolled(requests: DataFrame, blocked: Column, as_of: Column, *, days: int = 365) -> DataFrame:

@@ -19,6 +19,8 @@ AS_OF = "2024-06-01 00:00:00"
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if f.__name__ in _queries:
+            raise ValueError(f"there is a query {f.__name__} already")
         _queries[f.__name__] = f
         if oracle is not None:
             _oracles[f.__name__] = oracle
@@ -416,17 +418,17 @@ def reference_plausibility(spark, sf_dir):
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(l_quantity / l_discount, 6) ELSE CAST('inf' AS DOUBLE) END AS rtf FROM lineitem")
-def real_time_factor(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(C.real_time_factor(F.col("l_quantity"), F.col("l_discount")), 6).alias("rtf"))
+def real_time_factor_rows(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(synthesis.real_time_factor(F.col("l_quantity"), F.col("l_discount")), 6).alias("rtf"))
 
 
 @query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 8) AS v FROM embeddings),
 p AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS peak FROM x)
-SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x) / greatest(peak, 1))), 6) AS loudness, CAST(len(v) AS BIGINT) AS n FROM p""")
-def unit_samples(spark, sf_dir):
-    x = C.unit_samples(F.transform("embedding", lambda v: v.cast("double") * 8))
+SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x) / greatest(peak, 1))), 3) AS loudness, CAST(len(v) AS BIGINT) AS n FROM p""")
+def unit_loudness(spark, sf_dir):
+    x = synthesis.unit_samples(F.transform("embedding", lambda v: v.cast("double") * 8))
     df = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
-    return df.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)), 6).alias("loudness"), F.size("x").cast("long").alias("n"))
+    return df.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)), 3).alias("loudness"), F.size("x").cast("long").alias("n"))
 
 
 @query("""SELECT vec_id, CAST(2 * len(embedding) + 3 * (vec_id % 50) + 150 AS BIGINT) AS n, round(2 * list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS total FROM embeddings""")
@@ -491,14 +493,16 @@ def decompose_chillu(spark, sf_dir):
 _LETTERS = "അആഇഈഉഊഋഎഏഐഒഓഔകഖഗഘങചഛജഝഞടഠഡഢണതഥദധനപഫബഭമയരറലളഴവശഷസഹാിീുൂൃെേൈൊോൌൗംഃ്ൺൻർൽൾൿ൧a1"
 
 
-@query(f"""WITH c AS (SELECT r_regionkey, unnest(string_split('{_LETTERS}', '')) AS c FROM region)
-SELECT r_regionkey, count(*) FILTER (regexp_matches(c, '^[ക-ഺ]$')) AS consonants, count(*) FILTER (regexp_matches(c, '^[ൔ-ൖൺ-ൿ]$')) AS chillus,
-count(*) FILTER (regexp_matches(c, '^[\\x{{0D3E}}-\\x{{0D4C}}\\x{{0D57}}\\x{{0D62}}\\x{{0D63}}]$')) AS signs, count(*) FILTER (regexp_matches(c, '^[അ-ഔൠൡ]$')) AS vowels FROM c GROUP BY r_regionkey""")
+@query(f"""WITH c AS (SELECT o_orderpriority, unnest(string_split(substr('{_LETTERS}', CAST(1 + o_orderkey % {len(_LETTERS)} AS INTEGER), CAST(1 + o_custkey % 5 AS INTEGER)), '')) AS c FROM orders)
+SELECT o_orderpriority, count(*) FILTER (regexp_matches(c, '^[ക-ഺ]$')) AS consonants, count(*) FILTER (regexp_matches(c, '^[ൔ-ൖൺ-ൿ]$')) AS chillus,
+count(*) FILTER (regexp_matches(c, '^[\\x{{0D3E}}-\\x{{0D4C}}\\x{{0D57}}\\x{{0D62}}\\x{{0D63}}]$')) AS signs, count(*) FILTER (regexp_matches(c, '^[അ-ഔൠൡ]$')) AS vowels FROM c GROUP BY o_orderpriority""")
 def script_predicates(spark, sf_dir):
-    df = table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.split(F.lit(_LETTERS), "")).alias("c"))
+    """Letters by kind of texts that orders pick from the alphabet by their keys."""
+    text = F.substr(F.lit(_LETTERS), (1 + F.col("o_orderkey") % len(_LETTERS)).cast("int"), (1 + F.col("o_custkey") % 5).cast("int"))
+    df = table(spark, sf_dir, "orders").select("o_orderpriority", F.explode(F.split(text, "")).alias("c"))
     is_ = C.script_predicates(F.col("c"))
     kinds = {"consonants": "is_consonant", "chillus": "is_chillu", "signs": "is_vowel_sign", "vowels": "is_independent_vowel"}
-    return df.groupBy("r_regionkey").agg(*[F.count_if(is_[k]).alias(name) for name, k in kinds.items()])
+    return df.groupBy("o_orderpriority").agg(*[F.count_if(is_[k]).alias(name) for name, k in kinds.items()])
 
 
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(p_name || ', ' || p_type, '[,\\s]+'), lambda k: k <> ''))), '|') AS keys FROM part")
@@ -507,13 +511,18 @@ def key_list(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.sort_array(keys), "|").alias("keys"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
-SELECT conv_id, turn, CAST(len(list_filter(string_split(h, ' '), lambda w: w <> '')) - len(list_filter(string_split(r, ' '), lambda w: w <> '')) AS INTEGER) AS drift FROM p WHERE r IS NOT NULL""")
+@query("""WITH p AS (SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+w AS (SELECT conv_id, turn, list_filter(string_split(r, ' '), lambda w: w <> '') AS r, list_filter(string_split(h, ' '), lambda w: w <> '') AS h FROM p WHERE r IS NOT NULL),
+d AS (SELECT conv_id, turn, len(h) - len(r) AS drift, list_reduce(list_prepend({'w': '', 't': range(0, len(h) + 1)}, list_transform(r, lambda w: {'w': w, 't': CAST([] AS BIGINT[])})),
+  lambda a, x: {'w': '', 't': list_transform(range(1, len(h) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: j - k + least(a.t[k] + 1, CASE WHEN k > 1 THEN a.t[k - 1] + CASE WHEN h[k - 1] = x.w THEN 0 ELSE 1 END ELSE a.t[k] + 1 END))))}) AS z FROM w)
+SELECT conv_id, turn, CAST(drift AS INTEGER) AS drift, CAST(z.t[-1] AS INTEGER) AS edits FROM d""")
 def edit_drift(spark, sf_dir):
-    """Insertions less deletions of each turn against the one before; their number is what the lengths differ by."""
+    """Word edits of each turn against the one before, and insertions less deletions. The SQL fills the table of distances row
+    by row."""
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    df = _pairs(spark, sf_dir).select("conv_id", "turn", scoring.edit_counts(words(F.col("r")), words(F.col("h"))).alias("e"))
-    return df.select("conv_id", "turn", (F.col("e.insertions") - F.col("e.deletions")).alias("drift"))
+    e = scoring.edit_counts(words(F.col("r")), words(F.col("h"))).alias("e")
+    df = _pairs(spark, sf_dir).select("conv_id", "turn", e)
+    return df.select("conv_id", "turn", (F.col("e.insertions") - F.col("e.deletions")).alias("drift"), F.expr("e.substitutions + e.deletions + e.insertions").cast("int").alias("edits"))
 
 
 @query()
@@ -538,9 +547,10 @@ def real_time_factor(spark, sf_dir):
     return df.groupBy("l_returnflag").agg(F.count_if(endless).alias("endless"), F.round(F.avg(F.when(~endless, F.col("x"))), 6).alias("mean"))
 
 
-@query("SELECT doc_id, substr(sha256(text), 1, 12) AS version FROM documents")
+@query("SELECT page_id, substr(sha256(url || chr(10) || html), 1, 16) AS version FROM pages")
 def fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.fingerprint(F.col("text")).alias("version"))
+    """Versions of pages: address and content."""
+    return table(spark, sf_dir, "pages").select("page_id", C.fingerprint(F.concat("url", F.lit("\n"), "html"), 16).alias("version"))
 
 
 @query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE) * 8)) AS x FROM embeddings)

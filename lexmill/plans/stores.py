@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions import columns as C
+from lexmill.operators import evaluation
 from lexmill.operators.voice_store import VoiceDatabase, VoiceSnapshots
 from lexmill.plans.catalogue import query, table
 from lexmill.sources import shared
@@ -93,3 +95,43 @@ def snapshot_versions(spark, sf_dir):
         return rows.select(F.lit(version).alias("version"), "voice_id", "status", "consent_status", "files")
 
     return at(2).unionByName(at(3)).unionByName(at(4))
+
+
+_CASES = """c AS (SELECT conv_id * 1000 + turn AS id, role AS category, length(text) AS n, turn FROM conversations WHERE role <> 'system'),
+r AS (SELECT id, category, CASE WHEN n % 5 = 0 THEN 'backend_unavailable' WHEN n % 7 = 0 THEN 'text_too_long' END AS error, n, turn FROM c),
+m AS (SELECT id, category, error, CASE WHEN error IS NULL THEN round(n / 16, 3) ELSE 0.0 END AS audio_seconds, CASE WHEN error IS NOT NULL OR n = 0 THEN CAST('inf' AS DOUBLE) ELSE round((turn + 1) / 8 / (n / 16), 4) END AS real_time_factor FROM r)"""
+
+
+def _evaluated(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("category"), "text", "turn")
+    n = F.length("text")
+    came = turns.filter(n % 5 != 0).select("id", F.col("text").alias("normalized_text"), (n / 16).alias("audio_seconds"), ((F.col("turn") + 1) / 8).alias("generation_seconds"),
+        F.lit(None).cast("string").alias("heard"), F.when(n % 7 == 0, "text_too_long").alias("error"))
+    roles = [r.category for r in turns.select("category").distinct().collect() if r.category != "system"]
+    return evaluation.results(evaluation.chosen(turns, roles), came)
+
+
+@query(f"WITH {_CASES} SELECT id, category, audio_seconds, real_time_factor, error FROM m")
+def evaluation_results(spark, sf_dir):
+    """Turns as cases; some have no outcome, some an error."""
+    return _evaluated(spark, sf_dir).select("id", "category", "audio_seconds", "real_time_factor", "error")
+
+
+@query(f"""WITH {_CASES} SELECT category, CAST(GROUPING(category) AS INTEGER) AS overall, count(*) AS cases, count(error) AS errors, round(avg(CASE WHEN real_time_factor < CAST('inf' AS DOUBLE) THEN real_time_factor END), 6) AS mean_real_time_factor
+FROM m GROUP BY GROUPING SETS ((category), ())""")
+def evaluation_summary(spark, sf_dir):
+    df = evaluation.summary(_evaluated(spark, sf_dir))
+    return df.select("category", "overall", "cases", "errors", F.round("mean_real_time_factor", 6).alias("mean_real_time_factor"))
+
+
+@query("SELECT role AS key, count(*) AS n FROM conversations GROUP BY role")
+def case_counts(spark, sf_dir):
+    return evaluation.category_counts(table(spark, sf_dir, "conversations").withColumnRenamed("role", "category"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_discount > 0.05 AS passed, CASE WHEN l_tax > 0.02 THEN l_tax ELSE 1.0 END AS phrase_cer, CAST(CASE WHEN l_linenumber > 3 THEN l_linenumber ELSE 0 END AS INTEGER) AS nonce_words_found, CAST(NULL AS DOUBLE) AS speaker_similarity FROM lineitem""")
+def verification_defaults(spark, sf_dir):
+    """Consents' verifications from JSON in which keys are missing."""
+    text = F.to_json(F.struct(F.when(F.col("l_discount") > 0.05, True).alias("passed"), F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("phrase_cer"), F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).alias("nonce_words_found")))
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.verification_of(text).alias("v"))
+    return df.select("l_orderkey", "l_linenumber", "v.passed", "v.phrase_cer", "v.nonce_words_found", "v.speaker_similarity")

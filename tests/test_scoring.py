@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import codemix, columns, scoring
+from lexmill.operators import synthesis
 from lexmill.sources import listings
 
 
@@ -47,7 +48,7 @@ def test_small_columns(spark):
     one = spark.range(1)
     row = one.select(
         columns.reference_plausibility(F.lit("  "), F.lit(5.0)).alias("none"), columns.reference_plausibility(F.lit("a" * 80), F.lit(0.0)).alias("zero"), columns.worst(("ok", "warn", "fail"), F.array().cast("array<string>")).alias("calm"),
-        columns.consent_phrase(F.lit(" "), F.array(F.lit("x")), F.lit("2024-01-02").cast("date")).alias("nobody"), columns.unit_samples(F.array(F.lit(16384)), integers=True).alias("unit"), columns.stock_moderation(F.lit("hello"), ["hel+o"]).alias("extra"),
+        columns.consent_phrase(F.lit(" "), F.array(F.lit("x")), F.lit("2024-01-02").cast("date")).alias("nobody"), synthesis.unit_samples(F.array(F.lit(16384)), int16=True).alias("unit"), columns.stock_moderation(F.lit("hello"), ["hel+o"]).alias("extra"),
     ).first()
     assert row.none.error_code == "validation_error" and row.zero.characters_per_second == float("inf") and row.calm == "ok" and row.nobody is None and row.unit == [0.5]
     assert (row.extra.severity, row.extra.rules) == ("block", ["extra_1"])
