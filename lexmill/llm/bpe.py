@@ -8,8 +8,8 @@ word's end give the ids; no merge is ever carried out. A word of n letters takes
 Words don't depend on what stands around them, so each task encodes a word once, in a cache of bounded size.
 The vocabulary file is read by the driver (its path is a parameter), its 2 MB go to the executors.
 
-Null or empty text: no tokens, decoded to the empty text. Other columns don't matter; repeated rows are
-encoded each by itself. Strings of special tokens in a text become those tokens, as in the library.
+Null or empty text: no tokens, decoded to the empty text. Null ids are kept; repeated rows are encoded each by itself. Very
+long texts are encoded whole, words of any length too. Other columns don't matter, whatever their names. Empty table: empty result. Strings of special tokens in a text become those tokens, as in the library.
 """
 
 from __future__ import annotations

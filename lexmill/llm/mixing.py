@@ -6,7 +6,8 @@ Sums of the ranges give each range's offset, a window inside the range the rest
 source's budget is cut at its exact word, after as many whole epochs as the target holds.
 
 Null text: size 0. Null source: a source of its own, last. Sources without words: target 0. Repeated rows:
-each takes its own words. Empty table: empty result. Other columns don't matter, whatever their names.
+each takes its own words. Ties of the key: by id, size and text. Very long texts count whole and are cut like others. Empty
+table: empty result. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

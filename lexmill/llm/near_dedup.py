@@ -17,7 +17,8 @@ texts compared grow with the classes, not with the pairs in a group. A class wit
 out in parts of 128, a region with very many classes by broadcast.
 
 Null or empty text, or without words: n_shingles 0, linked with nothing, kept. A null doc_id: linked with
-nothing, component null, kept. Repeated rows of an id: one component. Empty table: empty result.
+nothing, component null, kept. Repeated rows of an id: one component. Ties of a region's order: by id. Very long texts are read
+whole, one at a time. Other columns don't matter, whatever their names. Empty table: empty result.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ handled inside itself; the driver sees only counts of vote patterns (4 kinds tim
 Patterns are the leftmost non-overlapping ones of the contract. Possessive quantifiers and look-behinds that
 only rule out starts inside a run keep them linear on very long runs without changing any match.
 
-Null or empty text: no spans. Repeated rows: each by itself. Empty table: empty result. Positions are code
-points, end exclusive.
+Null or empty text: no spans. Null ids are kept. Repeated rows: each by itself. Very long texts are read whole. Other columns
+don't matter, whatever their names; mask() keeps them. Empty table: empty result. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ a hash of the id among rows not held out) are broadcast; blocks of documents mee
 cosine product, and the 15 nearest vote with their similarity as weight.
 
 Null or empty text: only its length class is known; scored as others are. Null doc_id: scored, not held out.
-No labelled rows: score 0.5. Repeated rows: each by itself. Contradicting labels of an id: the larger one.
-Empty table: empty result.
+No labelled rows: score 0.5. Repeated rows: each by itself. Contradicting labels of an id: the larger one. Neighbours that tie
+for the last place, to ten digits: those first in the model. Very long texts are read whole. Other columns don't matter, whatever
+their names. Empty table: empty result.
 """
 
 from __future__ import annotations

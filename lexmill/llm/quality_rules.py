@@ -4,8 +4,8 @@ posterior probability of quality decides, instead of the demand that every rule
 DataFrame functions only. A row is read once; what is kept of it are a few numbers, written to the shared
 folder. Only the counts of vote patterns (at most 3^7) go to the driver.
 
-Null or empty text: no words, all counts 0, base_failed. Repeated rows: each is judged by itself. Other
-columns of the input don't matter. Empty table: empty result.
+Null or empty text: no words, all counts 0, base_failed. Null ids are kept; repeated rows: each is judged by itself. Very long
+texts are measured whole. Other columns of the input don't matter, whatever their names. Empty table: empty result.
 """
 
 from __future__ import annotations

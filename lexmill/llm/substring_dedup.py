@@ -17,7 +17,8 @@ Hot passages: counts are summed in each task first. Keys that many rows share ar
 
 Null or empty text, or under 35 words: nothing removed. Rows with a null doc_id: nothing removed, and nothing
 is matched against them. Repeated rows: each other's copies. Ids must otherwise be unique, also across batches.
-Other columns don't matter, whatever their names. Empty table: empty result.
+Very long texts count whole; ties, of equal windows, all count. Other columns don't matter, whatever their names. Empty table:
+empty result.
 """
 
 from __future__ import annotations

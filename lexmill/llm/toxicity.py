@@ -8,7 +8,8 @@ the id). Scoring: one pass over whole texts with 2,048 x 9 numbers broadcast.
 
 Null or empty text: the score of no terms. Null doc_id: scored, not held out. No labelled rows, or only one
 class: that class's share (0.5 without rows). Repeated rows: each by itself. Labels that contradict each other
-for an id count as the larger one. Empty table: empty result.
+for an id count as the larger one. Terms that tie for the last place: those of the smaller bucket. Very long texts are read whole.
+Other columns don't matter, whatever their names. Empty table: empty result.
 """
 
 from __future__ import annotations

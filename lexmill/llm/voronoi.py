@@ -13,7 +13,8 @@ cut down in each task before they are dealt out, so a hot vector doesn't meet in
 
 Vectors that are null or hold null or non-finite components take no part, nor do null ids; rows that repeat
 an id and a vector count once. Vectors of unequal length are compared in the components that both have.
-Empty table: empty result.
+A component or a score that doesn't fit a long is an error. Ties: the smaller vec_id. Other columns don't matter, whatever their
+names. Empty table: empty result.
 """
 
 from __future__ import annotations

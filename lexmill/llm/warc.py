@@ -6,8 +6,9 @@ Reading: sequential; 256 KB at a time go through an incremental zlib decompresso
 gzip member ends, Content-Length frames its block, and block and payload digests are verified.
 
 Payload: the html in UTF-8, null as empty. Of rows with equal payloads of at least `least` bytes the one with
-the smallest page_id is the response, the others revisit it; a null page_id is not smaller than any other.
-Rows that repeat a page_id with an equal payload are all the response. A null or empty url gives no target
+the smallest page_id is the response, the others revisit it; a null page_id is not smaller than any other, and rows of
+null ids alone are all responses. Rows that repeat a page_id with an equal payload are all the response. Very long payloads
+are written whole, one record at a time. Other columns don't matter, whatever their names. A null or empty url gives no target
 URI; white space and control characters in a url are percent-encoded. Empty table: no archives, empty result.
 """
 
