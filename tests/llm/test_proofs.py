@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexmill.llm import near_dedup, quality_classifier, staging, toxicity, voronoi, warc
+from lexmill.llm import near_dedup, pii, quality_classifier, quality_rules, staging, toxicity, voronoi, warc
 
 
 def test_pages_without_an_id_revisit_the_response(spark):
@@ -120,3 +121,75 @@ def test_near_copies_in_one_component_and_strays(spark):
             root = [low if r == high else r for r in root]
     got = {r.doc_id: r.component_id for r in near_dedup.link(docs, crowd=8).collect()}
     assert got == dict(enumerate(root))
+
+
+def em(patterns, prior, hit, miss, strength=0.02, rounds=60):
+    """Expectation-maximisation over (votes, rows) by numpy: the posterior of each pattern."""
+    votes, n = np.array([v for v, _ in patterns]), np.array([k for _, k in patterns], float)
+    weight = max(1.0, strength * n.sum())
+    share, a, b = prior, np.full(votes.shape[1], hit), np.full(votes.shape[1], miss)
+
+    def posterior():
+        z = np.log(share / (1 - share)) + ((votes > 0) * np.log(a / b) + (votes < 0) * np.log((1 - a) / (1 - b))).sum(axis=1)
+        return 1 / (1 + np.exp(-z))
+
+    for _ in range(rounds):
+        p = posterior()
+        said, yes = (votes != 0) * n[:, None], (votes > 0) * n[:, None]
+        share = (p @ n + weight * prior) / (n.sum() + weight)
+        a = (p @ yes + weight * hit) / (p @ said + weight)
+        b = ((1 - p) @ yes + weight * miss) / ((1 - p) @ said + weight)
+    return posterior()
+
+
+def test_quality_posterior_by_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in quality_rules.score(docs).collect()}
+    vote = lambda bad, good: -1 if bad else int(good)
+    votes = {}
+    for i, r in got.items():
+        n = max(r.n_words, 1)
+        per = [r.n_symbols / n, r.n_upper / max(r.word_chars, 1), r.n_dup_lines / max(r.n_lines, 1), r.n_repeat_words / n, r.n_loud / n, r.word_chars / n, r.n_function / n]
+        some = r.n_words > 0
+        votes[i] = (
+            vote(per[0] > 0.25, some and per[0] <= 0.05), vote(per[1] > 0.3, some and per[1] < 0.1), vote(per[2] > 0.3, some and r.n_dup_lines == 0), vote(per[3] > 0.4, some and per[3] < 0.15),
+            vote(per[4] > 0.3, some and per[4] < 0.1), vote(per[5] < 2.5 or per[5] > 12, some and 3.5 <= per[5] <= 9), vote(per[6] < 0.02, some and per[6] >= 0.1),
+        )
+    patterns = sorted(Counter(votes.values()).items())
+    of = dict(zip([v for v, _ in patterns], em(patterns, 0.9, 0.99, 0.75), strict=True))
+    for i, r in got.items():
+        assert r.quality_posterior == pytest.approx(of[votes[i]], abs=1e-9)
+        assert r.kept == (not r.base_failed and of[votes[i]] >= 0.5)
+    assert {r.kept for r in got.values()} == {True, False}
+
+
+def test_spans_by_plain_python(spark):
+    """From the labelers' votes on: EM for each kind, the logistic span model, base spans and what it adds."""
+    texts = ["write to a.b@c.de or x@y.zz1", "call (222) 555-0199 or +1 222 555 0199 today", "version 1.2.3.4 host 10.0.0.1 and 999.10.10.10", "card 4111 1111 1111 1111, card 4111 1111 1111 1112, order 1234567890123", "tel 222-555-0199, isbn 222-555-0198", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    rows = docs.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()
+    counts = Counter((x.kind, tuple(x[f"v{j}"] for j in range(5))) for r in rows for x in r.c)
+    features, soft, weight = [], [], []
+    for kind in pii.KINDS:
+        own = sorted((v, n) for (k, v), n in counts.items() if k == kind)
+        for (v, n), p in zip(own, em(own, 0.6, 0.8, 0.2) if own else [], strict=True):
+            features.append([float(kind == k) for k in pii.KINDS] + [float(x == s) for x in v for s in (1, -1)])
+            soft.append(p)
+            weight.append(n)
+    x, y, n = np.array(features), np.array(soft), np.array(weight, float)
+    w, bias, speed = np.zeros(x.shape[1]), 0.0, np.full(x.shape[1] + 1, 1e-8)
+    for _ in range(400):
+        e = (1 / (1 + np.exp(-(x @ w + bias))) - y) * n / n.sum()
+        g = np.append(1e-3 * w + e @ x, e.sum())
+        speed += g * g
+        step = 0.5 * g / np.sqrt(speed)
+        w, bias = w - step[:-1], bias - step[-1]
+    z = {(k, v): bias + np.dot(w, [float(k == q) for q in pii.KINDS] + [float(a == s) for a in v for s in (1, -1)]) for k, v in counts}
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    added = 0
+    for r in rows:
+        base = [c for c in r.c if c.base]
+        more = [c for c in r.c if not c.base and z[c.kind, tuple(c[f"v{j}"] for j in range(5))] >= 0 and not any(b.kind == c.kind and b.s < c.e and c.s < b.e for b in base)]
+        added += len(more)
+        assert got[r.doc_id] == ",".join(f"{c.kind}:{c.s}:{c.e}" for k in pii.KINDS for c in sorted((c for c in base + more if c.kind == k), key=lambda c: (c.s, c.e)))
+    assert added
