@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import blocklist, scans, selection, signal
+from lexmill.operators import blocklist, long_audio, scans, selection, signal
 from lexmill.plans.catalogue import _FRAMES, _frames, query, table
 from lexmill.sources import shared
 from lexmill.sources.wave_source import WaveSource
@@ -90,3 +90,19 @@ def audio_slices(spark, sf_dir):
     back = spark.read.format("wav").option("start", 2).option("end", 4).load(at)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return back.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("vec_id"), F.size("samples").alias("n"), "seconds", F.round(total, 4).alias("total"), "bytes_read")
+
+
+@query("""WITH x AS (SELECT user_id, value / 200 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+h AS (SELECT user_id, pos // 4 AS hop, sum(v * v) AS e FROM x GROUP BY user_id, pos // 4 HAVING count(*) = 4),
+w AS (SELECT user_id, e + lead(e, 1) OVER o + lead(e, 2) OVER o + lead(e, 3) OVER o AS e FROM h WINDOW o AS (PARTITION BY user_id ORDER BY hop)),
+l AS (SELECT user_id, e / 16 AS p FROM w WHERE e IS NOT NULL AND -0.691 + 10 * log10(greatest(e / 16, 1e-30)) >= -70),
+m AS (SELECT *, avg(p) OVER (PARTITION BY user_id) AS mean FROM l), g AS (SELECT user_id, -0.691 + 10 * log10(avg(p)) AS gated FROM m WHERE log10(p) > log10(mean) - 1 GROUP BY user_id),
+r AS (SELECT user_id, 10 * log10(avg(v * v) + 1e-12) AS rms, max(abs(v)) AS peak FROM x GROUP BY user_id)
+SELECT user_id, round(coalesce(gated, rms), 5) AS loudness, CASE WHEN gated IS NULL THEN 'rms_dbfs' ELSE 'itu_bs1770' END AS method, round(peak, 6) AS peak FROM r LEFT JOIN g USING (user_id)""")
+def gated_loudness(spark, sf_dir):
+    """Each user's values as a clip of 40 samples a second in blocks of two seconds, without the weighting filters."""
+    placed = scans.positions(table(spark, sf_dir, "events").select("user_id", (F.col("value") / 200).alias("v"), "ts", "event_id"), "user_id", ["ts", "event_id"])
+    blocks = placed.groupBy(F.col("user_id").alias("clip"), F.floor(F.col("pos") / 80).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    blocks = blocks.select("clip", "block", F.col("p.v").alias("samples"))
+    out = long_audio.loudness(blocks, 40, 80, weighted=False)
+    return out.select(F.col("clip").alias("user_id"), F.round("loudness", 5).alias("loudness"), "method", F.round("peak", 6).alias("peak"))
