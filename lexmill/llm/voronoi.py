@@ -19,6 +19,7 @@ names. Empty table: empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,9 +61,10 @@ def integers(rows: DataFrame, scale: int = 256) -> DataFrame:
     return df.withColumn("v", F.when(F.size("v") == width, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))))
 
 
-def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int = 64, told: dict | None = None) -> DataFrame:
+def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int | None = None, told: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`, against all other rows.
-    pivots: how many, where there are as many distinct vectors; a sample of them, by hash. told, where given, hears how
+    pivots: how many, where there are as many distinct vectors; a sample of them, by hash. By default a quarter of the root
+    of their number, 64 at least and 4,096 at most, so that cells grow more slowly than the data. told, where given, hears how
     many cells there are, and how many pairs of a query and a cell were solved."""
     spark = rows.sparkSession
     workers.ship(spark)
@@ -73,7 +75,7 @@ def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, pivots: int = 64, tol
     n = data.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    count = min(pivots, n)
+    count = min(pivots or max(64, min(4096, math.isqrt(n) // 4)), n)
     centre = np.array([r.v for r in data.orderBy(F.xxhash64("v"), "v").select("v").limit(count).collect()], dtype=np.int64).reshape(count, -1)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
