@@ -3,7 +3,7 @@
 Documents with equal sets are one class from the start. Each class has 20 signature orders of 6 minhashes.
 In each order, classes that share the first 3 values lie in one region; a region of more than `crowd` classes
 is entered deeper, by one value at a time, to at most 6. Classes of crowded regions are put into 60 further orders
-of 6, the same 120 values dealt anew, which only the last turn below looks at, where more than one component holds them. Candidates of a class are its next neighbours in the order (their common prefix
+of 6, the same 120 values dealt anew, which only the last turn below looks at, where two components hold them. Candidates of a class are its next neighbours in the order (their common prefix
 is the longest) and the first class of its regions, as long as sizes or 120-bit sketches don't rule a similarity of
 0.8 out. What is missed is chance: a pair at exactly 0.8 shares no region of 20 with probability
 (1 - 0.8^3)^20 = 6e-7; where all regions it shares are crowded, none of 80 at depth 6 with about 1e-6.
@@ -27,6 +27,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -287,37 +288,84 @@ def crowded(rows: DataFrame, dealt: DataFrame, met: DataFrame, held, percent: in
         most *= 4
 
 
+#: Cells of the bitmap of heads, at most (4 MB); heads that a bucket of it is to see, and that a task holds.
+CELLS, SEEN = 25, 1 << 20
+
+
 def opened(own: DataFrame) -> DataFrame:
-    """own (classes with their component c and their further regions, heads), where the classes of the largest component
-    keep only those heads that a class of another component may have: a region that this component holds alone settles
-    nothing. Whether one may is a bit of a bitmap of at most 4 MB, with 64 bits or more for each head of the others as long
-    as it is that small. A bit hit by chance lets a head pass, none is lost. The largest component's other regions make no
-    rows; those of other components are kept whole."""
-    main = own.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(1).collect()
-    if not main:
+    """own (classes with their component c and their further regions, heads), where classes keep only those heads that
+    classes of two components may have: a region of one component settles nothing, and most regions of unlike classes hold
+    one class. A head is a cell of a bitmap of at most 4 MB; each task tells the least and greatest component of its cells,
+    packed by ranges of cells, and those whose least and greatest differ over all tasks are set. Heads that share a cell
+    by chance pass, none is lost, and what is dropped has made no row."""
+    n = own.count() * MORE
+    if not n:
         return own
-    others = own.filter(F.col("c") != main[0].c)
-    size = 1 << min(25, max(15, (64 * MORE * others.count()).bit_length()))
-    at = F.pmod(F.xxhash64("head"), F.lit(size))
-    bits = others.select(F.explode("heads").alias("head")).select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("bucket"))
-    found = bits.agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits")).collect()  # at most 1,024 bitmaps of 4 KB
-    table = np.zeros(size, bool)
-    for r in found:
-        table[r.bucket << 15 : (r.bucket + 1) << 15] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-    shared = own.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
-    kept = own.filter(F.col("c") == main[0].c).withColumn("places", F.transform("heads", lambda h: F.pmod(F.xxhash64(h), F.lit(size)).cast("long")))
+    cells = min(CELLS, max(15, (64 * n).bit_length()))
+    low = cells - min(cells - 3, max(0, (n // SEEN).bit_length()), 16)  # bits of a cell within its bucket
+    heads = own.select(F.transform("heads", lambda h: F.pmod(F.xxhash64(h), F.lit(1 << cells))).alias("cells"), "c")
+    told = heads.mapInArrow(_told(low), "bucket long, cell binary, least binary, most binary")
+    schema = "bucket long, bits binary"
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell, least, most = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("cell", "least", "most"))
+        cell, least, most = _extremes(cell, least, most)
+        bits = np.zeros(1 << low, np.uint8)
+        bits[cell[least != most] - (int(pdf["bucket"].iloc[0]) << low)] = 1
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    table = np.zeros(1 << (cells - 3), np.uint8)
+    for r in told.groupBy("bucket").applyInPandas(met, schema).collect():  # 4 MB in all
+        table[r.bucket << (low - 3) : (r.bucket + 1) << (low - 3)] = np.frombuffer(r.bits, np.uint8)
+    shared = own.sparkSession.sparkContext.broadcast(table)
+    placed = own.withColumn("cells", F.transform("heads", lambda h: F.pmod(F.xxhash64(h), F.lit(1 << cells))))
 
     def sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = []
-            for h, p in zip(batch.column("heads").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                place = np.array(p, np.int64)
-                hit = shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1
-                heads.append(list(itertools.compress(h, hit.tolist())))
-            names = [n for n in batch.schema.names if n != "places"]
-            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.list_(pa.int64())) if n == "heads" else batch.column(n) for n in names], names=names)
-
-    return others.unionByName(kept.mapInArrow(sought, own.schema))
+            kept = []
+            for h, p in zip(batch.column("heads").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                cell = np.array(p, np.int64)
+                hit = shared.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1
+                kept.append(list(itertools.compress(h, hit.tolist())))
+            names = [c for c in batch.schema.names if c != "cells"]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int64())) if c == "heads" else batch.column(c) for c in names], names=names)
+
+    return placed.mapInArrow(sought, own.schema)
+
+
+def _extremes(cell: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each cell once, ascending, with its least and greatest component."""
+    order = np.argsort(cell, kind="stable")
+    cell, least, most = cell[order], least[order], most[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
+    return (cell[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)) if len(cell) else (cell, least, most)
+
+
+def _told(low: int):
+    """Cells (lists) and components of classes as one row for each bucket of cells, for every SEEN cells of a task."""
+
+    def given(held: list) -> pa.RecordBatch:
+        cell, least, most = _extremes(np.concatenate([x for x, _ in held]), *[np.concatenate([c for _, c in held])] * 2)
+        bucket = cell >> low
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        parts = [[x[i:j].tobytes() for i, j in itertools.pairwise(edge)] for x in (cell, least, most)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), *[pa.array(x, pa.binary()) for x in parts]], names=["bucket", "cell", "least", "most"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            column = batch.column("cells")
+            offsets = np.asarray(column.offsets)
+            cell = np.asarray(column.values)[offsets[0] : offsets[-1]].astype(np.int64)
+            held.append((cell, np.repeat(np.asarray(batch.column("c")), np.diff(offsets))))
+            size += len(cell)
+            if size > SEEN:
+                yield given(held)
+                held, size = [], 0
+        if size:
+            yield given(held)
+
+    return run
 
 
 def gathered(members: DataFrame, strays: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
