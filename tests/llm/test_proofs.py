@@ -83,18 +83,26 @@ def test_neighbours_by_plain_python():
         assert score == pytest.approx(sum(w * model.label[i] for w, i in zip(weight, near, strict=True)) / sum(weight), abs=1e-6)
 
 
-def test_further_orders_of_a_large_component(spark):
-    """Heads that the largest component holds alone go; all of the others' and all that both hold stay."""
+@pytest.mark.parametrize("seen", [50, 1 << 20])
+def test_further_orders_that_settle_nothing(spark, monkeypatch, seen):
+    """Heads that one component holds alone go, those of a single class among them; all that two components hold stay."""
+    monkeypatch.setattr(near_dedup, "SEEN", seen)
     rng = np.random.default_rng(1)
-    shared = rng.integers(-(1 << 62), 1 << 62, 50).tolist()
-    rows = [(i, 9, b"m", [*rng.integers(-(1 << 62), 1 << 62, 57).tolist(), *rng.choice(shared, 3).tolist()], 1 if i < 300 else i) for i in range(330)]
-    own = spark.createDataFrame(rows, "rep long, m long, marks binary, heads array<long>, c long")
-    got = {r.rep: r.heads for r in near_dedup.opened(own).collect()}
-    others = {h for r in rows[300:] for h in r[3]}
-    assert all(got[r[0]] == r[3] for r in rows[300:]) and set(got) == set(range(330))
-    assert all(set(got[r[0]]) >= set(r[3]) & others for r in rows[:300])
-    kept = sum(len(got[i]) for i in range(300))
-    assert kept < 300 * 8 < 300 * 60
+    draw = lambda n: rng.integers(-(1 << 62), 1 << 62, n).tolist()
+    both, within = draw(40), draw(40)
+    rows = [(i, 9, b"m", [*draw(54), *rng.choice(both, 3).tolist(), *(rng.choice(within, 3).tolist() if i < 300 else draw(3))], 1 if i < 300 else i) for i in range(400)]
+    own = spark.createDataFrame(rows, "rep long, m long, marks binary, heads array<long>, c long").repartition(7)
+    got = {r.rep: (r.m, bytes(r.marks), r.c, r.heads) for r in near_dedup.opened(own).collect()}
+    holders = {}
+    for _, _, _, heads, c in rows:
+        for h in heads:
+            holders.setdefault(h, set()).add(c)
+    needed = 0
+    for rep, m, marks, heads, c in rows:
+        want = [h for h in heads if len(holders[h]) > 1]
+        needed += len(want)
+        assert got[rep][:3] == (m, marks, c) and [h for h in got[rep][3] if len(holders[h]) > 1] == want
+    assert needed <= sum(len(x[3]) for x in got.values()) < 1.1 * needed + 50
     assert near_dedup.opened(own.limit(0)).count() == 0
 
 
