@@ -43,32 +43,33 @@ def prepared(entries: DataFrame, how: Preparing = Preparing(), *, transcriber: C
 
     shape = "struct<samples:array<float>,sample_rate:int,{}:" + clip_quality.REPORT + ">"
     cut = audio._on_clips(finish, shape.format("raw"))(F.col("clip"))
-    df = entries.withColumn("__cut", cut)
-    clean = F.struct(F.col("__cut.value.samples").alias("samples"), F.col("__cut.value.sample_rate").alias("sample_rate"))
-    clean = F.when(F.col("__cut.value").isNotNull(), clean)
-    df = df.withColumn("__done", audio._on_clips(settle, shape.format("final"))(denoiser(clean) if denoiser else clean))
-    df = df.withColumn("__text", frontend.processed(F.col("text")))
-    done = F.col("__done.value")
+    cut_, done_, text_, report_ = (shared.free_name(entries, c) for c in ("cut", "done", "frontend", "report"))
+    df = entries.withColumn(cut_, cut)
+    clean = F.struct(F.col(f"{cut_}.value.samples").alias("samples"), F.col(f"{cut_}.value.sample_rate").alias("sample_rate"))
+    clean = F.when(F.col(f"{cut_}.value").isNotNull(), clean)
+    df = df.withColumn(done_, audio._on_clips(settle, shape.format("final"))(denoiser(clean) if denoiser else clean))
+    df = df.withColumn(text_, frontend.processed(F.col("text")))
+    done = F.col(f"{done_}.value")
     out = F.when(done.isNotNull(), F.struct(done["samples"].alias("samples"), done["sample_rate"].alias("sample_rate")))
-    merged = F.struct(*[(done["final"][k] if k in _FINAL else F.col("__cut.value.raw")[k]).alias(k) for k in ("duration_seconds", "peak_dbfs", "clipping_ratio", "dc_offset", "silence_ratio", "estimated_snr_db")])
-    df = df.withColumn("clip", out).withColumn("__report", F.when(done.isNotNull(), merged))
-    df = df.withColumn("quality", F.when(done.isNotNull(), clip_quality.rounded(F.col("__report"))))
-    df = df.withColumn("normalized_text", F.col("__text.value.routed"))
-    said = F.transform(F.col("__text.value.phonemes"), lambda p: phonemes.rendered_column(p, ascii=True))
+    merged = F.struct(*[(done["final"][k] if k in _FINAL else F.col(f"{cut_}.value.raw")[k]).alias(k) for k in ("duration_seconds", "peak_dbfs", "clipping_ratio", "dc_offset", "silence_ratio", "estimated_snr_db")])
+    df = df.withColumn("clip", out).withColumn(report_, F.when(done.isNotNull(), merged))
+    df = df.withColumn("quality", F.when(done.isNotNull(), clip_quality.rounded(F.col(report_))))
+    df = df.withColumn("normalized_text", F.col(f"{text_}.value.routed"))
+    said = F.transform(F.col(f"{text_}.value.phonemes"), lambda p: phonemes.rendered_column(p, ascii=True))
     df = df.withColumn("phonemes", F.array_join(said, " | "))
     df = df.withColumn("asr_text", transcriber(F.col("clip")) if transcriber else F.lit(None).cast("string"))
     df = df.withColumn("asr_cer", C.character_error_rate(F.col("normalized_text"), F.col("asr_text")))
     df = df.withColumn("split", C.assigned_split(F.col("speaker_id"), test=how.test, validation=how.validation, salt=how.salt))
-    broken = C.reasons((F.col("clip").isNull(), F.coalesce(F.col("__cut.error_code"), F.col("__done.error_code"), F.lit("audio_error"))))
+    broken = C.reasons((F.col("clip").isNull(), F.coalesce(F.col(f"{cut_}.error_code"), F.col(f"{done_}.error_code"), F.lit("audio_error"))))
     # The gate comes before the text: what it refuses is never asked whether its text can be read.
-    unread = C.reasons((F.col("normalized_text").isNull(), F.coalesce(F.col("__text.error_code"), F.lit("validation_error"))))
-    gate = F.coalesce(clip_quality.gate(F.col("__report")), F.array().cast("array<string>"))
+    unread = C.reasons((F.col("normalized_text").isNull(), F.coalesce(F.col(f"{text_}.error_code"), F.lit("validation_error"))))
+    gate = F.coalesce(clip_quality.gate(F.col(report_)), F.array().cast("array<string>"))
     cer = C.reasons((F.col("asr_cer") > how.most_cer, F.format_string("cer %.3f", F.col("asr_cer"))))
     rules = [("error", broken), ("quality", gate), ("error", unread), ("asr_mismatch", cer)]
     stage, why = F.lit(None).cast("string"), F.array().cast("array<string>")
     for name, found in reversed(rules):
         stage, why = F.when(F.size(found) > 0, name).otherwise(stage), F.when(F.size(found) > 0, found).otherwise(why)
-    return df.withColumn("stage", stage).withColumn("reasons", why).drop("__cut", "__done", "__text", "__report")
+    return df.withColumn("stage", stage).withColumn("reasons", why).drop(cut_, done_, text_, report_)
 
 
 def accepted(done: DataFrame) -> DataFrame:

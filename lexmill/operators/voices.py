@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.sources import shared
+
 
 def latest(df: DataFrame, owner: str, at: str, key: str, k: int, skip: int = 0) -> DataFrame:
     """Each owner's rows skip+1 to skip+k, newest first."""
@@ -26,9 +28,10 @@ def with_consent(voices: DataFrame, consents: DataFrame, as_of: Column) -> DataF
 
 def revoked(voices: DataFrame, consent_ids: DataFrame) -> DataFrame:
     """Voices whose consent is among those revoked are disabled."""
-    gone = consent_ids.select("consent_id").distinct().withColumn("__gone", F.lit(True))
+    hit = shared.free_name(voices, "gone")
+    gone = consent_ids.select("consent_id").distinct().withColumn(hit, F.lit(True))
     df = voices.join(gone, "consent_id", "left")
-    return df.withColumn("status", F.when(F.col("__gone"), "disabled").otherwise(F.col("status"))).drop("__gone")
+    return df.withColumn("status", F.when(F.col(hit), "disabled").otherwise(F.col("status"))).drop(hit)
 
 
 def folded_name(name: str) -> str:
