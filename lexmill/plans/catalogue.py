@@ -97,6 +97,11 @@ f AS (SELECT *, array_to_string(list_distinct(string_split(r || h, '')), '') AS
 s AS (SELECT conv_id, turn, translate(r, c, t[1:length(c)]) AS r, translate(h, c, t[1:length(c)]) AS h FROM f)"""
 
 
+#: d: of lists of words r and h (table w), the table of distances, filled row by row; its last number is the distance.
+_TABLE = """d AS (SELECT conv_id, turn, len(h) - len(r) AS drift, len(r) AS n, list_reduce(list_prepend({'w': '', 't': range(0, len(h) + 1)}, list_transform(r, lambda w: {'w': w, 't': CAST([] AS BIGINT[])})),
+  lambda a, x: {'w': '', 't': list_transform(range(1, len(h) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: j - k + least(a.t[k] + 1, CASE WHEN k > 1 THEN a.t[k - 1] + CASE WHEN h[k - 1] = x.w THEN 0 ELSE 1 END ELSE a.t[k] + 1 END))))}) AS z FROM w"""
+
+
 def _pairs(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("h"), F.lag("text").over(w).alias("r"))
@@ -108,7 +113,10 @@ def cer_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.character_error_rate(F.col("r"), F.col("h")), 9).alias("cer"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+s AS (SELECT conv_id, turn, regexp_replace(r, '[\\p{{Po}}\\p{{Pd}}\\p{{Ps}}\\p{{Pe}}\\p{{Pi}}\\p{{Pf}}]', '', 'g') AS r, regexp_replace(h, '[\\p{{Po}}\\p{{Pd}}\\p{{Ps}}\\p{{Pe}}\\p{{Pi}}\\p{{Pf}}]', '', 'g') AS h FROM p WHERE r IS NOT NULL),
+w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(r, '\\s+'), lambda w: w <> '') AS r, list_filter(regexp_split_to_array(h, '\\s+'), lambda w: w <> '') AS h FROM s),
+{_TABLE}) SELECT conv_id, turn, round(CASE WHEN n > 0 THEN CAST(z.t[-1] AS DOUBLE) / n END, 9) AS wer FROM d""")
 def wer_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.word_error_rate(F.col("r"), F.col("h")), 9).alias("wer"))
 
@@ -511,10 +519,9 @@ def key_list(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.sort_array(keys), "|").alias("keys"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+@query(f"""WITH p AS (SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
 w AS (SELECT conv_id, turn, list_filter(string_split(r, ' '), lambda w: w <> '') AS r, list_filter(string_split(h, ' '), lambda w: w <> '') AS h FROM p WHERE r IS NOT NULL),
-d AS (SELECT conv_id, turn, len(h) - len(r) AS drift, list_reduce(list_prepend({'w': '', 't': range(0, len(h) + 1)}, list_transform(r, lambda w: {'w': w, 't': CAST([] AS BIGINT[])})),
-  lambda a, x: {'w': '', 't': list_transform(range(1, len(h) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: j - k + least(a.t[k] + 1, CASE WHEN k > 1 THEN a.t[k - 1] + CASE WHEN h[k - 1] = x.w THEN 0 ELSE 1 END ELSE a.t[k] + 1 END))))}) AS z FROM w)
+{_TABLE})
 SELECT conv_id, turn, CAST(drift AS INTEGER) AS drift, CAST(z.t[-1] AS INTEGER) AS edits FROM d""")
 def edit_drift(spark, sf_dir):
     """Word edits of each turn against the one before, and insertions less deletions. The SQL fills the table of distances row
