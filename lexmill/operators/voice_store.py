@@ -102,6 +102,16 @@ class VoiceSnapshots:
         """Voices, consents and audio, all seen at once."""
         return self.store.begin().insert("voices", voices).insert("consents", consents).insert("files", files).commit()
 
+    def voices(self) -> DataFrame:
+        return self.store.read("voices")
+
+    def consents(self) -> DataFrame:
+        return self.store.read("consents")
+
+    def list(self, owner: int, limit: int = 50, offset: int = 0) -> DataFrame:
+        """An owner's voices, newest first."""
+        return self.voices().filter(F.col("owner_id") == owner).orderBy(F.desc("created_at"), "voice_id").offset(offset).limit(limit)
+
     def revoke(self, consent_ids: DataFrame, at: Column) -> int:
         change = self.store.begin()
         voices, consents = (self.store.read(t, change.base).join(consent_ids.select("consent_id").distinct(), "consent_id", "left_semi") for t in ("voices", "consents"))

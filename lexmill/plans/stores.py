@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import columns as C
 from lexmill.operators import evaluation
-from lexmill.operators.voice_store import VoiceDatabase, VoiceSnapshots
+from lexmill.operators.voice_store import FILES, VoiceDatabase, VoiceSnapshots
 from lexmill.plans.catalogue import query, table
 from lexmill.sources import shared
 from lexmill.sources.database import Database
@@ -18,14 +18,14 @@ from lexmill.sources.snapshots import Store
 NOW = "2024-06-01 00:00:00"
 
 
-def database(spark: SparkSession) -> Database:
-    """The store's database, by the settings lexmill.store.url and .driver; a new one in the session's own JVM where they are
-    unset, in local mode."""
+def database(spark: SparkSession) -> Database | None:
+    """The store's database, by the settings lexmill.store.url and .driver. Where they are unset, a new one in the session's own
+    JVM in local mode; on a cluster None, for executors don't reach that one."""
     url = spark.conf.get("lexmill.store.url", None)
     if url:
         return Database(spark, url, spark.conf.get("lexmill.store.driver", None))
     if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("lexmill.store.url must name a database that driver and executors reach")
+        return None
     return Database(spark, f"jdbc:derby:memory:lexmill{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
 
 
@@ -46,15 +46,28 @@ _STORED = """v AS (SELECT o_orderkey AS voice_id, o_custkey AS owner_id, o_order
   CASE WHEN o_orderpriority <> '5-LOW' THEN CASE WHEN (o_orderkey + 1) % 11 = 0 THEN 'revoked' ELSE 'verified' END END AS consent_status FROM orders)"""
 
 
-@query(f"""WITH {_STORED} SELECT voice_id, owner_id, status, consent_id, consent_status FROM v WHERE owner_id % 13 <> 0""")
-def stored_voices(spark, sf_dir):
-    """Voices and consents written to a database, some consents revoked, some owners' voices deleted, all read back."""
-    store = VoiceDatabase(database(spark))
+def kept(spark: SparkSession, db: Database | None, voices: DataFrame, consents: DataFrame) -> VoiceDatabase | VoiceSnapshots:
+    """Voices and consents written to a database, or without one to a snapshot store in the shared folder; some consents revoked."""
+    revoked = consents.filter("consent_id % 11 = 0")
+    if db is None:
+        store = VoiceSnapshots(Store(spark, shared.folder(spark, "voices")))
+        store.create_tables()
+        store.enrol(voices, consents, spark.createDataFrame([], FILES))
+        store.revoke(revoked, F.lit(NOW).cast("timestamp"))
+        return store
+    store = VoiceDatabase(db)
     store.create_tables()
-    voices, consents = voices_and_consents(spark, sf_dir)
     store.create(voices)
     store.save_consents(consents)
-    store.revoke(consents.filter("consent_id % 11 = 0"), NOW)
+    store.revoke(revoked, NOW)
+    return store
+
+
+@query(f"""WITH {_STORED} SELECT voice_id, owner_id, status, consent_id, consent_status FROM v WHERE owner_id % 13 <> 0""")
+def stored_voices(spark, sf_dir):
+    """Voices and consents written to a store, some consents revoked, some owners' voices deleted, all read back."""
+    voices, consents = voices_and_consents(spark, sf_dir)
+    store = kept(spark, database(spark), voices, consents)
     store.delete(voices.filter("owner_id % 13 = 0"))
     own = store.consents().select("consent_id", F.col("status").alias("consent_status"))
     return store.voices().join(own, "consent_id", "left").select("voice_id", "owner_id", "status", "consent_id", "consent_status")
@@ -62,13 +75,9 @@ def stored_voices(spark, sf_dir):
 
 @query(f"""WITH {_STORED} SELECT voice_id, status, created_at FROM v WHERE owner_id = (SELECT min(owner_id) FROM v) ORDER BY created_at DESC, voice_id LIMIT 50 OFFSET 1""")
 def stored_voice_page(spark, sf_dir):
-    """A page of an owner's voices, newest first, sorted and cut by the database."""
-    store = VoiceDatabase(database(spark))
-    store.create_tables()
+    """A page of an owner's voices, newest first, sorted and cut by the database where there is one."""
     voices, consents = voices_and_consents(spark, sf_dir)
-    store.create(voices)
-    store.save_consents(consents)
-    store.revoke(consents.filter("consent_id % 11 = 0"), NOW)
+    store = kept(spark, database(spark), voices, consents)
     return store.list(voices.agg(F.min("owner_id")).first()[0], 50, 1).toDF(*map(str.lower, voices.columns)).select("voice_id", "status", "created_at")
 
 
@@ -79,13 +88,13 @@ UNION ALL SELECT 4, voice_id, status, consent_status, CASE WHEN consent_id IS NU
 def snapshot_versions(spark, sf_dir):
     """The voices of each version of a snapshot store: enrolled, some consents revoked, some owners' voices deleted."""
     store = Store(spark, shared.folder(spark, "voice-snapshots"))
-    kept = VoiceSnapshots(store)
-    kept.create_tables()
+    own = VoiceSnapshots(store)
+    own.create_tables()
     voices, consents = voices_and_consents(spark, sf_dir)
     paths = voices.select(F.col("audio_path").alias("path")).unionByName(consents.select(F.col("audio_path").alias("path")))
-    kept.enrol(voices, consents, paths.withColumn("content", F.encode("path", "UTF-8")))
-    kept.revoke(consents.filter("consent_id % 11 = 0"), F.lit(NOW).cast("timestamp"))
-    kept.delete(voices.filter("owner_id % 13 = 0"))
+    own.enrol(voices, consents, paths.withColumn("content", F.encode("path", "UTF-8")))
+    own.revoke(consents.filter("consent_id % 11 = 0"), F.lit(NOW).cast("timestamp"))
+    own.delete(voices.filter("owner_id % 13 = 0"))
 
     def at(version: int) -> DataFrame:
         own = store.read("consents", version).select("consent_id", F.col("status").alias("consent_status"), F.col("audio_path").alias("consent_path"))

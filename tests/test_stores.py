@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators.voice_store import CONSENTS, FILES, VOICES, VoiceDatabase, VoiceSnapshots
+from lexmill.plans import stores
 from lexmill.sources import shared
 from lexmill.sources.database import Database
 from lexmill.sources.snapshots import Conflict, Store
@@ -115,3 +116,14 @@ def test_one_of_two_writers_loses_cleanly(spark, store):
     assert len(store.vacuum(keep=2)) == 3 and store.read("voices").count() == 1
     with pytest.raises(KeyError):
         store.read("nothing")
+
+
+def test_voices_without_a_database(spark, monkeypatch):
+    """On a cluster executors don't reach a database in the driver's JVM; the queries keep voices in the shared folder then."""
+    data = "/root/testdata/sf0.001"
+    found = lambda q: sorted(map(str, q(spark, data).collect()))
+    queries = stores.stored_voices, stores.stored_voice_page
+    want = [found(q) for q in queries]
+    monkeypatch.setattr(stores, "database", lambda _: None)
+    got = [found(q) for q in queries]
+    assert [[r.lower() for r in x] for x in got] == [[r.lower() for r in x] for x in want] and all(want)
