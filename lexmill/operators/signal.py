@@ -51,10 +51,21 @@ def quality_reasons(duration, snr, silence):
     return reasons((duration < 0.5, "too_short"), (duration > 30.0, "too_long"), (snr < 20.0, "noisy"), (silence > 0.6, "mostly_silence"))
 
 
+def rounded(x, digits):
+    """A double at so many decimals (4 at most) as printf has it: by the binary number's exact value, halves to the even digit,
+    zeros with their sign. From 2^52 units of the last digit on by its shortest decimal."""
+    scale = 10.0**digits
+    low = F.floor(x * scale).cast("double")
+    wide = x * 134217729.0  # 2^27 + 1: the leading 26 bits and the rest, whose products with the scale are exact
+    head = wide - (wide - x)
+    beyond = (head * scale - (low + 0.5)) + (x - head) * scale
+    near = F.when((beyond > 0) | ((beyond == 0) & (low % 2 != 0)), low + 1.0).otherwise(low) / scale
+    return F.when(F.abs(x * scale) < float(1 << 52), F.when((near == 0) & (x < 0), F.lit(-0.0)).otherwise(near)).otherwise(F.bround(x, digits))
+
+
 def quality_texts(duration, snr, clipping, silence, offset, peak, *, least_seconds=0.5, most_seconds=30.0, least_snr=20.0, most_clipping=0.001, most_silence=0.6, most_offset=0.01, least_peak=-40.0):
-    """All reasons of the gate as texts with their measure, in fixed order; none: the clip passes. Halves are those of the
-    shortest decimal of a measure, so a last digit can differ by one from a rounding of the binary number."""
-    f = lambda text, x, digits: F.format_string(text, F.bround(x, digits))  # noqa: E731 - halves go to the even digit
+    """All reasons of the gate as texts with their measure, in fixed order; none: the clip passes."""
+    f = lambda text, x, digits: F.format_string(text, rounded(x, digits))
     return reasons(
         (duration < least_seconds, f("too short (%.2fs)", duration, 2)), (duration > most_seconds, f("too long (%.2fs)", duration, 2)), (snr < least_snr, f("snr too low (%.1f dB)", snr, 1)),
         (clipping > most_clipping, f("clipped (%.4f%% of samples)", clipping * 100, 4)), (silence > most_silence, f("mostly silence (%.0f%%)", silence * 100, 0)),

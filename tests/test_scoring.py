@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import codemix, columns, scoring
-from lexmill.operators import synthesis
+from lexmill.operators import signal, synthesis
 from lexmill.sources import listings
 
 
@@ -97,3 +97,11 @@ def test_long_pairs_need_little_memory():
     assert scoring.edits(r, h) == (1, 4, 1)
     assert tracemalloc.get_traced_memory()[1] < 30e6
     tracemalloc.stop()
+
+
+def test_measures_round_as_printf_does(spark):
+    rng = random.Random(5)
+    numbers = [50.725, 168.525, 2.5, 3.5, -2.5, 0.125, 0.375, -0.04, 0.05, 1.005, 2.675, 1e-300, -1e-9, 0.0, 1e17, 4503599627370497.5, *(rng.randrange(10**6) / 1000 for _ in range(500)), *(rng.random() * 100 for _ in range(200))]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    got = df.select("x", *[F.format_string(f"%.{d}f", signal.rounded(F.col("x"), d)).alias(f"d{d}") for d in (0, 1, 2, 4)]).collect()
+    assert [(r.x, r[f"d{d}"]) for r in got for d in (0, 1, 2, 4)] == [(x, f"{x:.{d}f}") for x in numbers for d in (0, 1, 2, 4)]
