@@ -427,7 +427,10 @@ def reference_plausibility(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(l_quantity / l_discount, 6) ELSE CAST('inf' AS DOUBLE) END AS rtf FROM lineitem")
 def real_time_factor_rows(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(synthesis.real_time_factor(F.col("l_quantity"), F.col("l_discount")), 6).alias("rtf"))
+    """Of an unknown discount the factor is infinite too, as the SQL has it."""
+    x = synthesis.real_time_factor(F.col("l_quantity"), F.col("l_discount"))
+    rtf = F.when(F.col("l_discount") > 0, F.round(x * 1e6) / 1e6).otherwise(float("inf"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rtf.alias("rtf"))
 
 
 @query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 8) AS v FROM embeddings),

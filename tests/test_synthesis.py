@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import columns as C
 from lexmill.operators import synthesis as S
+from lexmill.plans import catalogue
 
 
 def test_real_time_factor(spark):
@@ -14,6 +15,17 @@ def test_real_time_factor(spark):
     assert got[0] == 0.25 and math.isinf(got[1]) and got[2:] == [None, None]
 
 
+def test_real_time_factor_rows_of_unknown_discounts(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 1, 1.0, 0.0), (1, 2, 1.0, None), (1, 3, None, 0.5), (1, 4, None, None), (1, 5, 1.0, -0.5), (2, 1, 17.000123, 0.07), (2, 2, 2.3e-6, 0.4), (2, 3, None, 0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.sql(catalogue.oracles()["real_time_factor_rows"]).fetchall())
+    assert sorted(map(tuple, catalogue.real_time_factor_rows(spark, str(tmp_path)).collect())) == want
+
+
 def test_unit_samples(spark):
     df = spark.createDataFrame([(0, [0.5, -2.0]), (1, [0.25, -0.5]), (2, []), (3, None)], "id int, x array<double>")
     assert [r.x for r in df.orderBy("id").select(S.unit_samples(F.col("x")).alias("x")).collect()] == [[0.25, -1.0], [0.25, -0.5], [], None]
