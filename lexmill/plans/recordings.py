@@ -72,7 +72,7 @@ def streamed_pieces(spark, sf_dir):
     for k in range(4):
         pieces.filter(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(came)
     stream = spark.readStream.schema(pieces.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(came)
-    ordered = in_order(stream).writeStream.format("parquet").option("path", left).option("checkpointLocation", mark)
+    ordered = in_order(stream, expire_ms=None).writeStream.format("parquet").option("path", left).option("checkpointLocation", mark)
     with in_order_of_data(spark):
         ordered.trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(ORDERED).parquet(left).filter("error_code IS NULL")

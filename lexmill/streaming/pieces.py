@@ -20,9 +20,9 @@ class InOrder(StatefulProcessor):
     """State of an utterance: the index that is due, and the pieces that came before their turn, by index. A piece leaves
     when all before it have left; with the last one the state goes. A piece of an index that has left, or is held already,
     is dropped. An utterance that has waited for `expire_ms` since its last piece came ends with a row of the index it
-    waited for and an error; what it still held goes."""
+    waited for and an error; what it still held goes. Without expire_ms none expires."""
 
-    def __init__(self, expire_ms: int):
+    def __init__(self, expire_ms: int | None):
         self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,7 +56,8 @@ class InOrder(StatefulProcessor):
         else:
             self.due.update((due,))
             self._no_timer()
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expire_ms)
+            if self.expire_ms is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expire_ms)
         if out:
             yield _frame(out)
 
@@ -88,10 +89,10 @@ def in_order_of_data(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def in_order(pieces: DataFrame, expire_ms: int = 60_000) -> DataFrame:
+def in_order(pieces: DataFrame, expire_ms: int | None = 60_000) -> DataFrame:
     """Each utterance's pieces (utterance, index from 0, samples, sample_rate, pause_ms, last: whether it is the last one)
     in order, with their pauses, each as soon as those before it are there; see InOrder. The session's state store must be
-    RocksDB, which this sets. A restart from the checkpoint goes on where the stream stopped."""
+    RocksDB, which this sets. Pieces that lie in files already need no expire_ms: how long a batch takes says nothing of them. A restart from the checkpoint goes on where the stream stopped."""
     pieces.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     whole = pieces.select("utterance", F.col("index").cast("long").alias("index"), with_pause(F.col("samples"), F.col("sample_rate"), F.col("pause_ms")).alias("samples"), F.col("sample_rate").cast("int").alias("sample_rate"), F.coalesce("last", F.lit(False)).alias("last"))
     return whole.filter("index IS NOT NULL").groupBy("utterance").transformWithStateInPandas(statefulProcessor=InOrder(expire_ms), outputStructType=ORDERED, outputMode="Append", timeMode="ProcessingTime")

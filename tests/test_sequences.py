@@ -134,3 +134,22 @@ def test_pieces_in_order(spark, tmp_path):
     assert all(r.samples == pytest.approx([k, i / 10, *[0.0] * i]) and r.error_code is None for (k, i), r in got.items())
     held = [spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "mark")).count() for name in ("due", "held")]
     assert held == [0, 0]
+
+
+def test_pieces_wait_for_slow_batches(spark, tmp_path):
+    """The second piece comes first, and the one it waits for two batches later, after the time to expire."""
+    from lexmill.streaming.pieces import in_order, in_order_of_data
+
+    df = spark.createDataFrame([(k, i, [1.0], 10, 0, i == 1) for k in range(40) for i in (1, 0)], "utterance long, index int, samples array<float>, sample_rate int, pause_ms int, last boolean")
+    for part in ("index = 1 AND utterance > 0", "utterance = 0", "index = 0 AND utterance > 0"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def errors(expire_ms):
+        out = str(tmp_path / f"out-{expire_ms}")
+        with in_order_of_data(spark):
+            in_order(stream, expire_ms).writeStream.format("parquet").options(path=out, checkpointLocation=out + "-mark").trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(out)
+        return got.filter("error_code IS NULL").count(), got.filter("error_code IS NOT NULL").count()
+
+    assert errors(None) == (80, 0) and errors(1)[1] > 0
