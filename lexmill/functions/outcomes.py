@@ -39,8 +39,21 @@ class TextError(ValueError):
         self.code = code
 
 
+def parts(batches: Iterator[pd.Series], most: int = 1 << 18) -> Iterator[pd.Series]:
+    """Batches in runs of rows of about `most` characters: what is made of a text can take many times its memory."""
+    for batch in batches:
+        start = held = 0
+        for i, text in enumerate(batch):
+            size = 64 + (0 if text is None else len(text))
+            if held and held + size > most:
+                yield batch.iloc[start:i]
+                start, held = i, 0
+            held += size
+        yield batch.iloc[start:]
+
+
 def outcome(f: Callable[[str], object], value_type: str) -> Callable[[Column], Column]:
-    """Column function of f, with each distinct text of a batch handled once. Null: all fields null.
+    """Column function of f, with each distinct text of neighbouring rows handled once. Null: all fields null.
     Value types that hold structs take a tuple, dict or list as Arrow does."""
 
     def one(text: str) -> dict:
@@ -50,7 +63,7 @@ def outcome(f: Callable[[str], object], value_type: str) -> Callable[[Column], C
             return {"value": None, "error_code": getattr(e, "code", "validation_error"), "error_message": str(e)}
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             done = {t: one(t) for t in batch.dropna().unique()}
             none = dict.fromkeys(("value", "error_code", "error_message"))
             yield pd.DataFrame([done.get(t, none) for t in batch], columns=list(none), dtype=object)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions.outcomes import parts
+
 # Fixed values of the script: letters, signs and their canonical forms.
 VIRAMA, ZWJ, ZWNJ, ANUSVARA = "്", "‍", "‌", "ം"
 CHILLU_OF = {"ണ": "ൺ", "ന": "ൻ", "ര": "ർ", "ല": "ൽ", "ള": "ൾ", "ക": "ൿ"}
@@ -61,7 +63,7 @@ def normalized(text: Column, *, legacy: bool = False, digits: bool = True) -> Co
     """struct<text, counters, changed>; null text: null. Python, for Spark has no Unicode normalisation."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for t in batch:
                 if t is None:
@@ -78,7 +80,7 @@ def composed(text: Column) -> Column:
     """NFC; null text: null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in parts(batches):
             yield pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in batch], dtype=object)
 
     return F.pandas_udf(run, "string")(text)

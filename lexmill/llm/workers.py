@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from lexmill.sources import shared
+
 _shipped: set[str] = set()
 _caches: dict[str, Callable[[], None]] = {}
 
@@ -38,14 +40,9 @@ def begin(operator: str) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
-
-
 def ship(spark: SparkSession) -> None:
-    """Once an application: the package's own modules, as a zip that the driver serves. Where Spark's own bound of a batch
-    that goes to Python is unchanged, batches are of 8 MB: whole texts of 64 MB are held by both sides, twice while they grow."""
-    if spark.conf.get(_BATCH).rstrip("bB") == str(_SPARKS_OWN):
-        spark.conf.set(_BATCH, str(8 << 20))
+    """Once an application: the package's own modules, as a zip that the driver serves. Batches to Python are small."""
+    shared.small_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import columns as C
 from lexmill.functions import chunking, codemix, frontend, numerals, phonemes, romanised, scoring, spoken, unicode_text
 from lexmill.operators import reports, scans, signal, synthesis, voices
+from lexmill.sources import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -30,6 +31,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

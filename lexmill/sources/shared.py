@@ -24,6 +24,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Where Spark's own bound of a batch that goes to Python is unchanged, batches are of 8 MB: whole texts of 64 MB are held
+    by both sides, twice while they grow."""
+    if spark.conf.get(_BATCH).rstrip("bB") == str(_SPARKS_OWN):
+        spark.conf.set(_BATCH, str(8 << 20))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of df has it."""
     taken = {c.lower() for c in df.columns}

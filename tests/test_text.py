@@ -114,3 +114,15 @@ def test_frontend(spark):
     assert got[0].value.routed == "ഇരുനൂറ്റിയമ്പത് രൂപ ഉണ്ട്" and got[0].s.contains_malayalam and got[0].s.chunks == 1
     parts = frontend.chunks(df, "t", "d").collect()
     assert len(parts) == 1 and parts[0].phonemes[2] == ["u", "ɳ", "ɖ", "ɨ"]
+
+
+def test_texts_are_taken_in_parts():
+    """Rows of a batch in order, whole, about so many characters at a time; a longer text by itself."""
+    import pandas as pd
+
+    from lexmill.functions.outcomes import parts
+
+    batches = [pd.Series(["x" * 900] * 5 + [None, "y" * 5000, ""]), pd.Series([], dtype=object), pd.Series([None])]
+    got = [list(p) for p in parts(iter(batches), 2000)]
+    assert [t for p in got for t in p] == [t for b in batches for t in b]
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 2000 for p in got) and len(got) > 4
