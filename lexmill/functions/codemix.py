@@ -36,6 +36,7 @@ class Mixing:
         if self.policy not in POLICIES or self.detection not in DETECTIONS:
             raise ValueError(f"policies: {', '.join(POLICIES)}; detections: {', '.join(DETECTIONS)}")
         object.__setattr__(self, "_folded", {k.lower(): v for k, v in self.lexicon.items()})
+        object.__setattr__(self, "_known", {})
 
     def fixed(self, word: str) -> str | None:
         return self.lexicon.get(word, self._folded.get(word.lower()))
@@ -79,6 +80,18 @@ def _part(word: str, how: Mixing) -> str:
 
 
 def _token(token: str, how: Mixing) -> str:
+    """As _routed has it. What became of a short token is kept for the next time, of 200,000 tokens at most."""
+    out = how._known.get(token)
+    if out is None:
+        out = _routed(token, how)
+        if len(token) <= 64:
+            if len(how._known) >= 200_000:
+                how._known.clear()
+            how._known[token] = out
+    return out
+
+
+def _routed(token: str, how: Mixing) -> str:
     """Parts between hyphens go their own ways; stops, hyphens and apostrophes at the end stay."""
     if (fixed := how.fixed(token)) is not None:
         return fixed

@@ -126,3 +126,9 @@ def test_texts_are_taken_in_parts():
     got = [list(p) for p in parts(iter(batches), 2000)]
     assert [t for p in got for t in p] == [t for b in batches for t in b]
     assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 2000 for p in got) and len(got) > 4
+
+
+def test_tokens_are_routed_once():
+    how = codemix.Mixing()
+    first = codemix.route("njan NASA-yil poyi NASA-yil", how)
+    assert first == codemix.route("njan NASA-yil poyi NASA-yil", how) and set(how._known) == {"njan", "NASA-yil", "poyi"}
