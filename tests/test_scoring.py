@@ -105,3 +105,10 @@ def test_measures_round_as_printf_does(spark):
     df = spark.createDataFrame([(x,) for x in numbers], "x double")
     got = df.select("x", *[F.format_string(f"%.{d}f", signal.rounded(F.col("x"), d)).alias(f"d{d}") for d in (0, 1, 2, 4)]).collect()
     assert [(r.x, r[f"d{d}"]) for r in got for d in (0, 1, 2, 4)] == [(x, f"{x:.{d}f}") for x in numbers for d in (0, 1, 2, 4)]
+
+
+def test_pairs_together_are_those_one_by_one():
+    rng = random.Random(7)
+    text = lambda most: [rng.choice("abcdefgh"[: rng.randrange(1, 9)]) for _ in range(rng.randrange(most))]
+    pairs = [(text(30), text(30)) for _ in range(400)] + [([], []), ([], ["a"]), (["a"], []), (["a"] * 600, ["b", "a"]), (text(500), text(500))]
+    assert scoring.edits_of_pairs(pairs) == [scoring.edits(*p) for p in pairs] and scoring.edits_of_pairs([]) == []
