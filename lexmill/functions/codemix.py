@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import groupby
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.outcomes import outcome
+from lexmill.functions.outcomes import outcome, parts
 from lexmill.functions.romanised import is_romanised, transliterate
 
 # Names of the Latin letters, a to z.
@@ -120,5 +123,40 @@ def script_runs(text: Column, kind: str) -> Column:
     return F.regexp_count(text, F.lit(f"{_SCRIPTS[kind]}+")).cast("long")
 
 
+_KINDS = ("malayalam", "latin", "digit", "other")
+
+
+@cache
+def _kind_of() -> np.ndarray:
+    """The place in _KINDS of each code point."""
+    return np.fromiter((_KINDS.index(script(chr(c))) for c in range(0x110000)), np.uint8, 0x110000)
+
+
+def run_counts(texts: list[str]) -> np.ndarray:
+    """How many runs of each of _KINDS segments() finds: a row for each text."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    kinds = _kind_of()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    first = np.ones(len(kinds), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=first[1:])
+    starts = np.cumsum(sizes) - sizes
+    first[starts[sizes > 0]] = True
+    at = np.flatnonzero(first)
+    row = np.searchsorted(starts + sizes, at, side="right")
+    return np.bincount(row * len(_KINDS) + kinds[at], minlength=len(texts) * len(_KINDS)).reshape(-1, len(_KINDS))
+
+
+def script_counts(text: Column) -> Column:
+    """struct of how many runs of each script segments() finds; of null all are null. By arrays of code points."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in parts(batches, 1 << 20):
+            there = batch.notna().to_numpy()
+            out = pd.DataFrame(run_counts([t or "" for t in batch]), columns=list(_KINDS)).astype("Int64")
+            out.loc[~there] = pd.NA
+            yield out
+
+    return F.pandas_udf(run, ", ".join(f"{k} long" for k in _KINDS))(text)
+
+
 def segmented(text: Column) -> Column:
     return outcome(segments, "array<struct<script:string,text:string,start:int,end:int>>")(text)

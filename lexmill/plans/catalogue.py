@@ -343,7 +343,7 @@ def normalization_by_source(spark, sf_dir):
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+')) AS BIGINT) AS latin, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS digit,
            CAST(len(regexp_extract_all(text, '[^A-Za-z0-9]+')) AS BIGINT) AS other FROM documents""")
 def segment_scripts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[codemix.script_runs(F.col("text"), k).alias(k) for k in ("latin", "digit", "other")])
+    return table(spark, sf_dir, "documents").select("doc_id", codemix.script_counts(F.col("text")).alias("n")).select("doc_id", "n.latin", "n.digit", "n.other")
 
 
 @query(rf"""

@@ -112,3 +112,11 @@ def test_pairs_together_are_those_one_by_one():
     text = lambda most: [rng.choice("abcdefgh"[: rng.randrange(1, 9)]) for _ in range(rng.randrange(most))]
     pairs = [(text(30), text(30)) for _ in range(400)] + [([], []), ([], ["a"]), (["a"], []), (["a"] * 600, ["b", "a"]), (text(500), text(500))]
     assert scoring.edits_of_pairs(pairs) == [scoring.edits(*p) for p in pairs] and scoring.edits_of_pairs([]) == []
+
+
+def test_script_counts(spark):
+    rng = random.Random(8)
+    texts = [None, "", *("".join(rng.choice("ab1 ൦൧കഖ\u0663²,.\nZ\U0001f600") for _ in range(rng.randrange(12))) for _ in range(300))]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", codemix.script_counts(F.col("text")).alias("n")).select("id", "n.*").collect()
+    want = {i: [None if t is None else [s["script"] for s in codemix.segments(t)].count(k) for k in ("malayalam", "latin", "digit", "other")] for i, t in enumerate(texts)}
+    assert {r.id: list(r[1:]) for r in got} == want
