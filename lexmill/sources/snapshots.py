@@ -128,13 +128,15 @@ class Change:
     def delete(self, table: str, keys: DataFrame) -> Change:
         """Hides the rows of these keys that earlier versions hold."""
         entry = self._entry(table)
-        entry["parts"].append({"kind": "gone", "data": self._write(keys.select(*entry["key"]).distinct()), "version": self.base + 1})
+        entry["parts"].append({"kind": "gone", "data": self._write(keys.select(*entry["key"])), "version": self.base + 1})
         return self
 
     def update(self, table: str, rows: DataFrame) -> Change:
         """Whole rows in place of those of equal keys."""
-        rows = shared.written(rows, "updates")
-        return self.delete(table, rows).insert(table, rows)
+        self.insert(table, rows)
+        entry = self.tables[table]
+        done = self.store.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(f"{self.store.path}/data/{entry['parts'][-1]['data']}")
+        return self.delete(table, done)
 
     def replace(self, table: str, rows: DataFrame) -> Change:
         entry = self._entry(table)

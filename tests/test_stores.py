@@ -127,3 +127,17 @@ def test_voices_without_a_database(spark, monkeypatch):
     monkeypatch.setattr(stores, "database", lambda _: None)
     got = [found(q) for q in queries]
     assert [[r.lower() for r in x] for x in got] == [[r.lower() for r in x] for x in want] and all(want)
+
+
+def test_an_update_deals_out_no_keys(spark, store, voices):
+    """The keys of an update are those of the rows as written: no exchange of their own, the rows written once."""
+    VoiceSnapshots(store).create_tables()
+    store.begin().insert("voices", voices).commit()
+    change = store.begin().update("voices", voices.filter("voice_id < 4").withColumn("status", F.lit("disabled")).unionByName(voices.filter("voice_id = 50")))
+    parts = change.tables["voices"]["parts"][-2:]
+    assert {p["kind"] for p in parts} == {"rows", "gone"} and change.commit() == 3
+    assert rows(store.read("voices").filter("status = 'disabled'"), "voice_id") == [(1,), (2,), (3,)] and store.read("voices").count() == 12
+    twice = voices.filter("voice_id = 5")
+    again = store.begin().delete("voices", twice.unionByName(twice))
+    gone = spark.read.parquet(f"{store.path}/data/{again.tables['voices']['parts'][-1]['data']}")
+    assert again.commit() == 4 and gone.count() == 2 and store.read("voices").count() == 11  # repeated keys are merged when read
